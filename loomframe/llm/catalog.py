@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from loomframe.llm.pieces import op2_pieces
+from loomframe.llm.rules import op7_rules
 from loomframe.llm.sharding import op1_sharding
 
-QUERIES = {"op1_sharding": op1_sharding}
+QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op7_rules": op7_rules}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -72,3 +72,14 @@ def words_of(text: Column) -> Column:
 def fits(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has at most ``most`` rows; reads no more than it must."""
     return df.limit(most + 1).count() <= most
+
+
+def worker_cache(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` builds, once for each Python worker and name."""
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_loomframe_worker_cache", types.ModuleType("_loomframe_worker_cache")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
