@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from loomframe.llm.contamination import OP8_SQL, op8_decontamination
 from loomframe.llm.pieces import op2_pieces
+from loomframe.llm.private import op10_private
 from loomframe.llm.rules import op7_rules
 from loomframe.llm.sharding import op1_sharding
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op7_rules": op7_rules}
+QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op10_private": op10_private}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
