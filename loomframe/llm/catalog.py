@@ -5,9 +5,11 @@ from __future__ import annotations
 from loomframe.llm.contamination import OP8_SQL, op8_decontamination
 from loomframe.llm.pieces import op2_pieces
 from loomframe.llm.private import op10_private
+from loomframe.llm.quality import op6_quality
 from loomframe.llm.rules import op7_rules
+from loomframe.llm.secretscan import op9_secrets
 from loomframe.llm.sharding import op1_sharding
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op10_private": op10_private}
+QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op6_quality": op6_quality, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_private": op10_private}
 
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
