@@ -9,7 +9,9 @@ from loomframe.llm.quality import op6_quality
 from loomframe.llm.rules import op7_rules
 from loomframe.llm.secretscan import op9_secrets
 from loomframe.llm.sharding import op1_sharding
+from loomframe.llm.substrings import op3_substrings
+from loomframe.llm.suffixes import op4_suffixes
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op6_quality": op6_quality, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_private": op10_private}
+QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op3_substrings": op3_substrings, "op4_suffixes": op4_suffixes, "op6_quality": op6_quality, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_private": op10_private}
 
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}
