@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomframe.llm.contamination import OP8_SQL, op8_decontamination
+from loomframe.llm.jaccard import op5_jaccard
 from loomframe.llm.pieces import op2_pieces
 from loomframe.llm.private import op10_private
 from loomframe.llm.quality import op6_quality
@@ -12,6 +13,6 @@ from loomframe.llm.sharding import op1_sharding
 from loomframe.llm.substrings import op3_substrings
 from loomframe.llm.suffixes import op4_suffixes
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op3_substrings": op3_substrings, "op4_suffixes": op4_suffixes, "op6_quality": op6_quality, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_private": op10_private}
+QUERIES = {"op1_sharding": op1_sharding, "op2_pieces": op2_pieces, "op3_substrings": op3_substrings, "op4_suffixes": op4_suffixes, "op5_jaccard": op5_jaccard, "op6_quality": op6_quality, "op7_rules": op7_rules, "op8_decontamination": op8_decontamination, "op9_secrets": op9_secrets, "op10_private": op10_private}
 
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL}

@@ -37,14 +37,8 @@ def _sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if fits(small, most) else small
 
 
-def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Pairs (``doc_id``, ``item_id``, ``n_item``, ``n_shared``, ``containment``) with containment of ``threshold`` or more.
-
-    Null texts have no words. An item of fewer than five words has no shingle
-    and is found nowhere. Repeated rows give one pair; where rows share an id
-    but not the text, the largest containment counts. Rows with a null id give
-    pairs with a null id. Empty tables give no pairs.
-    """
+def _found(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, key, item_id, n_item, n_shared): pairs of texts and items; key is a hash of the text."""
     words = lambda c: words_of(F.lower(F.col(c).cast("string")))
     tests = materialise(items.select(F.col(item_id_col).alias("item_id"), shingle_texts(words(item_text_col)).alias("shingles"), F.array_distinct(shingle_hashes(words(item_text_col))).alias("hashes")).filter(F.size("shingles") > 0).distinct(), "test-items")
     n = F.size("hashes")
@@ -59,10 +53,29 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_c
     held = held.select("doc_id", "key", F.explode(shingle_texts(words("text"))).alias("shingle"))
     wanted = tests.select("item_id", F.size("shingles").alias("n_item"), F.explode("shingles").alias("shingle"), F.xxhash64("shingles").alias("item_key"))
     shared = held.distinct().join(_sized(wanted), "shingle").groupBy("doc_id", "key", "item_id", "item_key", "n_item").agg(F.count("*").alias("n_shared"))
-    best = shared.filter(F.col("n_shared") >= F.col("n_item") * threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), F.col("n_item").cast("long").alias("n"), F.col("n_shared").alias("s"))).alias("b"))
+    return shared.filter(F.col("n_shared") >= F.col("n_item") * threshold)
+
+
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Pairs (``doc_id``, ``item_id``, ``n_item``, ``n_shared``, ``containment``) with containment of ``threshold`` or more.
+
+    Null texts have no words. An item of fewer than five words has no shingle
+    and is found nowhere. Repeated rows give one pair; where rows share an id
+    but not the text, the largest containment counts. Rows with a null id give
+    pairs with a null id. Empty tables give no pairs.
+    """
+    found = _found(docs, items, threshold, text_col, id_col, item_id_col, item_text_col)
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), F.col("n_item").cast("long").alias("n"), F.col("n_shared").alias("s"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.n").alias("n_item"), F.col("b.s").alias("n_shared"), F.round("b.c", 6).alias("containment"))
 
 
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose text holds no item; all other rows and columns stay as they are."""
+    found = materialise(_found(docs, items, threshold, text_col, id_col).select(F.col("doc_id").alias("_lf_id"), F.col("key").alias("_lf_key")).distinct(), "contaminated")
+    same = F.col(id_col).eqNullSafe(F.col("_lf_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_lf_key"))
+    return docs.join(_sized(found), same, "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All contaminated documents, with the items they hold."""
     return find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

@@ -147,6 +147,16 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, let(text, run)).otherwise(text)
 
 
+def redacted(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``df`` with the private spans of its texts replaced; texts without any, null ones too, stay as they are."""
+    found = find_private(df, text_col, id_col).filter((F.size("base") > 0) | (F.size("added") > 0))
+    found = materialise(found.select(F.col("doc_id").alias("_lf_id"), F.col("key").alias("_lf_key"), F.array_sort(F.concat("base", "added")).alias("_lf_spans")).dropDuplicates(["_lf_id", "_lf_key"]), "private")
+    same = F.col(id_col).eqNullSafe(F.col("_lf_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_lf_key"))
+    joined = df.join(_sized(found), same, "left")
+    text = F.when(F.col("_lf_spans").isNotNull(), redact(F.col(text_col).cast("string"), F.col("_lf_spans"))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, text).select(*df.columns)
+
+
 def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_private(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
