@@ -67,7 +67,7 @@ CTES = {
     "counts": "SELECT o_custkey AS cell_id, l_partkey AS gene_id, sum(l_quantity) AS count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "cells": "SELECT c_custkey AS cell_id, n_name AS sample, r_name AS platform, CASE WHEN contains(n_name, '1') THEN 'case' ELSE 'normal' END AS diagnosis, c_mktsegment AS cluster, (c_acctbal + 1000) / 11000 AS score FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "genes": "SELECT p_partkey AS gene_id, p_name AS gene_name, p_name LIKE 'hot%' AS is_mt, (p_name LIKE 'red%' OR p_name LIKE 'blue%') AS is_ribo, p_brand AS grp FROM part",
-    "vectors": "SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS vec, label FROM embeddings",
+    "vectors": "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS vec, label FROM embeddings",
     "runs": "SELECT user_id AS params, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value, event_type, event_id FROM events",
     "soft": "SELECT cell_id, label, n / sum(n) OVER (PARTITION BY cell_id) AS prob FROM (SELECT cell_id, grp AS label, sum(count) AS n FROM counts JOIN genes USING (gene_id) GROUP BY 1, 2)",
     "qc": "SELECT cell_id, count(*) FILTER (count > 0) AS n_genes, sum(count) AS total, ln(1 + count(*) FILTER (count > 0)) AS log1p_n_genes, ln(1 + sum(count)) AS log1p_total, 100 * sum(CASE WHEN is_mt THEN count ELSE 0 END) / sum(count) AS pct_mt, 100 * sum(CASE WHEN is_ribo THEN count ELSE 0 END) / sum(count) AS pct_ribo FROM counts JOIN genes USING (gene_id) GROUP BY cell_id",

@@ -164,14 +164,17 @@ def sample_type_counts(s, d):
     return tables.contingency(c, "sample", "cluster").join(some, ["sample", "cluster"], "left").na.fill(0, ["n_case"])
 
 
-@query("SELECT s_nationkey, min(s_acctbal) AS lo, quantile_cont(s_acctbal, 0.25) AS q1, median(s_acctbal) AS med, quantile_cont(s_acctbal, 0.75) AS q3, max(s_acctbal) AS hi, round(avg(s_acctbal), 6) AS mean FROM (SELECT s_nationkey, s_acctbal FROM supplier) GROUP BY 1".replace("quantile_cont(s_acctbal, 0.25)", "round(quantile_cont(s_acctbal, 0.25), 6)").replace("median(s_acctbal)", "round(median(s_acctbal), 6)").replace("quantile_cont(s_acctbal, 0.75)", "round(quantile_cont(s_acctbal, 0.75), 6)"))
+@query("SELECT s_nationkey, min(s_acctbal) AS lo, round(quantile_cont(s_acctbal, 0.25), 6) AS q1, round(median(s_acctbal), 6) AS med, round(quantile_cont(s_acctbal, 0.75), 6) AS q3, max(s_acctbal) AS hi, round(avg(s_acctbal), 6) AS mean FROM supplier GROUP BY 1")
 def five_number(s, d):
     v = "s_acctbal"
     q = lambda p: r6(F.percentile(v, p))
     return read(s, d, "supplier").groupBy("s_nationkey").agg(F.min(v).alias("lo"), q(0.25).alias("q1"), q(0.5).alias("med"), q(0.75).alias("q3"), F.max(v).alias("hi"), r6(F.avg(v)).alias("mean"))
 
 
-@query("SELECT 'quantity' AS name, q, round(quantile_cont(l_quantity, q), 6) AS observed, round(quantile_cont(l_quantity * 2, q), 6) AS replicate, round(quantile_cont(l_quantity, q) - quantile_cont(l_quantity * 2, q), 6) AS difference FROM lineitem, (SELECT 1) GROUP BY q".replace("quantile_cont(l_quantity, q)", "any_value(o)").replace("quantile_cont(l_quantity * 2, q)", "any_value(r)").replace("FROM lineitem, (SELECT 1) GROUP BY q", "FROM (SELECT unnest(qs) AS q, unnest(o) AS o, unnest(r) AS r FROM (SELECT [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1]::DOUBLE[] AS qs, quantile_cont(l_quantity, [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1]) AS o, quantile_cont(l_quantity * 2, [0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1]) AS r FROM lineitem)) GROUP BY q"))
+_QS = "[0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1]"
+
+
+@query(f"SELECT 'quantity' AS name, q, round(o, 6) AS observed, round(r, 6) AS replicate, round(o - r, 6) AS difference FROM (SELECT unnest({_QS}::DOUBLE[]) AS q, unnest(quantile_cont(l_quantity, {_QS})) AS o, unnest(quantile_cont(l_quantity * 2, {_QS})) AS r FROM lineitem)")
 def quantile_report_rows(s, d):
     t = read(s, d, "lineitem").select("l_quantity", (F.col("l_quantity") * 2).alias("r"))
     out = quantile_report(t, "quantity", "l_quantity", "r")
@@ -242,7 +245,7 @@ def n_pcs_rule(s, d):
     return out.select("g", r6("threshold").alias("threshold"), F.col("n").alias("n_pcs"))
 
 
-@query("SELECT g, i FROM (SELECT g, i, lead(sg) OVER (PARTITION BY g ORDER BY i) - sg AS dd FROM (SELECT unnest(range(3)) AS g, i, sign(sin(i / 10.0::DOUBLE + g) - cos(i / 10.0::DOUBLE)) AS sg FROM range(500) t(i))) WHERE dd <> 0".replace("SELECT unnest(range(3)) AS g, i,", "SELECT g, i,").replace("FROM range(500) t(i)", "FROM range(500) t(i), range(3) u(g)"))
+@query("SELECT g, i FROM (SELECT g, i, lead(sg) OVER (PARTITION BY g ORDER BY i) - sg AS dd FROM (SELECT g, i, sign(sin(i / 10.0::DOUBLE + g) - cos(i / 10.0::DOUBLE)) AS sg FROM range(500) t(i), range(3) u(g))) WHERE dd <> 0")
 def grid_intersection(s, d):
     g = s.range(500).select(F.col("id").alias("i")).crossJoin(F.broadcast(s.range(3).select(F.col("id").alias("g"))))
     g = g.select("g", "i", F.sin(F.col("i") / 10.0 + F.col("g")).alias("a"), F.cos(F.col("i") / 10.0).alias("b"))
