@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomframe.functions.shipping import ships
+
+ships(__name__)
+
 #: Scores are kept this far from 0 and 1.
 EPS = 1e-10
 
@@ -21,22 +25,28 @@ def normal_pdf(x: Column, mean: Column | float = 0.0, sd: Column | float = 1.0)
     return F.exp(-z * z / 2) / (sd * F.lit(math.sqrt(2 * math.pi)))
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore")
+def _each(f, c: Column | str) -> Column:
+    """``f`` of each number, in Arrow batches; null stays null."""
+
+    def work(x: pd.Series) -> pd.Series:
+        return x.map(f, na_action="ignore").astype("float64")
+
+    return F.pandas_udf(work, "double")(c)
+
+
+def normal_cdf(x: Column | str) -> Column:
+    return _each(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), x)
 
 
-@F.pandas_udf("double")
-def normal_ppf(p: pd.Series) -> pd.Series:
+def normal_ppf(p: Column | str) -> Column:
     from statistics import NormalDist
 
     inverse = NormalDist().inv_cdf
-    return p.map(lambda v: inverse(v) if 0 < v < 1 else math.copysign(math.inf, v - 0.5), na_action="ignore")
+    return _each(lambda v: inverse(v) if 0 < v < 1 else math.copysign(math.inf, v - 0.5), p)
 
 
-@F.pandas_udf("double")
-def two_sided_p(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
+def two_sided_p(z: Column | str) -> Column:
+    return _each(lambda v: math.erfc(abs(v) / math.sqrt(2)), z)
 
 
 def transform_score(c: Column, how: str) -> Column:

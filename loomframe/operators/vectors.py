@@ -7,6 +7,10 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.shipping import ships
+
+ships(__name__)
+
 #: Vectors up to which all-pairs work is accepted; it grows with their square.
 MOST_PAIRED = 50_000
 
