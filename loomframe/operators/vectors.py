@@ -92,15 +92,15 @@ def silhouette(df: DataFrame, label: str = "label", vec: str = "vec", key: str =
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (ari, nmi) of two labelings; NMI by the arithmetic mean of the entropies."""
-    n_ab = df.groupBy(a, b).agg(F.count("*").cast("double").alias("n"))
+    n_ab = df.select(F.col(a).alias("a"), F.col(b).alias("b")).groupBy("a", "b").agg(F.count("*").cast("double").alias("n"))
     two = lambda c: c * (c - 1) / 2
-    part = lambda t, k: t.groupBy(k).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias(f"c_{k}"), F.sum(F.col("n") * F.log("n")).alias(f"h_{k}"), F.sum("n").alias(f"t_{k}"))
-    joint = n_ab.agg(F.sum(two(F.col("n"))).alias("c"), F.sum(F.col("n") * F.log("n")).alias("h"))
-    t = joint.crossJoin(part(n_ab, a)).crossJoin(part(n_ab, b))  # one row each
-    total = F.col(f"t_{a}")
-    expected = F.col(f"c_{a}") * F.col(f"c_{b}") / two(total)
-    top = (F.col(f"c_{a}") + F.col(f"c_{b}")) / 2
-    ha, hb = F.log(total) - F.col(f"h_{a}") / total, F.log(total) - F.col(f"h_{b}") / total
+    part = lambda t, k: t.groupBy(k).agg(F.sum("n").alias("n")).agg(F.sum(two(F.col("n"))).alias(f"c_{k}"), F.sum(F.col("n") * F.log("n")).alias(f"h_{k}"))
+    joint = n_ab.agg(F.sum(two(F.col("n"))).alias("c"), F.sum(F.col("n") * F.log("n")).alias("h"), F.sum("n").alias("t"))
+    t = joint.crossJoin(part(n_ab, "a")).crossJoin(part(n_ab, "b"))  # one row each
+    total = F.col("t")
+    expected = F.col("c_a") * F.col("c_b") / two(total)
+    top = (F.col("c_a") + F.col("c_b")) / 2
+    ha, hb = F.log(total) - F.col("h_a") / total, F.log(total) - F.col("h_b") / total
     mutual = ha + hb - (F.log(total) - F.col("h") / total)
     return t.select(F.when(top == expected, 1.0).otherwise((F.col("c") - expected) / (top - expected)).alias("ari"), F.when(ha + hb == 0, 1.0).otherwise(2 * mutual / (ha + hb)).alias("nmi"))
 
