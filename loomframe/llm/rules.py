@@ -2,8 +2,8 @@
 
 Each rule votes good (+1), bad (-1) or abstains (0) on a document. There are at
 most 3 ** (number of rules) vote patterns, so their counts over all documents
-are bounded and go to the driver, where expectation-maximisation estimates each
-rule's accuracy and the share of good documents. A document's posterior
+are bounded and go to the driver, where expectation-maximisation estimates how often
+each rule is right on either class, and the share of good documents. A document's posterior
 probability of being good replaces the filter that demands every rule.
 """
 
@@ -55,7 +55,7 @@ def text_facts(text: Column) -> Column:
         return F.struct(
             let(words_of(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).alias("n_repeat_words"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))).alias("w"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
-            let(dense, lambda d: F.struct(length(d).alias("word_chars"), (length(d) - length(F.translate(d, SYMBOLS, ""))).alias("n_symbols"), (length(d) - length(F.translate(d, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÙÛÜ", ""))).alias("n_upper"), (length(d) - length(F.translate(d, "!?.,;:", ""))).alias("n_punctuation"))).alias("c"),
+            let(dense, lambda d: F.struct(length(d).alias("word_chars"), (length(d) - length(F.translate(d, SYMBOLS, ""))).alias("n_symbols"), F.regexp_count(t, F.lit("[#*$%&|<>]+")).cast("long").alias("n_symbol_runs"), (length(d) - length(F.translate(d, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÚÙÛÜ", ""))).alias("n_upper"), (length(d) - length(F.translate(d, "!?.,;:", ""))).alias("n_punctuation"))).alias("c"),
         )
 
     return let(text, facts)
@@ -75,6 +75,7 @@ RULES = (
     Rule("length", lambda: _c("n_words") < 8, lambda: _c("n_words") >= 100),
     Rule("word_length", lambda: (_c("word_chars") < 2 * _c("n_words")) | (_c("word_chars") > 12 * _c("n_words")), lambda: _c("word_chars").between(3 * _c("n_words"), 8 * _c("n_words"))),
     Rule("symbols", lambda: 100 * _c("n_symbols") > 3 * _c("word_chars"), lambda: 1000 * _c("n_symbols") <= 5 * _c("word_chars")),
+    Rule("symbol_words", lambda: 100 * _c("n_symbol_runs") > 5 * _c("n_words"), lambda: 100 * _c("n_symbol_runs") <= _c("n_words")),
     Rule("duplicate_lines", lambda: 10 * _c("n_dup_lines") > 3 * _c("n_lines"), lambda: (_c("n_dup_lines") == 0) & (_c("n_lines") > 1)),
     Rule("repetition", lambda: 5 * _c("n_repeat_words") > _c("n_words"), lambda: 20 * _c("n_repeat_words") <= _c("n_words")),
     Rule("upper_case", lambda: 10 * _c("n_upper") > 3 * _c("word_chars"), lambda: 10 * _c("n_upper") <= _c("word_chars")),
@@ -85,36 +86,59 @@ RULES = (
 
 @dataclass(frozen=True)
 class LabelModel:
+    """``prior`` of good; for each rule, the chances of a vote -1, 0, 1 on a good and on a bad document."""
+
     prior: float
-    accuracy: tuple[float, ...]
+    good: tuple[tuple[float, float, float], ...]
+    bad: tuple[tuple[float, float, float], ...]
+
+    def weight(self, rule: int, vote: int) -> float:
+        return math.log(self.good[rule][vote + 1] / self.bad[rule][vote + 1])
+
+    def accuracy(self, rule: int) -> float:
+        """Of a vote that isn't an abstention."""
+        right = self.prior * self.good[rule][2] + (1 - self.prior) * self.bad[rule][0]
+        wrong = self.prior * self.good[rule][0] + (1 - self.prior) * self.bad[rule][2]
+        return right / (right + wrong)
 
-    def log_odds(self) -> list[float]:
-        return [math.log(a / (1 - a)) for a in self.accuracy]
+    def p_good(self, votes: tuple[int, ...]) -> float:
+        z = math.log(self.prior / (1 - self.prior)) + sum(self.weight(k, v) for k, v in enumerate(votes))
+        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, low: float = 0.55, high: float = 0.99) -> LabelModel:
-    """Expectation-maximisation on counts of vote patterns.
+def fit(patterns: list[tuple[tuple[int, ...], int]], n: int, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
+    """Expectation-maximisation on counts of vote patterns of ``n`` rules.
 
-    A rule that votes is right with its accuracy for either class; accuracies
-    stay in [``low``, ``high``], so that no rule's sense is turned round.
+    It starts from the documents that some rule calls bad. A rule may vote
+    differently often on either class, but never in the wrong sense: a bad vote
+    is at least as likely on a bad document, a good vote on a good one; where an
+    estimate would turn that round, both classes get the common rate.
     """
-    n = len(patterns[0][0]) if patterns else 0
-    prior, accuracy = 0.8, [0.8] * n
-    for _ in range(rounds):
-        good = total = 1e-9
-        right, votes = [0.0] * n, [0.0] * n
-        odds = [math.log(a / (1 - a)) for a in accuracy]
-        for vote, count in patterns:
-            z = math.log(prior / (1 - prior)) + sum(o * v for o, v in zip(odds, vote, strict=True))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-            good, total = good + p * count, total + count
-            for k, v in enumerate(vote):
-                if v:
-                    votes[k] += count
-                    right[k] += count * (p if v > 0 else 1 - p)
-        prior = min(0.99, max(0.01, good / total))
-        accuracy = [min(high, max(low, (r + 4) / (v + 5))) for r, v in zip(right, votes, strict=True)]
-    return LabelModel(prior, tuple(accuracy))
+    chance = {votes: 0.1 if min(votes, default=0) < 0 else 0.98 for votes, _ in patterns}
+    model = LabelModel(0.5, ((1 / 3,) * 3,) * n, ((1 / 3,) * 3,) * n)
+    for _ in range(rounds if patterns else 0):
+        counts = [[[smooth] * 3 for _ in range(n)] for _ in range(2)]
+        size = [smooth, smooth]
+        for votes, count in patterns:
+            for c, p in ((0, 1 - chance[votes]), (1, chance[votes])):
+                size[c] += count * p
+                for k, v in enumerate(votes):
+                    counts[c][k][v + 1] += count * p
+        rates = [[[x / sum(row) for x in row] for row in side] for side in counts]
+        for k in range(n):
+            for v, worse, better in ((0, 1, 0), (2, 0, 1)):
+                if rates[worse][k][v] > rates[better][k][v]:
+                    pooled = (counts[0][k][v] + counts[1][k][v]) / (sum(counts[0][k]) + sum(counts[1][k]))
+                    rates[0][k][v] = rates[1][k][v] = pooled
+            for c in (0, 1):
+                total = sum(rates[c][k])
+                rates[c][k] = [x / total for x in rates[c][k]]
+        model = LabelModel(size[1] / sum(size), tuple(map(tuple, rates[1])), tuple(map(tuple, rates[0])))
+        new = {votes: model.p_good(votes) for votes, _ in patterns}
+        if max(abs(new[v] - chance[v]) for v in new) < 1e-9:
+            break
+        chance = new
+    return model
 
 
 def score_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -126,10 +150,10 @@ def score_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
     facts = df.select(F.col(id_col), text_facts(F.col(text_col)).alias("_lf_f")).select(id_col, "_lf_f.w.*", "_lf_f.l.*", "_lf_f.c.*")
     names = [f"vote_{r.name}" for r in rules]
     voted = materialise(facts.select("*", *[(r.good().cast("int") - r.bad().cast("int")).alias(n) for r, n in zip(rules, names, strict=True)]), "rule-votes")
-    model = fit(sorted((tuple(x[n] for n in names), x["count"]) for x in voted.groupBy(*names).count().collect()))
+    model = fit(sorted((tuple(x[n] for n in names), x["count"]) for x in voted.groupBy(*names).count().collect()), len(names))
     z = F.lit(math.log(model.prior / (1 - model.prior)))
-    for n, odds in zip(names, model.log_odds(), strict=False):
-        z = z + F.col(n) * odds
+    for k, n in enumerate(names):
+        z = z + F.when(F.col(n) < 0, model.weight(k, -1)).when(F.col(n) > 0, model.weight(k, 1)).otherwise(model.weight(k, 0))
     return voted.withColumn("p_good", 1 / (1 + F.exp(-z))).withColumn("verdict", F.col("p_good") >= threshold)
 
 

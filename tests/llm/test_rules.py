@@ -1,3 +1,4 @@
+import random
 import re
 
 from loomframe.llm import rules
@@ -25,7 +26,21 @@ def test_against_brute_force(spark):
 
 
 def test_estimates_find_the_better_rule():
-    model = rules.fit([((1, 1, 1), 700), ((-1, -1, -1), 150), ((1, 1, -1), 100), ((-1, -1, 1), 50)])
-    assert model.accuracy[0] > model.accuracy[2] > 0.55
-    assert 0.5 < model.prior < 0.95
-    assert rules.fit([]).accuracy == ()
+    r = random.Random(1)
+    counts = {}
+    for _ in range(4000):
+        good = r.random() < 0.8
+        sure = (1 if good else -1) if r.random() < 0.97 else 0
+        votes = (sure, sure if r.random() < 0.9 else -sure, (1 if good else -1) * (1 if r.random() < 0.6 else -1))
+        counts[votes] = counts.get(votes, 0) + 1
+    model = rules.fit(sorted(counts.items()), 3)
+    assert abs(model.prior - 0.8) < 0.08
+    assert model.accuracy(0) > model.accuracy(2)
+    assert model.p_good((1, 1, 1)) > 0.9 and model.p_good((-1, -1, -1)) < 0.1
+    assert rules.fit([], 3).p_good((1, 0, -1)) == 0.5
+
+
+def test_telling_votes_outweigh_usual_ones():
+    model = rules.fit([((1, 1, 1), 900), ((1, -1, -1), 60), ((0, -1, -1), 20), ((1, 0, -1), 20), ((0, 1, 1), 10)], 3)
+    assert model.p_good((1, 1, 1)) > 0.9 and model.p_good((0, 1, 1)) > 0.5
+    assert model.p_good((1, -1, -1)) < 0.5
