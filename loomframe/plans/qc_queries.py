@@ -88,9 +88,9 @@ def rare_label_filter(s, d):
     return filters.frequent_labels(read(s, d, "part").select("p_partkey", "p_type"), "p_type", 10)
 
 
-@query(sql("SELECT label, round(sum(prob), 6) AS mass FROM soft GROUP BY 1 HAVING sum(prob) >= 10", "soft"))
+@query(sql("SELECT label, round(sum(prob), 6) AS mass FROM soft GROUP BY 1 HAVING sum(prob) >= 2", "soft"))
 def soft_label_filter(s, d):
-    return filters.soft_mass(soft_labels(s, d), 10).select("label", r6("mass").alias("mass"))
+    return filters.soft_mass(soft_labels(s, d), 2).select("label", r6("mass").alias("mass"))
 
 
 @query(sql("SELECT cell_id, round(score, 6) AS score FROM c WHERE NOT gone AND score < (SELECT score FROM (SELECT score, row_number() OVER (ORDER BY score DESC, cell_id) AS r FROM c WHERE NOT gone) WHERE r = (SELECT greatest(1, floor(count(*) * 0.06::DOUBLE)::BIGINT - count(*) FILTER (gone AND score >= 0.9::DOUBLE)) FROM c))", "cells", more="c AS (SELECT cell_id, score, cluster = 'BUILDING' AS gone FROM cells)"))
