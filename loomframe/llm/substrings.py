@@ -134,3 +134,14 @@ def remove_repeated_words(df: DataFrame, text_col: str = "text", id_col: str = "
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("n").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM v GROUP BY s),
+g AS (SELECT DISTINCT doc_id, i + k AS j FROM (SELECT doc_id, i FROM v JOIN f USING (s) WHERE first < doc_id), range(13) t(k)),
+o AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY j) AS kept FROM o ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
