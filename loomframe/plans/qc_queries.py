@@ -185,13 +185,13 @@ def expressed_genes(s, d):
     return counts(s, d).join(cells(s, d).filter("platform = 'ASIA'").select("cell_id"), "cell_id", "left_semi").groupBy("gene_id").agg(F.sum("count").alias("total")).filter("total > 0")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Parse' ELSE '10X_Chromium' END AS platform, CASE WHEN contains(f, 'Crohns') THEN 'disease' ELSE 'Normal' END AS status, 'batch' || (p_partkey % 7) AS folder FROM (SELECT p_partkey, 'batch' || (p_partkey % 7) || '/' || (CASE WHEN p_partkey % 2 = 0 THEN 'Crohns' ELSE 'N' END) || p_partkey || (CASE WHEN p_partkey % 3 = 0 THEN '.h5ad' ELSE '.h5' END) AS f FROM part)")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Parse' ELSE '10X_Chromium' END AS platform, CASE WHEN contains(f, 'Case') THEN 'disease' ELSE 'Normal' END AS status, 'batch' || (p_partkey % 7) AS folder FROM (SELECT p_partkey, 'batch' || (p_partkey % 7) || '/' || (CASE WHEN p_partkey % 2 = 0 THEN 'Case' ELSE 'N' END) || p_partkey || (CASE WHEN p_partkey % 3 = 0 THEN '.h5ad' ELSE '.h5' END) AS f FROM part)")
 def platform_from_suffix(s, d):
     from loomframe.sources import readers
 
     k = F.col("p_partkey")
-    path = F.concat(F.lit("batch"), (k % 7).cast("string"), F.lit("/"), F.when(k % 2 == 0, "Crohns").otherwise("N"), k.cast("string"), F.when(k % 3 == 0, ".h5ad").otherwise(".h5"))
-    return read(s, d, "part").select("p_partkey", path.alias("f")).select("p_partkey", readers.platform_of(F.col("f")).alias("platform"), labels.status(F.col("f"), "Crohns", "disease", "Normal").alias("status"), F.regexp_extract("f", "([^/]+)/[^/]+$", 1).alias("folder"))
+    path = F.concat(F.lit("batch"), (k % 7).cast("string"), F.lit("/"), F.when(k % 2 == 0, "Case").otherwise("N"), k.cast("string"), F.when(k % 3 == 0, ".h5ad").otherwise(".h5"))
+    return read(s, d, "part").select("p_partkey", path.alias("f")).select("p_partkey", readers.platform_of(F.col("f")).alias("platform"), labels.status(F.col("f"), "Case", "disease", "Normal").alias("status"), F.regexp_extract("f", "([^/]+)/[^/]+$", 1).alias("folder"))
 
 
 @query("SELECT s_suppkey::VARCHAR AS cell, label, coalesce(try_cast(v AS DOUBLE), 0.0::DOUBLE) AS value FROM (SELECT s_suppkey, unnest(['bal', 'name']) AS label, unnest([s_acctbal::VARCHAR, s_name]) AS v FROM supplier)")

@@ -61,10 +61,10 @@ def test_runs_and_folders(spark, tmp_path):
         readers.read_runs(spark, f"{tmp_path}/none*.csv")
     with pytest.raises(ValueError):
         readers.with_epoch(spark.createDataFrame([(1,)], "x int"))
-    for name in ("scvi_a", "scvi_b", "other"):
+    for name in ("trial_a", "trial_b", "other"):
         (tmp_path / name).mkdir()
-    os.utime(tmp_path / "scvi_a", (2e9, 2e9))
-    assert readers.newest(spark, str(tmp_path), "scvi_").endswith("scvi_a")
+    os.utime(tmp_path / "trial_a", (2e9, 2e9))
+    assert readers.newest(spark, str(tmp_path), "trial_").endswith("trial_a")
     found = readers.list_files(spark, str(tmp_path), r"run\d\.csv")
     assert [r.sample_id for r in found.collect()] == ["run1", "run2"]
 
