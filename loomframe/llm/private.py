@@ -104,7 +104,8 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, min_support: int, gener
     held = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
     entities = held.join(_sized(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    terms = words.join(_sized(pairs.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # counted before it is joined, so that the join sees a row for each term, not for each of its documents; a semi-join would be pushed below the count
+    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(_sized(pairs.select("term").distinct()), "term")
     rows = float(found.count())
     told = F.log(F.lit(rows) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(rows) / F.col("n_entity"))
     scored = pairs.join(entities, "entity").join(terms, "term").filter(F.col("n_entity") < rows).withColumn("disclosure", told)
