@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.anchored import _BASES, _Hashes, _mix, sized
-from loomframe.llm.common import SPACES, materialise, ships, table, worker_cache
+from loomframe.llm.anchored import _BASES, _Hashes, _mix, sized, text_keys, with_copies
+from loomframe.llm.common import SPACES, materialise, partitions, ships, table, worker_cache
 from loomframe.llm.components import connected
 
 ships(__name__)
@@ -93,7 +93,7 @@ def lists_of(s: np.ndarray, percent: int) -> list[np.ndarray]:
         at = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         sums, held = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > 0
         np.add.at(sums, at, mixed)
-        named = _mix(sums + np.arange(1, m + 1, dtype=np.uint64) * _BASES[0] + np.uint64(number + 1) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+        named = _mix(sums + np.arange(1, m + 1, dtype=np.uint64) * _BASES[0] + np.uint64((number + 1) * 0xD6E8FEB86659FD93 & 2**64 - 1)).view(np.int64)
         out.append(named if m - held.sum() > spare else named[held])
     return out
 
@@ -108,21 +108,47 @@ def _ragged(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
-def describe(rows: DataFrame, percent: int, size: int) -> DataFrame:
-    """(doc_id, key, n, node, lists, sketch) of ``rows`` (doc_id, key, text); node is a hash of the set."""
+def _node(s: np.ndarray) -> int | None:
+    """A hash of a set; none of an empty one."""
+    return int((_mix(np.sum(_mix(s ^ _BASES[1]), keepdims=True) + np.uint64(len(s))))[0].view(np.int64)) if len(s) else None
+
+
+def describe(rows: DataFrame, size: int) -> DataFrame:
+    """(doc_id, key, n, node, sketch) of ``rows`` (doc_id, key, text); node is a hash of the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_cache("shingle-words", _Hashes)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
-                sets = [shingles(memo, t or "", size) for t in batch.column(2).to_pylist()]
-                nodes = [int((_mix(np.sum(_mix(s ^ _BASES[1]), keepdims=True) + np.uint64(len(s))))[0].view(np.int64)) if len(s) else None for s in sets]
-                lists = [np.concatenate(lists_of(s, percent)) if len(s) else np.zeros(0, np.int64) for s in sets]
+                sets = [shingles(memo, t.as_py() or "", size) for t in batch.column(2)]
                 sketches = [odd_sketch(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), _ragged(lists), _ragged(sketches)], ["doc_id", "key", "n", "node", "lists", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.int64()), _ragged(sketches)], ["doc_id", "key", "n", "node", "sketch"])
+
+    return rows.select("doc_id", "key", "text").mapInArrow(work, "doc_id long, key long, n long, node long, sketch array<long>")
+
 
-    return rows.select("doc_id", "key", "text").mapInArrow(work, "doc_id long, key long, n long, node long, lists array<long>, sketch array<long>")
+def entries_of(rows: DataFrame, percent: int, size: int) -> DataFrame:
+    """(list, node): a row for each index list of each text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = worker_cache("shingle-words", _Hashes)
+        for batch in batches:
+            lists, nodes, held = [], [], 0
+            for t in batch.column(0):
+                s = shingles(memo, t.as_py() or "", size)
+                if len(s):
+                    own = np.concatenate(lists_of(s, percent))
+                    lists.append(own)
+                    nodes.append(np.full(len(own), _node(s), np.int64))
+                    held += len(own)
+                if held >= 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(nodes))], ["list", "node"])
+                    lists, nodes, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(nodes))], ["list", "node"])
+
+    return rows.select("text").mapInArrow(work, "list long, node long")
 
 
 def contents(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -134,7 +160,7 @@ def contents(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 sets = [shingles(memo, t or "", size).view(np.int64) for t in batch.column(1).to_pylist()]
-                nodes = [int((_mix(np.sum(_mix(s.view(np.uint64) ^ _BASES[1]), keepdims=True) + np.uint64(len(s))))[0].view(np.int64)) if len(s) else None for s in sets]
+                nodes = [_node(x.view(np.uint64)) for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _ragged(sets)], ["node", "items"])
 
     ids = nodes.select("ord").distinct()
@@ -159,22 +185,23 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     order = F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))
-    sets = materialise(describe(rows, percent, size), "sets").withColumn("ord", order)
-    groups = materialise(sets.filter("n > 0").groupBy("node").agg(F.count("*").alias("c"), F.min("ord").alias("first")).filter("c > 1"), "equal-sets")
-    lone = sets.filter("n > 0").join(sized(groups.select("node", "first")), "node", "left").filter(F.col("first").isNull() | (F.col("ord") == F.col("first")))
-    entries = lone.select("node", "ord", "n", F.explode("lists").alias("list"))
+    sets = materialise(describe(rows, size), "sets").withColumn("ord", order)
+    keyed = with_copies(text_keys(df, text_col, id_col))
+    lone = keyed.filter(F.col("first").isNull() | (F.col("ord") == F.col("first")))
+    # one exchange deals the entries for both: which lists hold two sets, and who is in them
+    entries = entries_of(lone, percent, size).repartition(partitions(df.sparkSession), "list")
     lists = entries.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list", "a")
-    members = materialise(entries.join(lists, "list"), "members")
+    members = materialise(entries.join(lists, "list").distinct(), "members")
     pairs = materialise(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
-    items = materialise(contents(rows.withColumn("ord", order), members.select("node", "ord").distinct(), size), "items")
+    places = materialise(sets.filter("n > 0").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(members.select("node").distinct(), "node", "left_semi"), "places")
+    items = materialise(contents(rows.withColumn("ord", order), places.select("node", "ord"), size), "items")
     links = materialise(verified(pairs, items, percent), "links")
     parts = materialise(connected(links), "parts")
     # lists that hold several components: their sets outside the largest one against all others
-    placed = members.select("list", "node", "n").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = members.select("list", "node").join(places.select("node", "n"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
     open_lists = sizes.filter("parts > 1").select("list", F.col("top.component").alias("top"))
-    sketches = lone.select("node", "sketch").dropDuplicates(["node"])
-    rest = materialise(placed.join(open_lists, "list").join(sketches, "node"), "open")
+    rest = materialise(placed.join(open_lists, "list").join(places.select("node", "sketch"), "node"), "open")
     left = rest.filter("component <> top").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch")])
     right = rest.select("list", "node", "n", "component", "sketch", "top")
     far = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("l_sketch", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("l_sketch", F.lit(0)))))
