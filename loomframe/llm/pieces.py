@@ -8,9 +8,10 @@ accepts it if it is compatible with the token before (the pair is merged again,
 with a memo), else tries the next shorter prefix, and steps back when none is
 left. A bitfield of failed positions keeps that linear.
 
-White space only begins pieces (checked when the model is read), so a text is
-encoded word by word, with a bounded memo of words. Characters that no piece
-holds become byte pieces.
+Nothing merges over two characters that stand together in no piece. White space
+only begins pieces (checked when the model is read), so a text is encoded word
+by word, and a word part by part, cut at such places; bounded memos hold words,
+parts and pairs. Characters that no piece holds become byte pieces.
 
 The model must have no text normalisation, a dummy prefix, kept white space
 and byte fallback, as ``piece_bpe_32k.model`` has; tests hold the results
@@ -35,8 +36,8 @@ from loomframe.llm.common import ships, table, worker_cache
 ships(__name__)
 
 SPACE = "▁"
-#: Entries after which a worker's memo of words or pairs starts anew.
-MEMO = 200_000
+#: Entries after which a worker's memo of words, parts or pairs starts anew.
+MEMO = 300_000
 
 
 @dataclass(frozen=True)
@@ -93,12 +94,14 @@ class Encoder:
         self.text = {i: p for p, i in self.ids.items()}
         self.find = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.find.add_word(p, (len(p), i))
+            self.find.add_word(p, (len(p) - 1, i))
         self.find.make_automaton()
-        self.foreign = re.compile("[^" + re.escape("".join(c for c in self.ids if len(c) == 1)) + "]")
+        self.together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.size = {i: len(p) for p, i in self.ids.items()}
         self.shorter = _Memo(self._shorter)
         self.compatible = _Memo(self._compatible)
         self.words = _Memo(self._word)
+        self.parts = _Memo(self._part)
 
     def _shorter(self, token: int) -> int | None:
         p = self.text[token]
@@ -117,49 +120,54 @@ class Encoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _compatible(self, pair: tuple[int | None, int]) -> bool:
-        want = [self.text[t] for t in pair if t is not None]
+    def _compatible(self, pair: int) -> bool:
+        """Of two tokens as ``(first + 1) << 34 | second``; without a first one, whether the second is made by merges at all."""
+        first, second = pair >> 34, pair & (1 << 34) - 1
+        want = [self.text[first - 1], self.text[second]] if first else [self.text[second]]
         return self.merged("".join(want)) == want
 
     def run(self, text: str) -> list[int]:
         """Encodes characters that all have pieces."""
-        n, tokens, at = len(text), [], 0
-        longest: list = [(0, -1)] * n
+        n, tokens, at, last = len(text), [], 0, 0
+        longest: list = [None] * n
         for end, match in self.find.iter(text):
-            start = end - match[0] + 1
-            if match[0] > longest[start][0]:
-                longest[start] = match
-        failed, text_of, compatible, shorter = bytearray(n + 1), self.text, self.compatible, self.shorter
-        token = longest[0][1]
+            longest[end - match[0]] = match[1]  # later ends are longer matches
+        failed, size, compatible, shorter = bytearray(n + 1), self.size, self.compatible, self.shorter
+        token = longest[0]
         while at < n:
-            end = at + len(text_of[token])
-            if not failed[end] and compatible[(tokens[-1] if tokens else None, token)]:
+            end = at + size[token]
+            if not failed[end] and compatible[last << 34 | token]:
                 tokens.append(token)
-                at = end
+                last, at = token + 1, end
                 if at < n:
-                    token = longest[at][1]
+                    token = longest[at]
                 continue
             less = shorter[token]
             while less is None:
                 failed[at] = 1
                 token = tokens.pop()
-                at -= len(text_of[token])
+                last = tokens[-1] + 1 if tokens else 0
+                at -= size[token]
                 less = shorter[token]
             token = less
         return tokens
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        out, at, word = [], 0, SPACE + word
-        for m in chain(self.foreign.finditer(word), (None,)):
-            stop = m.start() if m else len(word)
-            if stop > at:
-                for t in self.run(word[at:stop]):
-                    out += [t] if t < 2**32 else self._bytes(chr(t - 2**32))
-            if m:
-                out += self._bytes(m[0])
-                at = m.end()
+    def _part(self, part: str) -> tuple[int, ...]:
+        if part not in self.ids and len(part) == 1:
+            return tuple(self._bytes(part))
+        out: list[int] = []
+        for t in self.run(part):
+            out += [t] if t < 2**32 else self._bytes(chr(t - 2**32))
         return tuple(out)
 
+    def _word(self, word: str) -> tuple[int, ...]:
+        word, together = SPACE + word, self.together
+        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in together]
+        if not cuts:
+            return self._part(word)
+        parts = map(word.__getitem__, map(slice, [0, *cuts], [*cuts, len(word)]))
+        return tuple(chain.from_iterable(self.parts[p] if len(p) <= 64 else self._part(p) for p in parts))
+
     def _bytes(self, c: str) -> list[int]:
         return [self.model.bytes_at + b for b in c.encode()]
 
