@@ -40,6 +40,8 @@ SHINGLE = 3
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 90
 SKETCH = 16
+#: Partitions of index entries for each shuffle partition: a text has hundreds of entries.
+SPREAD = 4
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -124,6 +126,7 @@ def describe(rows: DataFrame, size: int) -> DataFrame:
                 sets = [shingles(memo, t.as_py() or "", size) for t in batch.column(2)]
                 sketches = [odd_sketch(s) if len(s) else np.zeros(0, np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.int64()), _ragged(sketches)], ["doc_id", "key", "n", "node", "sketch"])
+            pa.default_memory_pool().release_unused()
 
     return rows.select("doc_id", "key", "text").mapInArrow(work, "doc_id long, key long, n long, node long, sketch array<long>")
 
@@ -142,11 +145,12 @@ def entries_of(rows: DataFrame, percent: int, size: int) -> DataFrame:
                     lists.append(own)
                     nodes.append(np.full(len(own), _node(s), np.int64))
                     held += len(own)
-                if held >= 200_000:
+                if held >= 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(nodes))], ["list", "node"])
                     lists, nodes, held = [], [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(nodes))], ["list", "node"])
+            pa.default_memory_pool().release_unused()
 
     return rows.select("text").mapInArrow(work, "list long, node long")
 
@@ -189,7 +193,7 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
     keyed = with_copies(text_keys(df, text_col, id_col))
     lone = keyed.filter(F.col("first").isNull() | (F.col("ord") == F.col("first")))
     # one exchange deals the entries for both: which lists hold two sets, and who is in them
-    entries = entries_of(lone, percent, size).repartition(partitions(df.sparkSession), "list")
+    entries = entries_of(lone, percent, size).repartition(SPREAD * partitions(df.sparkSession), "list")
     lists = entries.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list", "a")
     members = materialise(entries.join(lists, "list").distinct(), "members")
     pairs = materialise(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
