@@ -8,11 +8,10 @@ the starts.
 
 Terms near an entity can reveal it as well. Over the whole corpus, a term's
 disclosure of an entity is PMI(term; entity) / IC(entity): 1 when the term
-stands only in documents with the entity, 0 when it says nothing. Terms that
-stand near the entity in at least ``min_support`` different texts are removed
-where they disclose ``remove_at`` or more and generalised where they disclose
-``generalise_at`` or more. (An entity in a single text has no co-occurrence to
-estimate from; there only the entity itself is treated.)
+stands only in documents with the entity, 0 when it says nothing. Terms near
+the entity, be it in a single document only, are removed where they disclose
+``remove_at`` or more and generalised where they disclose ``generalise_at`` or
+more. (An entity in every document has no information to disclose.)
 """
 
 from __future__ import annotations
@@ -96,11 +95,10 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if fits(small, BROADCAST_ROWS) else small
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, min_support: int, generalise_at: float, remove_at: float) -> DataFrame:
+def disclosing_terms(found: DataFrame, texts: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
     """(entity, term, kind) for the terms that disclose an entity; counts are of documents, over the whole corpus."""
-    near = found.select("key", F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p")).select("key", "p.*")
-    pairs = near.groupBy("key", "entity", "term").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_both")).filter(F.col("texts") >= min_support)
-    pairs = materialise(pairs, "term-pairs")
+    near = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p")).select("p.*")
+    pairs = materialise(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "term-pairs")
     held = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
     entities = held.join(_sized(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
@@ -112,7 +110,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, min_support: int, gener
     return scored.filter(F.col("disclosure") >= generalise_at).select("entity", "term", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("kind"))
 
 
-def find_private(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", context: int = 48, min_support: int = 3, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def find_private(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", context: int = 48, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """``doc_id``, ``key`` (hash of the text), ``base`` and ``added``: spans as (start, kind, stop, value).
 
     One row for each row of ``df``; a null text is an empty one; an empty table
@@ -122,7 +120,7 @@ def find_private(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     taken = _taken(df, id_col, text_col)
     found = taken.select("doc_id", "key", "text", base_spans(F.col("text")).alias("spans"))
     found = materialise(found.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), context)).otherwise(F.expr("cast(array() as array<struct<entity:string,term:string,start:int,stop:int>>)")).alias("contexts")), "entities")
-    terms = materialise(disclosing_terms(found.filter(F.size("spans") > 0).unionByName(found.filter(F.size("spans") == 0)), taken, min_support, generalise_at, remove_at), "disclosing-terms")
+    terms = materialise(disclosing_terms(found.filter(F.size("spans") > 0).unionByName(found.filter(F.size("spans") == 0)), taken, generalise_at, remove_at), "disclosing-terms")
     # doc_id and key name a row's text, so repeated rows share what is found for them
     hits = found.filter(F.size("contexts") > 0).select("doc_id", "key", "spans", F.explode("contexts").alias("c")).select("doc_id", "key", "spans", "c.*")
     hits = hits.filter(~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"])))

@@ -52,6 +52,13 @@ def test_terms_that_disclose(spark):
     assert not out[10] and not out[101]
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    rows = [(i, "some other words stand here") for i in range(40)] + [(50, "words from Quillfeather at ann@b.org stand here")]
+    out = {x.doc_id: [(s.value, s.kind) for s in x.added] for x in private.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert ("quillfeather", 5) in out[50] and "words" not in [v for v, _ in out[50]]
+    assert not any(out[i] for i in range(40))
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é a@b.cd, +1 (437) 555-0689.",), ("none",), ("",)], "text string")
     got = [x[0] for x in df.select(private.redact(F.col("text"), private.base_spans(F.col("text")))).collect()]
