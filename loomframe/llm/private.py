@@ -6,12 +6,14 @@ from its start (or from where the last match ended) only, which gives the same
 leftmost matches. Offsets are code points: the pieces between the matches give
 the starts.
 
-Terms near an entity can reveal it as well. Over the whole corpus, a term's
-disclosure of an entity is PMI(term; entity) / IC(entity): 1 when the term
-stands only in documents with the entity, 0 when it says nothing. Terms near
-the entity, be it in a single document only, are removed where they disclose
-``remove_at`` or more and generalised where they disclose ``generalise_at`` or
-more. (An entity in every document has no information to disclose.)
+Terms that stand in a document with an entity can reveal it as well. Over the
+whole corpus, a term's disclosure of an entity is PMI(term; entity) /
+IC(entity), all counts being of whole documents: 1 when the term stands only in
+documents with the entity, 0 when it says nothing. In the documents with the
+entity, be it a single one, all occurrences of a term are removed where it
+discloses ``remove_at`` or more and generalised where it discloses
+``generalise_at`` or more. (An entity in every document has no information to
+disclose.)
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_TERM = r"\p{L}{4,}"
+_TERM = r"[\p{L}\p{M}\p{N}_]++"
 _SPANS = "array<struct<start:int,kind:int,stop:int,value:string>>"
+_TERM_SPANS = "array<struct<term:string,start:int,stop:int>>"
+#: Terms of a block, within which they are placed one by one.
+_BLOCK = 128
 #: Rows up to which a table of terms is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -71,19 +76,25 @@ def base_spans(text: Column) -> Column:
     return let(text, found)
 
 
-def _contexts(text: Column, spans: Column, context: int) -> Column:
-    """Terms within ``context`` code points of each entity: (entity, term, start, stop).
+def _term_spans(text: Column) -> Column:
+    """All terms of ``text`` as (term, start, stop), the terms in lower case.
 
-    A term that the context's border may cut isn't used.
+    Matches are placed within blocks, and blocks one after another, so that
+    work isn't quadratic in the length of a text.
     """
 
-    def near(t: Column, s: Column) -> Column:
-        lo = F.greatest(s["start"] - context, F.lit(0))
-        hi = F.least(s["stop"] + context, F.length(t))
-        side = lambda a, b: F.transform(F.filter(find_spans(F.substring(t, a + 1, b - a), _TERM, 0), lambda x: ((x["start"] > 0) | (a == 0) | (a == s["stop"])) & ((x["stop"] < b - a) | (b == s["start"]) | (b == F.length(t)))), lambda x: F.struct(F.lower(s["value"]).alias("entity"), F.lower(x["value"]).alias("term"), (x["start"] + a).alias("start"), (x["stop"] + a).alias("stop")))
-        return F.concat(side(lo, s["start"]), side(s["stop"], hi))
+    def block(sized: Column) -> Column:
+        step = lambda a, x: F.struct((a["at"] + x["gap"] + x["size"]).alias("at"), F.concat(a["out"], F.array(F.struct(x["term"].alias("term"), (a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["size"]).alias("stop")))).cast(_TERM_SPANS).alias("out"))
+        return F.aggregate(sized, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_TERM_SPANS})").alias("out")), step)
 
-    return let(text, lambda t: F.flatten(F.transform(spans, lambda s: near(t, s))))
+    def place(values: Column) -> Column:
+        sized = F.zip_with(values, F.slice(F.split(text, _TERM, -1), 1, F.size(values)), lambda v, g: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), F.lower(v).alias("term")))
+        blocks = let(sized, lambda z: F.transform(F.sequence(F.lit(1), F.size(z), F.lit(_BLOCK)), lambda i: block(F.slice(z, i, F.lit(_BLOCK)))))
+        starts = lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).cast("array<int>").alias("out")), lambda a: a["out"])
+        moved = lambda b: F.flatten(F.zip_with(b, starts(b), lambda x, at: F.transform(x["out"], lambda s: F.struct(s["term"].alias("term"), (s["start"] + at).alias("start"), (s["stop"] + at).alias("stop")))))
+        return F.when(F.size(values) == 0, F.expr(f"cast(array() as {_TERM_SPANS})")).otherwise(let(blocks, moved).cast(_TERM_SPANS))
+
+    return let(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), place)
 
 
 def _taken(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,22 +106,51 @@ def _sized(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if fits(small, BROADCAST_ROWS) else small
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
-    """(entity, term, kind) for the terms that disclose an entity; counts are of documents, over the whole corpus."""
-    near = found.select(F.explode(F.array_distinct(F.transform("contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = materialise(near.groupBy("entity", "term").agg(F.count("*").alias("n_both")), "term-pairs")
-    held = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
-    entities = held.join(_sized(pairs.select("entity").distinct()), "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term"))
-    # counted before it is joined, so that the join sees a row for each term, not for each of its documents; a semi-join would be pushed below the count
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term")).join(_sized(pairs.select("term").distinct()), "term")
-    rows = float(found.count())
-    told = F.log(F.lit(rows) * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(F.lit(rows) / F.col("n_entity"))
-    scored = pairs.join(entities, "entity").join(terms, "term").filter(F.col("n_entity") < rows).withColumn("disclosure", told)
-    return scored.filter(F.col("disclosure") >= generalise_at).select("entity", "term", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("kind"))
+def _same(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a`` with the rows of ``b`` for the same document (doc_id and key)."""
+    b = b.withColumnsRenamed({"doc_id": "_lf_id", "key": "_lf_key"})
+    return a.join(b, F.col("doc_id").eqNullSafe(F.col("_lf_id")) & (F.col("key") == F.col("_lf_key"))).drop("_lf_id", "_lf_key")
 
 
-def find_private(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", context: int = 48, generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
+def disclosing_terms(found: DataFrame, texts: DataFrame, generalise_at: float, remove_at: float) -> DataFrame:
+    """(doc_id, key, start, stop, term, kind) for all occurrences of terms that disclose an entity of their document.
+
+    Counts are of whole documents, over the whole corpus. Entities that stand
+    in the same documents are scored as one. A pair's disclosure can't reach
+    ``generalise_at`` where the term stands in more than
+    rows ** (1 - generalise_at) * n_entity ** generalise_at documents (as
+    n_both is n_entity at most), so such pairs aren't made.
+    """
+    rows = float(found.count())
+    # repeated rows are one document here, counted as often as it stands there
+    held = found.filter(F.size("spans") > 0).groupBy("doc_id", "key").agg(F.count("*").alias("copies"), F.first("spans").alias("spans"))
+    held = held.select("doc_id", "key", "copies", F.explode(F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"])))).alias("entity"))
+    mark = lambda seed: F.sum(F.xxhash64("doc_id", "key", F.lit(seed)).cast("decimal(20,0)")).alias(f"mark{seed}")
+    names = ["n_entity", "mark1", "mark2"]
+    # entities with the same documents have the same marks
+    entities = held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), mark(1), mark(2)).filter(F.col("n_entity") < rows)
+    told = lambda both, term: F.log(F.lit(rows) * both / (F.col("n_entity") * term)) / F.log(F.lit(rows) / F.col("n_entity"))
+    # a little more than the bound, for rounding; the score decides
+    bound = F.pow(F.lit(rows), F.lit(1 - generalise_at)) * F.pow(F.col("n_entity").cast("double"), F.lit(generalise_at)) * 1.000001
+    groups = held.join(_sized(entities), "entity").groupBy("doc_id", "key", *names).agg(F.first("copies").alias("copies")).withColumn("most", bound)
+    groups = materialise(groups, "entity-groups")
+    # counted before it is joined, so that the join sees a row for each term, not for each of its documents; a semi-join would be pushed below the count
+    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))).alias("term"))
+    limit = groups.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    terms = materialise(words.groupBy("term").agg(F.count("*").alias("n_term")).filter(F.col("n_term") <= limit), "terms")
+    least = groups.groupBy("doc_id", "key").agg(F.max("most").alias("reach"))
+    private = _same(texts, _sized(least)).dropDuplicates(["doc_id", "key"])
+    spots = private.select("doc_id", "key", "reach", F.explode(_term_spans(F.col("text"))).alias("t")).select("doc_id", "key", "reach", "t.*")
+    spots = materialise(spots.join(_sized(terms), "term").filter(F.col("n_term") <= F.col("reach")).drop("reach"), "term-spots")
+    pairs = _same(spots.select("doc_id", "key", "term", "n_term").distinct(), _sized(groups)).filter(F.col("n_term") <= F.col("most"))
+    pairs = materialise(pairs.select("doc_id", "key", "term", "n_term", "copies", *names), "term-pairs")
+    scored = pairs.groupBy("term", "n_term", *names).agg(F.sum("copies").alias("n_both")).withColumn("disclosure", told(F.col("n_both"), F.col("n_term")))
+    scored = scored.filter(F.col("disclosure") >= generalise_at).select("term", *names, F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("kind"))
+    kinds = pairs.join(scored, ["term", *names]).groupBy("doc_id", "key", "term").agg(F.max("kind").alias("kind")).withColumnRenamed("term", "named")
+    return _same(spots, kinds).filter(F.col("term") == F.col("named")).select("doc_id", "key", "start", "stop", "term", "kind")
+
+
+def find_private(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", generalise_at: float = 0.7, remove_at: float = 0.9) -> DataFrame:
     """``doc_id``, ``key`` (hash of the text), ``base`` and ``added``: spans as (start, kind, stop, value).
 
     One row for each row of ``df``; a null text is an empty one; an empty table
@@ -118,16 +158,13 @@ def find_private(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     places in ``ALL_KINDS``.
     """
     taken = _taken(df, id_col, text_col)
-    found = taken.select("doc_id", "key", "text", base_spans(F.col("text")).alias("spans"))
-    found = materialise(found.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), context)).otherwise(F.expr("cast(array() as array<struct<entity:string,term:string,start:int,stop:int>>)")).alias("contexts")), "entities")
-    terms = materialise(disclosing_terms(found.filter(F.size("spans") > 0).unionByName(found.filter(F.size("spans") == 0)), taken, generalise_at, remove_at), "disclosing-terms")
+    found = materialise(taken.select("doc_id", "key", base_spans(F.col("text")).alias("spans")), "entities")
+    hits = disclosing_terms(found, taken, generalise_at, remove_at)
     # doc_id and key name a row's text, so repeated rows share what is found for them
-    hits = found.filter(F.size("contexts") > 0).select("doc_id", "key", "spans", F.explode("contexts").alias("c")).select("doc_id", "key", "spans", "c.*")
-    hits = hits.filter(~F.exists("spans", lambda s: (s["start"] < F.col("stop")) & (F.col("start") < s["stop"])))
-    added = hits.join(_sized(terms), ["entity", "term"]).groupBy("doc_id", "key", "start", "stop", "term").agg(F.max("kind").alias("kind"))
-    added = added.groupBy(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", F.col("term").alias("value")))).cast(_SPANS).alias("added"))
+    added = hits.groupBy(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key")).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", F.col("term").alias("value")))).cast(_SPANS).alias("added"))
     joined = found.join(added, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("key") == F.col("a_key")), "left")
-    return joined.select("doc_id", "key", F.col("spans").alias("base"), F.coalesce("added", F.expr(f"cast(array() as {_SPANS})")).alias("added"))
+    outside = F.filter("added", lambda x: ~F.exists("spans", lambda s: (s["start"] < x["stop"]) & (x["start"] < s["stop"])))
+    return joined.select("doc_id", "key", F.col("spans").alias("base"), F.coalesce(outside, F.expr(f"cast(array() as {_SPANS})")).alias("added"))
 
 
 def told(spans: Column) -> Column:

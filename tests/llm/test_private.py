@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -59,6 +61,38 @@ def test_terms_of_an_entity_in_one_document(spark):
     assert not any(out[i] for i in range(40))
 
 
+def test_disclosure_over_whole_documents(spark):
+    r = random.Random(7)
+    common = [f"common{i}" for i in range(8)]
+    texts = [" ".join(r.choices(common, k=r.randint(0, 12))) for _ in range(60)]
+    for i in range(0, 40, 3):
+        texts[i] += " " + " ".join(r.choice(("ann@b.org", "+49 30 1234567", "Bob@c.de")) for _ in range(r.randint(1, 3))) + " x" * 200 + f" Jo {r.choice(('user7', 'zed', 'Ümlaut_9'))} JO rare{i}"
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[6]), (90, None)]
+    term = re.compile(r"[^\W]+")
+    docs = [(d, t or "", brute(t)) for d, t in rows]
+    terms = [{m[0].lower() for m in term.finditer(t)} for _, t, _ in docs]
+    entities = [{t[a:b].lower() for a, _, b in s} for _, t, s in docs]
+    n = len(docs)
+    n_term, n_entity = (Counter(x for d in sets for x in d) for sets in (terms, entities))
+    n_both = Counter((e, w) for es, ws in zip(entities, terms, strict=True) for e in es for w in ws)
+    score = lambda e, w: math.log(n * n_both[e, w] / (n_entity[e] * n_term[w])) / math.log(n / n_entity[e])
+    expected = []
+    for (d, t, spans), es in zip(docs, entities, strict=True):
+        out = []
+        for m in term.finditer(t):
+            best = max((score(e, m[0].lower()) for e in es), default=0)
+            if best >= 0.7 and not any(a < m.end() and m.start() < b for a, _, b in spans):
+                out.append((m.start(), 5 if best >= 0.9 else 4, m.end()))
+        expected.append((str(d), out))
+    got = private.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(x.doc_id), [(s.start, s.kind, s.stop) for s in x.added]) for x in got) == sorted(expected)
+    assert any(len(out) > 2 for _, out in expected)
+    # every occurrence, however far away; the places in a long text
+    far = "Jo " + "common0 " * 5000 + "ann@z.org Jo"
+    out = private.find_private(spark.createDataFrame([(1, far)] + [(i, "common0") for i in range(2, 9)], "doc_id long, text string")).filter("doc_id = 1").first().added
+    assert [(s.start, s.stop, s.kind) for s in out] == [(0, 2, 5), (len(far) - 2, len(far), 5)]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("é a@b.cd, +1 (437) 555-0689.",), ("none",), ("",)], "text string")
     got = [x[0] for x in df.select(private.redact(F.col("text"), private.base_spans(F.col("text")))).collect()]
