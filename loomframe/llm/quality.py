@@ -7,15 +7,16 @@ unlabelled documents it is most sure of, with its own labels, to the other.
 A logistic regression on a held-out part of the labelled rows calibrates and
 combines the views; it scores every document.
 
-Fitting uses at most ``max_labelled`` labelled and ``max_pool`` unlabelled
-documents, those with the smallest hashes of their ids; both are parameters.
-Everything else covers all rows and all of each text.
+Fitting uses at most ``max_labelled`` labelled documents, those with the
+smallest hashes of their ids, and all unlabelled ones: each round scores all of
+them, and the fit sums slopes and curves of those lent. Everything covers all
+of each text.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import ships, table
+from loomframe.llm.common import fits, materialise, ships, table
 
 ships(__name__)
 
+#: Labels up to which their ids are broadcast; beyond, features are shuffled.
+BROADCAST_ROWS = 200_000
+
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", "!", "?", ".", ",", ";:", "'\"", "-_", "|", "#", "*", "$%&", "<>", "()[]{}", "@", "/\\", "=+~^`"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)
 for _i, _g in enumerate(_GROUPS):
@@ -59,13 +63,18 @@ def meta_features(source: str | None, lang: str | None, n_chars: int | None) ->
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
-    """Weighted ridge logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, more: Callable | None = None, start: np.ndarray | None = None) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton steps.
+
+    ``more`` gives slope and curve, at given weights, of rows that aren't here.
+    """
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (weight * (p - y)) + ridge * w
-        curve = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        slope, curve = moments(x, y, weight, w)
+        if more is not None:
+            a, b = more(w)
+            slope, curve = slope + a, curve + b
+        slope, curve = slope + ridge * w, curve + ridge * np.eye(x.shape[1])
         step = np.linalg.solve(curve, slope)
         w -= step * min(1.0, 10 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-4:
@@ -73,6 +82,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float)
     return w
 
 
+def moments(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weight * (p - y)), (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Weights of the views and of their combination; of fixed size."""
@@ -88,66 +102,195 @@ class Classifier:
         return 1 / (1 + np.exp(-(self.mix[0] * a + self.mix[1] * b + self.mix[2])))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95) -> Classifier:
+def _stack(rows: object, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(map(bytes, rows)), np.float32).reshape(-1, n).astype(np.float64)
+
+
+def _matrix(column: pa.Array, n: int) -> np.ndarray:
+    return _stack(column.to_pylist(), n)
+
+
+class Pool:
+    """Unlabelled documents (h, t, m: hash of the id and features), all of them, as a table.
+
+    What a round lends is told by the weights and cuts of that round, so a scan
+    knows what earlier rounds lent. A row's key is how sure a view is of it (to
+    six places), then the hash. Lent rows are written with their features.
+    """
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.n = rows, rows.count()
+        self.past: list[tuple] = []  # of each round: weights of the views, {(view, label): least key}
+        self.lent: list[DataFrame | None] = [None, None]
+
+    def _scan(self, work: Callable, schema: str) -> DataFrame:
+        """``work`` over the views' features, the hashes and the batch, for each batch."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    views = [_matrix(batch.column(1), N_TEXT), _matrix(batch.column(2), N_META)]
+                    yield from work(views, batch.column(0).to_numpy(), batch)
+
+        return self.rows.select("h", "t", "m").mapInArrow(run, schema)
+
+    def lend(self, weights: list[np.ndarray], most: dict[tuple[int, int], int], sure: float) -> None:
+        """Each view lends its ``most`` surest rows of either label, by (view, label), to the other; rows are lent to a view once."""
+        past, least = list(self.past), int(round(float(np.log(sure / (1 - sure))) * 1e6))
+
+        def candidates(views: list[np.ndarray], h: np.ndarray, _: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            free = _free(views, h, past)
+            for k in range(2):
+                for label in range(2):
+                    key = _keys(views[k], weights[k], h, label)
+                    key = key[free[k] & (key >= least << _HASH_BITS)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), 2 * k + label, np.int32)), pa.array(key)], ["which", "key"])
+
+        keys = materialise(self._scan(candidates, "which int, key long"), "quality-keys")
+        cuts, n = _cuts(keys, {2 * k + label: m for (k, label), m in most.items()})
+        cuts = {(c // 2, c % 2): cut for c, cut in cuts.items()}
+        self.past.append((weights[0].copy(), weights[1].copy(), cuts))
+        for k in range(2):
+            def picked(views: list[np.ndarray], h: np.ndarray, batch: pa.RecordBatch, k: int = k) -> Iterator[pa.RecordBatch]:
+                free = _free(views, h, past)[k]
+                for label in range(2):
+                    if (k, label) in cuts:
+                        rows = pa.array(free & (_keys(views[k], weights[k], h, label) >= cuts[k, label]))
+                        x = batch.column(2 - k).filter(rows)  # of the view that they are lent to
+                        yield pa.RecordBatch.from_arrays([x, pa.array(np.full(len(x), float(label)))], ["x", "y"])
+
+            if n[2 * k] + n[2 * k + 1]:
+                new = self._scan(picked, "x binary, y double").repartition(-(-(n[2 * k] + n[2 * k + 1]) // 10_000))
+                new = materialise(new, "quality-lent")
+                self.lent[1 - k] = new if self.lent[1 - k] is None else self.lent[1 - k].unionByName(new)
+
+    def moments(self, k: int, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+        """Slope and curve of the rows lent to view ``k``, summed up in Spark; the driver gets one matrix."""
+        n = len(w)
+        if self.lent[k] is None:
+            return np.zeros(n), np.zeros((n, n))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((n + 1, n))
+            for batch in batches:
+                if batch.num_rows:
+                    a, b = moments(_matrix(batch.column(0), n), batch.column(1).to_numpy(), weight, w)
+                    total += np.concatenate([a[None], b])
+            strips = range(0, n + 1, _STRIP)
+            yield pa.RecordBatch.from_arrays([pa.array(list(strips), pa.int32()), pa.array([total[s : s + _STRIP].tobytes() for s in strips], pa.binary())], ["strip", "v"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v) for v in table.column("v").to_pylist())
+            return pa.table({"strip": table.column("strip").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
+
+        rows = self.lent[k].mapInArrow(part, "strip int, v binary").groupBy("strip").applyInArrow(add, "strip int, v binary").collect()
+        total = np.frombuffer(b"".join(bytes(r["v"]) for r in sorted(rows, key=lambda r: r["strip"]))).reshape(n + 1, n)
+        return total[0], total[1:]
+
+
+_HASH_BITS, _STRIP, _DIGIT = 35, 40, 15
+
+
+def _keys(x: np.ndarray, w: np.ndarray, h: np.ndarray, label: int) -> np.ndarray:
+    """How sure the view is of ``label``, in millionths of the logit, then bits of the hash; negative where it is sure of the other."""
+    z = np.round(np.clip(x @ w, -30, 30) * 1e6).astype(np.int64)
+    return ((z if label else -z) << _HASH_BITS) + ((h >> 29) & ((1 << _HASH_BITS) - 1))
+
+
+def _free(views: list[np.ndarray], h: np.ndarray, past: list[tuple]) -> list[np.ndarray]:
+    """For each view, which rows it hasn't lent in ``past`` rounds."""
+    free = [np.ones(len(h), bool), np.ones(len(h), bool)]
+    for *weights, cuts in past:
+        for (k, label), cut in cuts.items():
+            free[k] &= _keys(views[k], weights[k], h, label) < cut
+    return free
+
+
+def _cuts(keys: DataFrame, most: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
+    """For each ``which``, the ``most``-th largest key (the least one where there are fewer) and the rows from it on; by counts of digits."""
+    heads, above = dict.fromkeys(most, 0), dict.fromkeys(most, 0)
+    taken = dict.fromkeys(most, 0)
+    for shift in range(60 - _DIGIT, -1, -_DIGIT):
+        here = F.lit(False)
+        for c, head in heads.items():
+            here |= (F.col("which") == c) & (F.shiftright("key", shift + _DIGIT) == head)
+        counts = keys.filter(here).groupBy("which", F.shiftright("key", shift).alias("digits")).agg(F.count("*").alias("n")).collect()
+        found: dict[int, list] = {}
+        for r in counts:
+            found.setdefault(r["which"], []).append((r["digits"], r["n"]))
+        heads = {}
+        for c, digits in found.items():
+            for d, n in sorted(digits, reverse=True):
+                heads[c], taken[c] = d, above[c] + n
+                if taken[c] >= most[c]:
+                    break
+                above[c] += n
+            else:
+                above[c] -= n
+    return heads, taken
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool: Pool, rounds: int = 4, share: float = 0.05, sure: float = 0.95) -> Classifier:
     """Fits on two thirds of the labelled rows and calibrates on the rest.
 
     In each round a view labels at most ``share`` of the pool for the other,
     its surest documents of either class, none with less than ``sure``.
     """
-    if not len(y) or y.min() == y.max():
-        always = float(y.mean()) if len(y) else 1.0
-        return Classifier(np.zeros(N_TEXT), np.zeros(N_META), np.array([0.0, 0.0, 6.0 if always >= 0.5 else -6.0]))
     held = np.arange(len(y)) % 3 == 2
-    views = [(text, pool_text, 0.5), (meta, pool_meta, 5.0)]
-    lent: list[dict[int, int]] = [{}, {}]  # pool row -> label, lent to view k
-    weights = [np.zeros(0), np.zeros(0)]
+    views = [(text, 0.5), (meta, 5.0)]
+    weights = [np.zeros(N_TEXT), np.zeros(N_META)]
     for again in range(rounds + 1):
-        for k, (x, pool, ridge) in enumerate(views):
-            rows, labels = np.array(list(lent[k]), int), np.array(list(lent[k].values()), float)
-            weights[k] = fit_logistic(np.concatenate([x[~held], pool[rows]]), np.concatenate([y[~held], labels]), np.concatenate([np.ones((~held).sum()), np.full(len(rows), 0.3)]), ridge)
-        if again == rounds or not len(pool_text):
+        for k, (x, ridge) in enumerate(views):
+            more = None if pool.lent[k] is None else lambda w, k=k: pool.moments(k, w, 0.3)
+            weights[k] = fit_logistic(x[~held], y[~held], np.ones((~held).sum()), ridge, more, weights[k])
+        if again == rounds or not pool.n:
             break
-        for k, (_, pool, _) in enumerate(views):
-            p, other = 1 / (1 + np.exp(-np.clip(pool @ weights[k], -30, 30))), lent[1 - k]
-            most = max(1, int(share * len(pool)))
-            for label, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                n = max(1, int(most * (y.mean() if label else 1 - y.mean())))
-                picked = [int(i) for i in order if int(i) not in other and (p[i] if label else 1 - p[i]) >= sure][:n]
-                other |= dict.fromkeys(picked, label)
+        most = max(1, int(share * pool.n))
+        pool.lend(weights, {(k, label): max(1, int(most * (y.mean() if label else 1 - y.mean()))) for k in range(2) for label in range(2)}, sure)
     a, b = np.clip(text[held] @ weights[0], -30, 30), np.clip(meta[held] @ weights[1], -30, 30)
     target = np.where(y[held] > 0, 1 - 1 / (2 + y[held].sum()), 1 / (2 + (1 - y[held]).sum()))  # Platt's targets
     mix = fit_logistic(np.stack([a, b, np.ones(len(a))], 1), target, np.ones(len(a)), 0.1) if held.any() else np.array([1.0, 0.0, 0.0])
     return Classifier(weights[0], weights[1], mix)
 
 
-def _features(df: DataFrame) -> DataFrame:
-    """(doc_id, text features, metadata features) of a bounded sample."""
+def _features(df: DataFrame, keep: str, kind: str) -> DataFrame:
+    """(``keep``, text features, metadata features)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.to_pydict()
             t = [text_features(v or "").tobytes() for v in x["text"]]
             m = [meta_features(*v).tobytes() for v in zip(x["source"], x["lang"], x["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x["y"], pa.int32()), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["y", "t", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], [keep, "t", "m"])
 
-    return df.select("y", *_inputs()).mapInArrow(work, "y int, t binary, m binary")
+    return df.select(keep, *_inputs()).mapInArrow(work, f"{keep} {kind}, t binary, m binary")
 
 
 def _inputs() -> list:
     return [F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("long").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 4000, label_col: str = "quality") -> Classifier:
-    """Rows of ``labels`` without an id or a label don't count; one label for each id."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, label_col: str = "quality") -> Classifier:
+    """Rows of ``labels`` without an id or a label don't count; one label for each id. All other documents are the pool."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    ordered = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    pool = ordered(docs.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().join(known, "doc_id", "left_anti"), max_pool)
-    wanted = ordered(known, max_labelled).select("doc_id", "y").unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("y")))
-    got = _features(docs.join(F.broadcast(wanted), "doc_id")).collect()  # wanted has max_labelled + max_pool rows at most
+    wanted = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    got = _features(docs.join(F.broadcast(wanted), "doc_id"), "y", "int").collect()  # wanted has max_labelled rows at most
     got = sorted((tuple(r) for r in got), key=lambda r: (zlib.crc32(bytes(r[1]) + bytes(r[2])), bytes(r[1])))
-    stack = lambda rows, k, n: np.frombuffer(b"".join(bytes(r[k]) for r in rows), np.float32).reshape(-1, n).astype(np.float64)
-    known_rows, rest = [r for r in got if r[0] is not None], [r for r in got if r[0] is None]
-    return co_train(stack(known_rows, 1, N_TEXT), stack(known_rows, 2, N_META), np.array([min(1, max(0, r[0])) for r in known_rows], float), stack(rest, 1, N_TEXT), stack(rest, 2, N_META))
+    y = np.array([min(1, max(0, r[0])) for r in got], float)
+    if not len(y) or y.min() == y.max():
+        always = float(y.mean()) if len(y) else 1.0
+        return Classifier(np.zeros(N_TEXT), np.zeros(N_META), np.array([0.0, 0.0, 6.0 if always >= 0.5 else -6.0]))
+    return co_train(_stack([r[1] for r in got], N_TEXT), _stack([r[2] for r in got], N_META), y, unlabelled(docs, known))
+
+
+def unlabelled(docs: DataFrame, known: DataFrame) -> Pool:
+    """All of ``docs`` without a row in ``known``."""
+    ids = known.select("doc_id")
+    if fits(ids, BROADCAST_ROWS):
+        rows = _features(docs.join(F.broadcast(ids), "doc_id", "left_anti").withColumn("_lf_h", F.xxhash64("doc_id")), "_lf_h", "long")
+    else:  # features are shuffled, not texts
+        rows = _features(docs, "doc_id", docs.schema["doc_id"].dataType.simpleString()).join(ids, "doc_id", "left_anti").withColumn("_lf_h", F.xxhash64("doc_id"))
+    return Pool(materialise(rows.select(F.col("_lf_h").alias("h"), "t", "m"), "quality-pool"))
 
 
 def score(df: DataFrame, model: Classifier, threshold: float = 0.5, rejected: bool = True) -> DataFrame:

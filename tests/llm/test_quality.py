@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomframe.llm import quality
 
@@ -46,3 +47,35 @@ def test_odd_rows(spark):
     empty = quality.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.kept for r in quality.score(docs, empty).collect()} == {True}
     assert quality.score(docs, model, rejected=False).filter("NOT kept").count() == 0
+
+
+def test_pool_is_all_unlabelled_documents(spark, monkeypatch):
+    rows, labels = corpus(300, 4)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    docs = docs.unionByName(spark.range(1000, 6000).selectExpr("id AS doc_id", "'SPAM SPAM!!' AS text", "'en' AS lang", "'src1' AS source", "11L AS n_chars", "'' AS kept"))
+    known = spark.createDataFrame(labels[:100], "doc_id long, quality int").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    pool = quality.unlabelled(docs, known)
+    assert pool.n == 5200
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 10)
+    other = quality.unlabelled(docs, known)
+    rows = [tuple(r) for r in pool.rows.collect()]
+    assert sorted(rows) == sorted(tuple(r) for r in other.rows.collect())
+    # what is lent, and its slope and curve, against the same on the driver
+    h, x = np.array([r[0] for r in rows]), [quality._stack([r[k + 1] for r in rows], n) for k, n in enumerate((quality.N_TEXT, quality.N_META))]
+    rng, lent = np.random.default_rng(1), [{}, {}]
+    for again in range(2):
+        w = [rng.normal(size=quality.N_TEXT) * 5, rng.normal(size=quality.N_META) * 5]
+        pool.lend(w, {(k, label): 40 + 20 * label for k in range(2) for label in range(2)}, 0.6)
+        for k in range(2):
+            new = {}
+            for label in range(2):
+                z = np.round(np.clip(x[k] @ w[k], -30, 30) * 1e6).astype(int) * (1 if label else -1)
+                order = [i for i in np.lexsort((-((h >> 29) & (2**35 - 1)), -z)) if i not in lent[1 - k] and z[i] >= round(np.log(0.6 / 0.4) * 1e6)]
+                new |= dict.fromkeys(order[: 40 + 20 * label], label)
+            lent[1 - k] |= new
+    for k in range(2):
+        i, y = list(lent[k]), np.array(list(lent[k].values()), float)
+        assert pool.lent[k].count() == len(i) > 0
+        a, b = pool.moments(k, w[k], 0.3)
+        c, d = quality.moments(x[k][i], y, 0.3, w[k])
+        assert np.allclose(a, c) and np.allclose(b, d)
