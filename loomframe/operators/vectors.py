@@ -11,7 +11,7 @@ from loomframe.functions.shipping import ships
 
 ships(__name__)
 
-#: Vectors up to which all-pairs work is accepted; it grows with their square.
+#: Vectors up to which all pairs are given; they grow with their square.
 MOST_PAIRED = 50_000
 
 
@@ -78,13 +78,47 @@ def all_distances(df: DataFrame, vec: str = "vec", key: str = "vec_id") -> DataF
     return l.join(r, F.col("a") < F.col("b")).select("a", "b", distance("x", "y").alias("dist"))
 
 
+def label_means(df: DataFrame, label: str = "label", vec: str = "vec", key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """(key, lb, m): the mean distance of each vector to the other ones of each label, in blocks as in ``nearest``.
+
+    Distances are of matrix products; those too short for that are taken from the differences.
+    """
+    import numpy as np
+    import pandas as pd
+
+    whole = df.filter(F.col(vec).isNotNull() & ~F.exists(vec, lambda x: x.isNull()))
+    n_blocks = max(1, -(-whole.count() // block))
+    names = whole.filter(F.col(label).isNotNull()).select(F.col(label).alias("lb")).distinct()
+    cut = lambda k: F.pmod(F.xxhash64(k), F.lit(n_blocks))
+    left = whole.select(F.col(key).alias("src"), F.col(vec).alias("q")).withColumn("b", cut("src")).groupBy("b").agg(F.collect_list(F.struct("src", "q")).alias("qs"))
+    right = whole.select(F.col(key).alias("dst"), F.col(vec).alias("v"), F.col(label).alias("lb")).join(F.broadcast(names), "lb").withColumn("p", cut("dst")).groupBy("p").agg(F.collect_list(F.struct("dst", "v", "lb")).alias("vs"))
+    pairs = left.crossJoin(right).repartition(min(2000, n_blocks * n_blocks), "b", "p")
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for qs, vs in zip(frame["qs"], frame["vs"], strict=True):
+                vs = sorted(vs, key=lambda x: x["lb"])
+                src, dst = np.array([x["src"] for x in qs]), np.array([x["dst"] for x in vs])
+                a, b = np.array([x["q"] for x in qs], float), np.array([x["v"] for x in vs], float)
+                first = [i for i in range(len(vs)) if not i or vs[i]["lb"] != vs[i - 1]["lb"]]
+                scale = (a * a).sum(1)[:, None] + (b * b).sum(1)
+                d = scale - 2 * a @ b.T
+                short = d < 1e-6 * scale
+                for i in np.flatnonzero(short.any(1)):
+                    d[i, short[i]] = ((a[i] - b[short[i]]) ** 2).sum(1)
+                other = src[:, None] != dst[None, :]
+                d = np.where(other, np.sqrt(d), 0.0)
+                s, n = np.add.reduceat(d, first, axis=1), np.add.reduceat(other.astype(np.int64), first, axis=1)
+                yield pd.DataFrame({"src": np.repeat(src, len(first)), "lb": [vs[i]["lb"] for i in first] * len(src), "s": s.ravel(), "n": n.ravel()})[n.ravel() > 0]
+
+    kinds = f"src {df.schema[key].dataType.simpleString()}, lb {df.schema[label].dataType.simpleString()}, s double, n long"
+    found = pairs.select("qs", "vs").mapInPandas(sums, kinds)
+    return found.groupBy(F.col("src").alias(key), "lb").agg((F.sum("s") / F.sum("n")).alias("m"))
+
+
 def silhouette(df: DataFrame, label: str = "label", vec: str = "vec", key: str = "vec_id") -> DataFrame:
     """(key, label, a, b, width), Euclidean; 0 in a cluster of one, null where there is one cluster."""
-    d = all_distances(df, vec, key)
-    names = df.select(F.col(key).alias("b"), F.col(label).alias("lb"))
-    both = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist")).join(names, "b")
-    means = both.groupBy(F.col("a").alias(key), "lb").agg(F.avg("dist").alias("m"))
-    own = means.join(df.select(key, label), key)
+    own = label_means(df, label, vec, key).join(df.select(key, label), key)
     per = own.groupBy(key).agg(F.max(F.when(F.col("lb") == F.col(label), F.col("m"))).alias("a"), F.min(F.when(F.col("lb") != F.col(label), F.col("m"))).alias("b"))
     width = F.when(F.col("b").isNull(), F.lit(None).cast("double")).when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
     return df.select(key, label).join(per, key).withColumn("width", width)

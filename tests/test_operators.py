@@ -207,6 +207,31 @@ def test_communities_and_spreading(spark):
     assert out[3].label == "x" and out[12].label == "y" and 0.5 <= out[3].confidence <= 1
 
 
+def test_silhouettes_and_communities_beyond_the_limits(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, lab = rng.normal(size=(60, 5)) + 100, rng.integers(0, 3, 60)
+    x[7] = x[8]
+    df = spark.createDataFrame([(i, x[i].tolist(), int(lab[i])) for i in range(60)], "vec_id int, vec array<double>, label int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    expected = []
+    for i in range(60):
+        m = {c: d[i, (lab == c) & (np.arange(60) != i)].mean() for c in range(3)}
+        a, b = m.pop(lab[i]), min(m.values())
+        expected.append((b - a) / max(a, b))
+    monkeypatch.setattr(vec, "MOST_PAIRED", 10)
+    got = {r.vec_id: r.width for r in vec.silhouette(df).collect()}
+    assert np.allclose([got[i] for i in range(60)], expected, atol=1e-9)
+    means = {(r.vec_id, r.lb): r.m for r in vec.label_means(df, block=16).collect()}
+    assert all(close(means[i, c], d[i, (lab == c) & (np.arange(60) != i)].mean(), 1e-9) for i in range(60) for c in range(3))
+    edges = [(i, j, 1.0) for g in range(0, 60, 10) for i in range(g, g + 6) for j in range(i + 1, g + 6)] + [(g, g + 10, 0.1) for g in range(0, 50, 10)]
+    df = spark.createDataFrame(edges, "a int, b int, weight double")
+    small = {r.node: r.community for r in graphs.communities(df).collect()}
+    for most in (30, 1):
+        monkeypatch.setattr(graphs, "MOST_EDGES", most)
+        assert {r.node: r.community for r in graphs.communities(df).collect()} == small
+    assert len(set(small.values())) == 6
+
+
 def test_leaf_order(spark):
     m = {("a", "c"): 0.9, ("b", "d"): 0.8, ("a", "b"): 0.1, ("a", "d"): 0.1, ("c", "b"): 0.1, ("c", "d"): 0.1}
     rows = [(x, y, 1.0 if x == y else m.get((x, y), m.get((y, x)))) for x in "abcd" for y in "abcd"]
