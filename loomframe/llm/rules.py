@@ -24,24 +24,21 @@ SYMBOLS = "#*$%&|<>"
 def _repeated(words: Column) -> Column:
     """Words in 3-word windows that a text holds at least twice.
 
-    Each window's hash carries its position in as many low bits as the text
-    needs, so that one sort of plain longs brings equal windows together.
+    One sort of (hash, position) brings equal windows together; hashes keep all
+    their 64 bits, however long the text.
     """
 
-    def counted(hashes: Column, bits: Column) -> Column:
-        base = lambda x: F.call_function("shiftrightunsigned", x, bits)
-        high = lambda x: F.call_function("shiftleft", base(x), bits)
-        windows = F.slice(F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2))), 1, F.size(hashes) - 2)
-        packed = F.transform(windows, lambda h, i: high(h).bitwiseOR(i.cast("long")))
+    def counted(hashes: Column) -> Column:
+        windows = F.slice(F.transform(hashes, lambda h, i: F.struct(F.xxhash64(h, F.get(hashes, i + 1), F.get(hashes, i + 2)).alias("h"), i.cast("long").alias("i"))), 1, F.size(hashes) - 2)
 
         def positions(s: Column) -> Column:
-            same = lambda x, i: F.coalesce(base(x) == base(F.get(s, i)), F.lit(False))
-            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x - high(x)))
+            same = lambda x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i + 1) | same(x, i - 1)), lambda x: x["i"]))
 
         spread = lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
-        return let(let(F.sort_array(packed), positions), spread)
+        return let(let(F.sort_array(windows), positions), spread)
 
-    return F.when(F.size(words) >= 4, let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(F.length(F.bin(F.size(h).cast("long"))), lambda bits: counted(h, bits)))).otherwise(F.lit(0).cast("long"))
+    return F.when(F.size(words) >= 4, let(F.transform(words, lambda w: F.xxhash64(w)), counted)).otherwise(F.lit(0).cast("long"))
 
 
 def text_facts(text: Column) -> Column:

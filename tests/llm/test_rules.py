@@ -25,6 +25,14 @@ def test_against_brute_force(spark):
     assert rules.score_rules(df.limit(0)).count() == 0
 
 
+def test_windows_that_differ_in_long_texts(spark):
+    # windows whose 64-bit hashes agree in their upper 43 bits
+    windows = [" ".join(f"{c}{i}" for c in "abc") for i in (7769153, 8259772, 5619816, 8114174, 3252446, 5108195)]
+    text = " ".join(x for w in windows for x in ("x " * 180_000, w)) + " x x x"
+    out = rules.score_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.n_words == 6 * 180_003 + 3 and out.n_repeat_words == 6 * 180_000 + 3
+
+
 def test_estimates_find_the_better_rule():
     r = random.Random(1)
     counts = {}
