@@ -20,20 +20,51 @@ def test_base_against_brute_force():
         assert secretscan.base_spans(t)[0] == brute(t)
 
 
+def brute_added(t, detector):
+    """Each token by itself, pair by pair."""
+    t, base, out = t or "", brute(t), []
+    place = {c: k + 1 for k, c in enumerate(secretscan.ALPHABET)}
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+        ratio = sum(detector.scores[place[a], place[b]] for a, b in zip(m[0], m[0][1:]))
+        if ratio >= detector.least and not any(a < m.end() and m.start() < b for a, _, b in base):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
 def test_random_strings_and_identifiers(spark):
     r = random.Random(4)
     words = ["configuration", "handler2", "process", "manager", "getElement", "value_of", "http2", "user", "service"]
     rows = [(i, " ".join(r.choices(words, k=80))) for i in range(200)]
-    secrets = ["".join(r.choices(secretscan.ALPHABET[:62], k=32)) for _ in range(60)]
+    secrets = ["".join(r.choices(secretscan.ALPHABET[:62], k=k)) for k in (32, 32, 16) for _ in range(20)]
+    letters = ["".join(r.choices(secretscan.ALPHABET[:52], k=24)) for _ in range(20)]
     plain = ["_".join(r.choices(words, k=3)) + "2" for _ in range(60)]
-    rows += [(1000 + i, f"é see {s} here") for i, s in enumerate(secrets)] + [(2000 + i, f"see {s} here") for i, s in enumerate(plain)]
-    rows += [(None, None), (5, ""), (1000, f"é see {secrets[0]} here")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    scores = secretscan.train(*secretscan.gather(df))
-    out = secretscan.find_secrets(df, scores).collect()
-    assert len(out) == len(rows)
+    rows += [(1000 + i, f"é see {s} here") for i, s in enumerate(secrets)] + [(2000 + i, f"see {s} here") for i, s in enumerate(plain)] + [(3000 + i, f"see {s} here") for i, s in enumerate(letters)]
+    long = " ".join(r.choices(words, k=30_000)) + f" ü {secrets[0]} x"
+    odd = [(None, None), (5, ""), (1000, rows[200][1]), (6, long), (7, f"token={secrets[1]} {secrets[2]}{'0' * 30} é{'a1' * 15}"), (8, f"secret: token={secrets[3]}"), (9, "=" * 50)]
+    rows += odd
+    df = spark.createDataFrame([(*x, 1, "b") for x in rows], "doc_id long, text string, start int, base string")
+    counts = secretscan.gather(df)
+    assert counts.secrets == sum(len(brute(t)) for _, t in rows) > 0
+    assert counts.tokens == sum(len(re.findall(r"[A-Za-z0-9+/_=-]+", t or "")) for _, t in rows)
+    detector = secretscan.train(counts)
+    out = secretscan.find_secrets(df, detector).collect()
+    got = sorted((str(x.doc_id), [tuple(s) for s in x.base], [tuple(s) for s in x.added]) for x in out)
+    assert got == sorted((str(d), brute(t), brute_added(t, detector)) for d, t in rows)
     hit = {x.doc_id: [tuple(s) for s in x.added] for x in out}
-    assert sum(hit[1000 + i] == [(6, 3, 38)] for i in range(60)) >= 57
-    assert sum(bool(hit[2000 + i]) for i in range(60)) <= 1
-    assert secretscan.find_secrets(df.limit(0), scores).count() == 0
-    assert secretscan.gather(df.limit(0))[0].sum() == 0
+    caught = [hit[1000 + i] == [(6, 3, 6 + len(s))] for i, s in enumerate(secrets)]
+    assert sum(caught[:40]) >= 39 and sum(caught[40:]) >= 12  # of 32 and of 16 characters
+    assert sum(bool(hit[3000 + i]) for i in range(20)) >= 18  # of letters only
+    assert not any(hit[2000 + i] for i in range(60))
+    assert hit[6] == [(len(long) - 34, 3, len(long) - 2)]
+    assert secretscan.find_secrets(df.limit(0), detector).count() == 0
+    empty = secretscan.gather(df.limit(0))
+    assert empty.secret.sum() == 0 and secretscan.train(empty).least > 0
+
+
+def test_held_out_samples():
+    """Accuracy on names and random strings that the models haven't seen."""
+    counts = secretscan.Counts(*(secretscan._pairs("") for _ in range(2)), 1, 100_000)
+    detector = secretscan.train(counts)
+    found = lambda tokens: sum(detector.ratios(x)[2].max(initial=0) >= detector.least for x in tokens) / len(tokens)
+    assert found(secretscan.identifiers()[3::4]) <= 0.002
+    assert found([x for x in secretscan.drawn(2000, 99) if len(x) >= 16]) >= 0.97
