@@ -4,8 +4,8 @@ Two first-order Markov models over the characters of tokens, one of random
 strings and one of ordinary identifiers, are compared by log-likelihood ratio.
 Labelled samples train them. Random: strings drawn from a fixed seed over the
 usual alphabets, and every secret that the patterns find in the corpus.
-Ordinary: the names that Python's standard library defines, and the tokens of
-the corpus, without the patterns' secrets and without the doubtful ones, which
+Ordinary: the names that Python's standard library defines, decimal numbers, and
+the tokens of the corpus, without the patterns' secrets and without the doubtful ones, which
 are long and mix letters and digits. Both are counts of character pairs, so what
 is gathered is bounded by the alphabet, while every document is counted.
 
@@ -38,6 +38,7 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Class 0 is any other character: the border of a token.
 K = len(ALPHABET) + 1
 DRAWN = 4000
+NUMBERS = 2000
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
@@ -143,7 +144,7 @@ def drawn(n: int = DRAWN, seed: int = 11) -> list[str]:
 
 
 def identifiers() -> list[str]:
-    """The ordinary sample: names that Python's standard library defines, those with digits included."""
+    """The ordinary sample: names that Python's standard library defines, those with digits included, and ``NUMBERS`` decimal numbers of 2 to 19 digits, from a fixed seed."""
     import builtins
     import encodings.aliases
     import errno
@@ -157,7 +158,8 @@ def identifiers() -> list[str]:
             names |= set(dir(importlib.import_module(module)))
         except ImportError:  # left out of some builds
             continue
-    return sorted(names)
+    r = random.Random(13)
+    return sorted(names) + ["".join(r.choices("0123456789", k=r.randint(2, 19))) for _ in range(NUMBERS)]
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,7 @@ def train(counts: Counts, random_sample: Iterable[str] | None = None, ordinary_s
     held = names[3::4]
     known = of([x for k, x in enumerate(names) if k % 4 != 3])
     chance = given(drawn_pairs + counts.secret * min(1.0, drawn_pairs.sum() / max(1, counts.secret.sum())))
-    scores = np.log(chance) - np.log((given(known) + given(counts.ordinary)) / 2 if counts.ordinary.sum() else given(known))
+    scores = np.log(chance) - np.log(given(known + counts.ordinary * (known.sum() / max(1, counts.ordinary.sum()))))
     scores[0], scores[:, 0] = 0, 0
     odds = np.log((counts.tokens + 1) / (counts.secrets + 1))
     reached = np.sort([Detector(scores, 0.0).ratios(x)[2].max(initial=0) for x in held])[::-1]
