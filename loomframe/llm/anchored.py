@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import fits, materialise, partitions, ships, worker_cache
+from loomframe.llm.common import broadcast_if_small, discard, in_batches, let, materialise, partitions, ships, worker_cache
 
 ships(__name__)
 
@@ -39,8 +39,6 @@ HOT = 20_000
 PIECE = 1 << 20
 _POS = np.uint64((1 << 21) - 1)
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-#: Rows up to which a table of ids is broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +60,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -132,14 +130,10 @@ def text_keys(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tk"), F.hash(text).alias("t2"), F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1).cast("long")).alias("ord"))
 
 
-def sized(small: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(small) if fits(small, most) else small
-
-
 def with_copies(keyed: DataFrame) -> DataFrame:
     """``keyed`` with ``copies`` (rows of this text) and ``first`` (their least ``ord``); both null where there is one row."""
     groups = materialise(keyed.groupBy("tk", "t2").agg(F.count("*").alias("copies"), F.min("ord").alias("first")).filter("copies > 1"), "copies")
-    return keyed.join(sized(groups), ["tk", "t2"], "left")
+    return keyed.join(broadcast_if_small(groups), ["tk", "t2"], "left")
 
 
 def extract(rows: DataFrame, units: Units) -> DataFrame:
@@ -174,28 +168,31 @@ def extract(rows: DataFrame, units: Units) -> DataFrame:
         if held:
             yield cut(held)
 
-    return rows.select("doc", "t2", "text").mapInArrow(work, "anchor long, seg long, doc long, t2 int, at long")
+    return in_batches(rows.select("doc", "t2", "text"), work, "anchor long, seg long, doc long, t2 int, at long")
 
 
 def candidates(segments: Callable[[], DataFrame], other_document: bool) -> DataFrame:
     """Segments whose anchor stands in two documents (or, if not ``other_document``, in two places)."""
     twice = segments().groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b")) if other_document else segments().groupBy("anchor").agg(F.count("*").alias("n"))
-    twice = twice.filter("a < b" if other_document else "n > 1").select("anchor")
-    return materialise(segments().join(twice, "anchor", "left_semi"), "candidates")
+    # written before it is joined, so that Spark can split the segments of a hot anchor
+    twice = materialise(twice.filter("a < b" if other_document else "n > 1").select("anchor"), "anchors")
+    found = materialise(segments().join(broadcast_if_small(twice), "anchor", "left_semi"), "candidates")
+    discard(twice)
+    return found
 
 
 def distinct_segments(found: DataFrame) -> DataFrame:
     """(anchor, seg, n, place, hot): each different segment, its number of occurrences and its first."""
     each = materialise(found.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "t2", "at")).alias("place")), "segments")
-    hot = each.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("anchor", F.lit(True).alias("hot"))
-    return each.join(sized(hot), "anchor", "left")
+    hot = materialise(each.groupBy("anchor").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    return each.join(broadcast_if_small(hot), "anchor", "left")
 
 
 def contents(each: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
     """(key, anchor, seg, off, aoff, wins, n, doc, body) of each different segment, from the texts of ``rows``."""
     wanted = each.groupBy(F.col("place.doc").alias("doc"), F.col("place.t2").alias("t2")).agg(F.collect_list(F.struct("anchor", "seg", F.col("place.at").alias("at"), "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("want"))
     wanted = materialise(wanted, "wanted")
-    texts = rows.select("doc", "t2", "text").join(sized(wanted.select("doc", "t2")), ["doc", "t2"], "left_semi")
+    texts = rows.select("doc", "t2", "text").join(broadcast_if_small(wanted.select("doc", "t2")), ["doc", "t2"], "left_semi")
     w = units.window
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +219,7 @@ def contents(each: DataFrame, rows: DataFrame, units: Units) -> DataFrame:
             if out:
                 yield _rows(out)
 
-    return texts.join(wanted, ["doc", "t2"]).select("doc", "text", "want").mapInArrow(work, _CONTENT)
+    return in_batches(texts.join(wanted, ["doc", "t2"]).select("doc", "text", "want"), work, _CONTENT)
 
 
 _CONTENT = "key long, anchor long, seg long, off int, aoff int, wins int, n long, doc long, body binary"
@@ -267,7 +264,7 @@ def indexed(content: DataFrame, index: Callable[[dict], list[tuple[int, int, int
             yield told(shard)
 
     spread = content.repartition(partitions(content.sparkSession), "key").sortWithinPartitions("key")
-    return materialise(spread.mapInArrow(work, "anchor long, seg long, off int, len int, least long"), "repeats")
+    return materialise(in_batches(spread, work, "anchor long, seg long, off int, len int, least long"), "repeats")
 
 
 def repeated_spans(found: DataFrame, runs: DataFrame, window: int, other_document: bool) -> DataFrame:
@@ -276,15 +273,39 @@ def repeated_spans(found: DataFrame, runs: DataFrame, window: int, other_documen
     hits = hits.filter(F.col("least") < F.col("doc")) if other_document else hits
     start = F.shiftright("at", 24) + F.col("off")
     spans = hits.groupBy("doc", "t2").agg(F.array_sort(F.collect_set(F.struct(start.alias("start"), (start + F.col("len") + (window - 1)).alias("stop")))).alias("s"))
-    kind = "array<struct<start:bigint,stop:bigint>>"
+    return materialise(spans.select("doc", "t2", merged(F.col("s")).alias("spans")), "spans")
+
+
+def merged(spans: Column) -> Column:
+    """Sorted spans (start, stop), joined where they touch or overlap, in linear work.
+
+    A span begins a new one where it starts beyond the furthest end of all
+    before it, which is found block by block.
+    """
+
+    def joined(reached: Column) -> Column:
+        marked = F.zip_with(spans, reached, lambda s, at: F.struct(s["start"].alias("start"), F.greatest(s["stop"], at).alias("stop"), (s["start"] > at).alias("new")))
+        begins = lambda m: F.filter(m, lambda x: x["new"])
+        # the end of a joined span is what has been reached before the next one begins
+        ends = lambda m: F.transform(F.filter(m, lambda x, i: F.coalesce(F.get(m, i + 1)["new"], F.lit(True))), lambda x: x["stop"])
+        return let(marked, lambda m: F.zip_with(begins(m), ends(m), lambda b, e: F.struct(b["start"].alias("start"), e.alias("stop"))))
+
+    return let(running_max(F.transform(spans, lambda s: s["stop"])), joined)
+
+
+def running_max(values: Column, block: int = 128) -> Column:
+    """For each of an array of longs, the largest of all before it, or -1."""
+    low, none = F.lit(-1).cast("long"), F.expr("cast(array() as array<bigint>)")
+
+    def through(numbers: Column, start: Column) -> Column:
+        step = lambda a, x: F.struct(F.greatest(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(numbers, F.struct(start.alias("at"), none.alias("out")), step, lambda a: a["out"])
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], x["stop"]).alias("stop"))))
-        return F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["stop"] >= x["start"]), joined).otherwise(F.concat(acc, F.array(x))).cast(kind)
+    def whole(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.size(v), F.lit(block)), lambda i: F.slice(v, i, F.lit(block)))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, through(F.transform(b, lambda x: F.array_max(x)), low), through)))
 
-    merged = F.aggregate(F.col("s").cast(kind), F.expr(f"cast(array() as {kind})"), step)
-    return materialise(spans.select("doc", "t2", merged.alias("spans")), "spans")
+    return F.when(F.size(values) == 0, none).otherwise(let(values, whole))
 
 
 def cut_out(rows: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
@@ -316,8 +337,8 @@ def cut_out(rows: DataFrame, spans: DataFrame, units: Units) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["doc_id", "n", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(sized(spans), ["doc", "t2"], "left")
-    return joined.select("doc_id", "text", "all", "spans").mapInArrow(work, "doc_id long, n long, n_removed long, n_spans long, kept binary")
+    joined = rows.join(broadcast_if_small(spans), ["doc", "t2"], "left")
+    return in_batches(joined.select("doc_id", "text", "all", "spans"), work, "doc_id long, n long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(df: DataFrame, units: Units, index: Callable[[dict], list], other_document: bool, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

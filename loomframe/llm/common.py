@@ -191,7 +191,7 @@ class Memo(dict):
 
 
 #: Rows and bytes of the Arrow batches that go to Python, unless the session has its own numbers.
-BATCH_ROWS, BATCH_BYTES = 2_000, 8_000_000
+BATCH_ROWS, BATCH_BYTES = 2_000, 2_000_000
 
 
 def in_batches(df: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
@@ -203,7 +203,7 @@ def in_batches(df: DataFrame, work: Callable, schema: T.StructType | str) -> Dat
     return df.mapInArrow(work, schema)
 
 
-def slices(batch: object, rows: int = 1000, most: int = 4_000_000) -> Iterator:
+def slices(batch: object, rows: int = 500, most: int = 2_000_000) -> Iterator:
     """Slices of an Arrow batch of at most ``rows`` rows and about ``most`` bytes."""
     each = max(1, min(rows, most * max(1, batch.num_rows) // max(1, batch.nbytes)))
     for k in range(0, batch.num_rows, each):

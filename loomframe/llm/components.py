@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import materialise
+from loomframe.llm.common import broadcast_if_small, discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round; edges (a, b) of longs. Every neighbour is linked to the least of a node's neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     around = both if large else both.filter("b < a")
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    joined = around.join(least, "a")
+    # written first, so that Spark can split the edges of a hub in the join
+    least = materialise(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    joined = around.join(broadcast_if_small(least), "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    out = materialise(out.filter("a <> b").distinct(), "edges")
+    discard(least)
+    return out
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -34,7 +37,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        now = materialise(_star(_star(now, True), False), "edges")
+        half = _star(now, True)
+        done = _star(half, False)
+        discard(now, half)
+        now = done
     else:
         raise RuntimeError("components haven't settled")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

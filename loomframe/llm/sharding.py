@@ -12,8 +12,8 @@ part of all bytes. Two shards differ by less than two of the largest records.
 3. A window inside each range gives each record its exact global offset; the
    offset gives shard and slot.
 
-What reaches the driver is bounded by ``n_shards``, ``ranges_per_shard`` and
-``samples_per_range``, never by the rows.
+What reaches the driver is a number of splitters and sums: ``n_shards`` times
+``ranges_per_shard``, or one for each ``rows_per_range`` rows where that is more.
 """
 
 from __future__ import annotations
@@ -59,13 +59,14 @@ def _range_of(bounds: list[tuple[int, int]]) -> Column:
     return (group * step + passed(fine)).cast("int")
 
 
-def assign_shards(df: DataFrame, n_shards: int = 16, key: Column | str = "key", id_col: str = "doc_id", size_col: str = "size", ranges_per_shard: int = 32, samples_per_range: int = 16, seed: int = 7) -> DataFrame:
+def assign_shards(df: DataFrame, n_shards: int = 16, key: Column | str = "key", id_col: str = "doc_id", size_col: str = "size", ranges_per_shard: int = 32, samples_per_range: int = 16, seed: int = 7, rows_per_range: int = 2_000_000) -> DataFrame:
     """``df`` with ``shard`` (0 to ``n_shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
     ``key`` decides the order before ``id_col``; equal keys stand together. A
     null key or id sorts as the smallest long, a null size counts 0. Repeated
-    rows get slots of their own. An empty table gives an empty result. The
-    columns ``shard`` and ``slot`` of ``df``, if any, are replaced.
+    rows get slots of their own, in any order among themselves. An empty table
+    gives an empty result. The columns ``shard`` and ``slot`` of ``df``, if any,
+    are replaced. All sizes together times ``n_shards`` must stay below 2 ** 63.
     """
     key = F.col(key) if isinstance(key, str) else key
     low = F.lit(-(2**63)).cast("long")
@@ -76,7 +77,9 @@ def assign_shards(df: DataFrame, n_shards: int = 16, key: Column | str = "key",
     rows, total = keys.agg(F.count("*"), F.sum("_lf_size")).first()
     if not rows:
         return keys.drop(*_KEY, "_lf_size").withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
-    total, n_ranges = max(total or 0, 1), n_shards * ranges_per_shard
+    total = max(total or 0, 1)
+    # more ranges for more rows, so that none is more than a task can sort
+    n_ranges = max(n_shards * ranges_per_shard, -(-rows // rows_per_range))
     bounds = _splitters(keys, F.lit(0), {0: (total, n_ranges)}, samples_per_range, seed)
     for again in range(4):
         ranges = _range_of(bounds)
@@ -118,7 +121,29 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of near equal bytes; a null text has size 1 and the checksum of an empty text."""
+    """All documents in 16 shards of near equal bytes, by a digest of the text; a null text has size 1 and the checksum of an empty text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    digests = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("key"))
+    key = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    digests = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), key.alias("key"))
     return assign_shards(digests, 16).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _crc_steps() -> list[int]:
+    """What a byte does to a CRC-32 (the reflected polynomial 0xEDB88320)."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+#: The global order, and every record's first byte in it, decide shard and slot.
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+c AS (SELECT doc_id, strlen(text) + 1 AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS key,
+xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(({_crc_steps()}::BIGINT[])[(xor(a, b) & 255) + 1], a >> 8)), 4294967295::BIGINT) AS text_crc32 FROM d),
+p AS (SELECT *, sum(size) OVER (ORDER BY key, doc_id) - size AS first, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least(15, (first * 16) // total)::INT AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
