@@ -354,5 +354,6 @@ def remove_repeats(df: DataFrame, units: Units, index: Callable[[dict], list], o
     found = candidates(lambda: extract(lone, units), other_document)
     runs = indexed(contents(distinct_segments(found), lone, units), index)
     spans = repeated_spans(found, runs, units.window, other_document)
+    discard(found, runs)
     gone = F.col("ord") > F.col("first") if other_document else F.col("copies") > 1
     return cut_out(keyed.withColumn("all", F.coalesce(gone, F.lit(False))), spans, units)

@@ -142,10 +142,15 @@ def score_rules(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
     """``id_col``, the facts, each rule's vote (``vote_<name>``), ``p_good`` and ``verdict``.
 
     A null or empty text has no words and facts of 0. One row for each row of
-    ``df``, repeated rows included; an empty table gives an empty result.
+    ``df``, repeated rows included; an empty table gives an empty result. Texts
+    of any length are taken whole. A document whose posterior is the threshold
+    is good. An ``id_col`` with the name of another column of the result comes
+    out as ``id``; other columns of ``df`` don't matter.
     """
-    facts = df.select(F.col(id_col), text_facts(F.col(text_col)).alias("_lf_f")).select(id_col, "_lf_f.w.*", "_lf_f.l.*", "_lf_f.c.*")
     names = [f"vote_{r.name}" for r in rules]
+    facts = df.select(F.col(id_col).alias("_lf_id"), text_facts(F.col(text_col)).alias("_lf_f")).select("_lf_id", "_lf_f.w.*", "_lf_f.l.*", "_lf_f.c.*")
+    taken = {*facts.columns, *names, "p_good", "verdict"}
+    facts = facts.withColumnRenamed("_lf_id", "id" if id_col in taken else id_col)
     voted = materialise(facts.select("*", *[(r.good().cast("int") - r.bad().cast("int")).alias(n) for r, n in zip(rules, names, strict=True)]), "rule-votes")
     model = fit(sorted((tuple(x[n] for n in names), x["count"]) for x in voted.groupBy(*names).count().collect()), len(names))
     z = F.lit(math.log(model.prior / (1 - model.prior)))

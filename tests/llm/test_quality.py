@@ -79,3 +79,51 @@ def test_pool_is_all_unlabelled_documents(spark, monkeypatch):
         a, b = pool.moments(k, w[k], 0.3)
         c, d = quality.moments(x[k][i], y, 0.3, w[k])
         assert np.allclose(a, c) and np.allclose(b, d)
+
+
+class LocalPool:
+    """The pool, in arrays on the driver: all rows are ranked at once, and what is lent stands in lists."""
+
+    def __init__(self, h, text, meta):
+        self.h, self.x, self.n = h, (text, meta), len(h)
+        self.lent, self.rows = [None, None], [{}, {}]
+
+    def lend(self, weights, most, sure):
+        for k in range(2):
+            new = {}
+            for label in range(2):
+                z = np.round(np.clip(self.x[k] @ weights[k], -30, 30) * 1e6).astype(int) * (1 if label else -1)
+                order = [i for i in np.lexsort((-((self.h >> 29) & (2**35 - 1)), -z)) if i not in self.rows[1 - k] and z[i] >= round(np.log(sure / (1 - sure)) * 1e6)]
+                new |= dict.fromkeys(order[: most[k, label]], label)
+            self.rows[1 - k] |= new
+            if self.rows[1 - k]:
+                self.lent[1 - k] = True
+
+    def moments(self, k, w, weight):
+        i, y = list(self.rows[k]), np.array(list(self.rows[k].values()), float)
+        return quality.moments(self.x[k][i], y, weight, w)
+
+
+def test_against_brute_force(spark):
+    """The whole classifier, fitted and applied without Spark, gives the same decisions."""
+    rows, labels = corpus(400, 7)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame(labels[:150], "doc_id long, quality int")
+    text = {r[0]: quality.text_features(r[1]).astype(float) for r in rows}
+    meta = {r[0]: quality.meta_features(r[3], r[2], r[4]).astype(float) for r in rows}
+    y = dict(labels[:150])
+    import zlib
+
+    raw = lambda x, i: x[i].astype(np.float32).tobytes()
+    order = sorted(y, key=lambda i: (zlib.crc32(raw(text, i) + raw(meta, i)), raw(text, i)))
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    rest = [r[0] for r in rows if r[0] not in y]
+    pool = LocalPool(np.array([hashes[i] for i in rest]), np.array([text[i] for i in rest]), np.array([meta[i] for i in rest]))
+    local = quality.co_train(np.array([text[i] for i in order]), np.array([meta[i] for i in order]), np.array([y[i] for i in order], float), pool)
+    model = quality.fit(docs, known)
+    assert np.allclose(model.text, local.text, atol=1e-3) and np.allclose(model.meta, local.meta, atol=1e-3) and np.allclose(model.mix, local.mix, atol=1e-3)
+    a, b = local.views(np.array([text[r[0]] for r in rows]), np.array([meta[r[0]] for r in rows]))
+    p = dict(zip((r[0] for r in rows), local.combined(a, b), strict=True))
+    for r in quality.score(docs, model).collect():
+        assert abs(r.p_good - p[r.doc_id]) < 1e-3
+        assert r.kept == (p[r.doc_id] >= 0.5) or abs(p[r.doc_id] - 0.5) < 1e-3
