@@ -46,7 +46,9 @@ SHINGLE = 3
 PERCENT = 90
 SKETCH = 16
 #: Sets up to which an index list is scanned.
-LONG = 64
+LONG = 256
+#: Times that each open block list has one more set answer, before all that are left do.
+ROUNDS = 4
 #: Buckets of shingle counts: 2 ** BITS; a strip of them is sent at a time.
 BITS, _STRIP = 18, 1 << 14
 
@@ -287,26 +289,39 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return both.filter(_close(F.col("_a.n"), F.col("_a.sketch"), F.col("_b.n"), F.col("_b.sketch"), percent)).select("a", "b")
 
 
-def _late_pairs(members: DataFrame, sets: DataFrame, answers: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that a block list leaves open after its first set's answers."""
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _late_pairs(opened: DataFrame, parts: DataFrame, tried: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of different components in the block lists ``opened``; and the sets (node) that were asked.
+
+    Of each list that holds several components, the set outside the largest one
+    that stands in the most lists is asked, in all its lists; ``last``: all sets
+    outside the largest components that haven't been asked before.
+    """
+    placed = opened.join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
     open_lists = materialise(sizes.filter("parts > 1").select("list", F.col("top.component").alias("top")), "open-lists")
-    rest = placed.join(broadcast_if_small(open_lists), "list").join(sets.select("node", "n", "sketch"), "node")
-    first = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("node"), "shared")
-    # the first set shares all of itself
-    rest = rest.join(first, ["a", "node"], "left").withColumn("shared", F.when(F.col("a") == F.col("node"), F.col("n")).otherwise(F.col("shared")))
-    rest = materialise(rest.select("list", "node", "n", "sketch", "component", "top", "shared"), "open")
-    left = rest.filter("component <> top").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch", "shared")])
-    apart = (F.col("component") != F.col("l_component")) & ((F.col("component") == F.col("top")) | (F.col("l_node") < F.col("node")))
+    rest = materialise(placed.join(broadcast_if_small(open_lists), "list"), "open")
+    fresh = rest.filter("component <> top").join(broadcast_if_small(tried), "node", "left_anti")
+    if not last:
+        fresh = fresh.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select(F.col("x.node").alias("node"))
+    asked = materialise(fresh.select("node").distinct(), "asked")
+    left = rest.join(broadcast_if_small(asked), "node", "left_semi").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch", "shared")])
     # an answer that the first set's answers rule out is skipped
     most = F.least("shared", "l_shared") + F.least(F.col("n") - F.col("shared"), F.col("l_n") - F.col("l_shared"))
-    close = _close(F.col("n"), F.col("sketch"), F.col("l_n"), F.col("l_sketch"), percent)
-    near = apart & F.coalesce(_linked(F.col("n"), F.col("l_n"), most, percent), F.lit(True)) & close
-    found = left.join(rest, (left["list"] == rest["list"]) & near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-    found = materialise(found.join(broadcast_if_small(answers.select("a", "b")), ["a", "b"], "left_anti"), "late-pairs")
+    near = (F.col("component") != F.col("l_component")) & F.coalesce(_linked(F.col("n"), F.col("l_n"), most, percent), F.lit(True)) & _close(F.col("n"), F.col("sketch"), F.col("l_n"), F.col("l_sketch"), percent)
+    found = left.join(rest, (left["list"] == rest["list"]) & near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
+    found = materialise(found.distinct(), "late-pairs")
     discard(open_lists, rest)
-    return found
+    return found, asked
+
+
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` (node, component) after more ``links`` (a, b), by components of their components."""
+    known = parts.select(F.col("node").alias("x"), "component")
+    of = lambda c: links.select(F.col(c).alias("x")).join(broadcast_if_small(known), "x", "left").select(F.col("x").alias(c), F.coalesce("component", "x").alias(f"c_{c}"))
+    ends = links.join(of("a").distinct(), "a").join(of("b").distinct(), "b")
+    merged = materialise(connected(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "merged").select(F.col("node").alias("component"), F.col("component").alias("to"))
+    every = parts.unionByName(of("a").unionByName(of("b").withColumnsRenamed({"b": "a", "c_b": "c_a"})).select(F.col("a").alias("node"), F.col("c_a").alias("component"))).distinct()
+    return materialise(every.join(broadcast_if_small(merged), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "parts")
 
 
 def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -346,9 +361,15 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
         hot = materialise(entries.join(broadcast_if_small(heavy), "token", "left_semi").select("node").distinct(), "hot")
         filed = materialise(blocks_of(texts_of(hot), percent, size), "blocks")
         # written before they are joined, so that Spark can split the sets of a long list
-        lists = materialise(filed.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list", "a"), "lists")
-        members = materialise(filed.join(broadcast_if_small(lists), "list"), "members")
-        pairs = pairs.unionByName(members.filter("node <> a").select("a", F.col("node").alias("b")))
+        lists = materialise(filed.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list"), "lists")
+        shared = materialise(filed.join(broadcast_if_small(lists), "list"), "shared")
+        # first comes the set that stands in the most lists, as the text that others are copies of does
+        weights = materialise(shared.groupBy("node").agg(F.count("*").alias("weight")), "weights")
+        weighed = shared.join(broadcast_if_small(weights), "node")
+        firsts = materialise(weighed.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select("list", F.col("x.node").alias("a")), "firsts")
+        members = materialise(weighed.join(broadcast_if_small(firsts), "list"), "members")
+        discard(shared, weights, firsts)
+        pairs = pairs.unionByName(members.filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
         discard(hot, filed, lists)
     pairs = materialise(pairs.distinct(), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -356,7 +377,7 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
     sketches = materialise(single.select("node", "n", "sketch").join(broadcast_if_small(ends), "node", "left_semi"), "sketches")
     close = materialise(close_pairs(pairs, sketches, percent), "close-pairs")
 
-    def asked(some: DataFrame) -> DataFrame:
+    def answered_of(some: DataFrame) -> DataFrame:
         """Answers for pairs, from the whole sets."""
         nodes = materialise(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
         held = materialise(items_of(texts_of(nodes), size), "candidates")
@@ -364,14 +385,26 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
         discard(nodes, held)
         return out
 
-    answers = asked(close)
+    answers = answered_of(close)
     links = materialise(answers.filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
     parts = materialise(connected(links), "parts")
     if members is not None:
-        late = _late_pairs(members, sketches, answers, parts, percent)
-        more = materialise(asked(late).filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
-        if not more.isEmpty():
-            parts = materialise(connected(links.unionByName(more)), "parts")
+        first = answers.select(F.explode(F.array(F.struct("a", F.col("b").alias("node")), F.struct(F.col("b").alias("a"), F.col("a").alias("node")))).alias("p"), "shared").select("p.*", "shared")
+        opened = members.join(broadcast_if_small(first), ["a", "node"], "left").join(broadcast_if_small(sketches), "node")
+        # the first set shares all of itself
+        opened = materialise(opened.select("list", "node", "weight", "n", "sketch", F.when(F.col("a") == F.col("node"), F.col("n")).otherwise(F.col("shared")).alias("shared")), "opened")
+        tried = materialise(spark.createDataFrame([], "node long"), "tried")
+        for k in range(ROUNDS + 1):
+            late, asked = _late_pairs(opened, parts, tried, percent, k == ROUNDS)
+            if asked.isEmpty():
+                break
+            tried = materialise(tried.unionByName(asked).distinct(), "tried")
+            if not late.isEmpty():
+                more = materialise(answered_of(late).filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
+                parts = _joined(parts, more)
+                discard(more)
+            discard(late, asked)
+        discard(opened, tried)
     labelled = sets.select("doc_id", "key", "n", "node").join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialise(labelled, "labelled")
     discard(counted, twins, lost, entries, heavy, pairs, ends, sketches, close, answers, links, members, parts)

@@ -20,9 +20,10 @@ against the sentencepiece library.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import astuple, dataclass
 from itertools import chain
 
 import numpy as np
@@ -31,13 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import ships, table, worker_cache
+from loomframe.llm.common import Memo, in_batches, ships, slices, table, worker_cache
 
 ships(__name__)
 
 SPACE = "▁"
-#: Entries after which a worker's memo of words, parts or pairs starts anew.
-MEMO = 300_000
+#: Bytes after which a worker's memo of words (a half), parts or pairs (a quarter each) starts anew.
+MEMO_BYTES = 32_000_000
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,10 @@ class PieceTable:
     eos: int
     special: tuple[int, ...]
 
+    def digest(self) -> str:
+        """Names the whole table, for workers' caches."""
+        return hashlib.sha256(repr((self.pieces, self.scores, self.bytes_at, self.unk, self.eos, self.special)).encode()).hexdigest()
+
 
 def read_model(path: str) -> PieceTable:
     import sentencepiece
@@ -67,18 +72,6 @@ def read_model(path: str) -> PieceTable:
     return PieceTable(pieces, [model.get_score(i) for i in range(n)], first, model.unk_id(), model.eos_id(), special)
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class Encoder:
     """Text to ids; ids of ``2 ** 32 + code point`` stand for characters without a piece."""
 
@@ -98,10 +91,12 @@ class Encoder:
         self.find.make_automaton()
         self.together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.size = {i: len(p) for p, i in self.ids.items()}
-        self.shorter = _Memo(self._shorter)
-        self.compatible = _Memo(self._compatible)
-        self.words = _Memo(self._word)
-        self.parts = _Memo(self._part)
+        # a dict's slot and its key take about 100 bytes, each id of a tuple about 8
+        listed = lambda key, value: 200 + 2 * len(key) + 8 * len(value)
+        self.shorter = Memo(self._shorter, 1 << 62, lambda key, value: 0)  # at most one entry for each piece
+        self.compatible = Memo(self._compatible, MEMO_BYTES // 4, lambda key, value: 120)
+        self.words = Memo(self._word, MEMO_BYTES // 2, listed)
+        self.parts = Memo(self._part, MEMO_BYTES // 4, listed)
 
     def _shorter(self, token: int) -> int | None:
         p = self.text[token]
@@ -225,60 +220,61 @@ class Decoder:
         return "".join(out)
 
 
-def _slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts or lists have about ``most`` bytes."""
-    each = max(1, most * max(1, batch.num_rows) // max(1, batch.column(batch.schema.get_field_index(column)).nbytes))
-    for k in range(0, batch.num_rows, each):
-        yield batch.slice(k, each)
+def _per_text(df: DataFrame, source: str, kind: str, keep: list[str], new: dict[str, T.DataType], model: PieceTable, name: str, make: Callable, run: Callable) -> DataFrame:
+    """``keep`` and the arrays that ``run(make(model), column)`` gives for column ``source``, slice by slice."""
+    # broadcasts are pickled by reference: plain values only
+    shared, name = df.sparkSession.sparkContext.broadcast(astuple(model)), f"{name}-{model.digest()}"
+    taken = df.select(*keep, F.col(source).cast(kind).alias("_lf_in"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = worker_cache(name, lambda: make(PieceTable(*shared.value)))
+        for whole in batches:
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *run(tool, batch.column(len(keep)))], [*keep, *new])
+
+    schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, t) for c, t in new.items())])
+    return in_batches(taken, work, schema)
+
+
+def _ids(encoder: Encoder, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:
+    ids = [encoder.encode(t.as_py() or "") for t in texts]
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
+    return ids, pa.ListArray.from_arrays(ends, np.concatenate(ids) if ids else np.zeros(0, np.int32))
 
 
 def encode(df: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns ``keep`` (all by default) and ``ids_col``, an array of ints with an end id.
 
     A null text is encoded as an empty one: the end id alone. Rows keep their
-    number; repeated rows give repeated results. An existing ``ids_col`` is
+    number; repeated rows give repeated results; an empty table gives an empty
+    result; texts of any length are encoded whole. An existing ``ids_col`` is
     replaced.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c != ids_col]
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    name = f"encoder-{hash(tuple(model.pieces[-50:]))}"
-    taken = df.select(*keep, F.col(text_col).cast("string").alias("_lf_text"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(name, lambda: Encoder(shared.value))
-        for whole in batches:
-            for batch in _slices(whole, "_lf_text"):
-                ids = [encoder.encode(t or "") for t in batch.column(len(keep)).to_pylist()]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64))).astype(np.int32)
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, flat)], [*keep, ids_col])
-
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return taken.mapInArrow(work, schema)
+    return _per_text(df, text_col, "string", keep, {ids_col: T.ArrayType(T.IntegerType())}, model, "encoder", Encoder, lambda tool, texts: [_ids(tool, texts)[1]])
 
 
 def decode(df: DataFrame, model: PieceTable, ids_col: str = "ids", text_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """``df``'s columns ``keep`` (all by default) and ``text_col``; null or empty ids give an empty text."""
     keep = [c for c in (df.columns if keep is None else keep) if c != text_col]
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    name = f"decoder-{hash(tuple(model.pieces[-50:]))}"
-    taken = df.select(*keep, F.col(ids_col).alias("_lf_ids"))
+    run = lambda tool, lists: [pa.array([tool.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in lists], pa.string())]
+    return _per_text(df, ids_col, "array<int>", keep, {text_col: T.StringType()}, model, "decoder", Decoder, run)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = worker_cache(name, lambda: Decoder(shared.value))
-        for whole in batches:
-            for batch in _slices(whole, "_lf_ids"):
-                texts = [decoder.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, text_col])
 
-    schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
-    return taken.mapInArrow(work, schema)
+def round_trip(df: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """As ``encode`` and then ``decode`` of its ids, in one pass of one Python worker."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (ids_col, decoded_col)]
+
+    def run(tool: tuple[Encoder, Decoder], texts: pa.Array) -> list[pa.Array]:
+        ids, listed = _ids(tool[0], texts)
+        return [listed, pa.array([tool[1].decode(x.tolist()) for x in ids], pa.string())]
+
+    return _per_text(df, text_col, "string", keep, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()}, model, "both", lambda m: (Encoder(m), Decoder(m)), run)
 
 
 def encoded_digests(docs: DataFrame, model: PieceTable) -> DataFrame:
-    ids = encode(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decode(told, model, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = round_trip(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:

@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomframe.llm.common import fits, materialise, ships, table
+from loomframe.llm.common import fits, in_batches, materialise, release_memory, ships, slices, summed, table
 
 ships(__name__)
 
 #: Labels up to which their ids are broadcast; beyond, features are shuffled.
 BROADCAST_ROWS = 200_000
 
+#: Lent documents in a task of a Newton step: each task sends one matrix of sums, whatever its rows.
+LENT_ROWS = 20_000
+
 _GROUPS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", "\t\r\x0b\x0c", "!", "?", ".", ",", ";:", "'\"", "-_", "|", "#", "*", "$%&", "<>", "()[]{}", "@", "/\\", "=+~^`"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)
 for _i, _g in enumerate(_GROUPS):
@@ -122,17 +125,20 @@ class Pool:
         self.rows, self.n = rows, rows.count()
         self.past: list[tuple] = []  # of each round: weights of the views, {(view, label): least key}
         self.lent: list[DataFrame | None] = [None, None]
+        self.tasks = [0, 0]  # that read what is lent
 
     def _scan(self, work: Callable, schema: str) -> DataFrame:
         """``work`` over the views' features, the hashes and the batch, for each batch."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
+            release_memory()
+            for whole in batches:
+                for batch in slices(whole):
                     views = [_matrix(batch.column(1), N_TEXT), _matrix(batch.column(2), N_META)]
                     yield from work(views, batch.column(0).to_numpy(), batch)
+                pa.default_memory_pool().release_unused()
 
-        return self.rows.select("h", "t", "m").mapInArrow(run, schema)
+        return in_batches(self.rows.select("h", "t", "m"), run, schema)
 
     def lend(self, weights: list[np.ndarray], most: dict[tuple[int, int], int], sure: float) -> None:
         """Each view lends its ``most`` surest rows of either label, by (view, label), to the other; rows are lent to a view once."""
@@ -160,8 +166,9 @@ class Pool:
                         yield pa.RecordBatch.from_arrays([x, pa.array(np.full(len(x), float(label)))], ["x", "y"])
 
             if n[2 * k] + n[2 * k + 1]:
-                new = self._scan(picked, "x binary, y double").repartition(-(-(n[2 * k] + n[2 * k + 1]) // 10_000))
+                new = self._scan(picked, "x binary, y double").repartition(-(-(n[2 * k] + n[2 * k + 1]) // LENT_ROWS))
                 new = materialise(new, "quality-lent")
+                self.tasks[1 - k] += -(-(n[2 * k] + n[2 * k + 1]) // LENT_ROWS)
                 self.lent[1 - k] = new if self.lent[1 - k] is None else self.lent[1 - k].unionByName(new)
 
     def moments(self, k: int, w: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
@@ -172,19 +179,15 @@ class Pool:
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n + 1, n))
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for batch in slices(whole):
                     a, b = moments(_matrix(batch.column(0), n), batch.column(1).to_numpy(), weight, w)
-                    total += np.concatenate([a[None], b])
+                    total[0] += a
+                    total[1:] += b
             strips = range(0, n + 1, _STRIP)
             yield pa.RecordBatch.from_arrays([pa.array(list(strips), pa.int32()), pa.array([total[s : s + _STRIP].tobytes() for s in strips], pa.binary())], ["strip", "v"])
 
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(v) for v in table.column("v").to_pylist())
-            return pa.table({"strip": table.column("strip").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
-
-        rows = self.lent[k].mapInArrow(part, "strip int, v binary").groupBy("strip").applyInArrow(add, "strip int, v binary").collect()
-        total = np.frombuffer(b"".join(bytes(r["v"]) for r in sorted(rows, key=lambda r: r["strip"]))).reshape(n + 1, n)
+        total = np.frombuffer(summed(in_batches(self.lent[k], part, "strip int, v binary"), "f8", self.tasks[k])).reshape(n + 1, n)
         return total[0], total[1:]
 
 
@@ -257,13 +260,15 @@ def _features(df: DataFrame, keep: str, kind: str) -> DataFrame:
     """(``keep``, text features, metadata features)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.to_pydict()
-            t = [text_features(v or "").tobytes() for v in x["text"]]
-            m = [meta_features(*v).tobytes() for v in zip(x["source"], x["lang"], x["n_chars"], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], [keep, "t", "m"])
+        release_memory()
+        for whole in batches:
+            for batch in slices(whole):
+                t = [text_features(v.as_py() or "").tobytes() for v in batch.column(1)]
+                m = [meta_features(*v).tobytes() for v in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], [keep, "t", "m"])
+            pa.default_memory_pool().release_unused()
 
-    return df.select(keep, *_inputs()).mapInArrow(work, f"{keep} {kind}, t binary, m binary")
+    return in_batches(df.select(keep, *_inputs()), work, f"{keep} {kind}, t binary, m binary")
 
 
 def _inputs() -> list:
@@ -304,20 +309,21 @@ def score(df: DataFrame, model: Classifier, threshold: float = 0.5, rejected: bo
     base = [c for c in df.columns if c not in names]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            text, source, lang, size = (batch.column(len(base) + k) for k in range(4))
-            a, b = model.views(np.array([text_features(t.as_py() or "") for t in text], np.float64), np.array([meta_features(*v) for v in zip(source.to_pylist(), lang.to_pylist(), size.to_pylist(), strict=True)], np.float64))
-            p = model.combined(a, b)
-            logistic = lambda z: np.round(1 / (1 + np.exp(-z)), 6)
-            kept = pa.array(p >= threshold)
-            out = pa.RecordBatch.from_arrays([*batch.columns[: len(base)], pa.array(logistic(a)), pa.array(logistic(b)), pa.array(np.round(p, 6)), kept], [*base, *names])
-            yield out if rejected else out.filter(kept)
+        release_memory()
+        logistic = lambda z: np.round(1 / (1 + np.exp(-z)), 6)
+        for whole in batches:
+            for batch in slices(whole):
+                text, *meta = (batch.column(len(base) + k) for k in range(4))
+                a, b = model.views(np.array([text_features(t.as_py() or "") for t in text], np.float64), np.array([meta_features(*v) for v in zip(*(c.to_pylist() for c in meta), strict=True)], np.float64))
+                p = model.combined(a, b)
+                kept = pa.array(p >= threshold)
+                out = pa.RecordBatch.from_arrays([*batch.columns[: len(base)], pa.array(logistic(a)), pa.array(logistic(b)), pa.array(np.round(p, 6)), kept], [*base, *names])
+                yield out if rejected else out.filter(kept)
+            pa.default_memory_pool().release_unused()
 
     inputs = [c.alias(f"_lf_{k}") for k, c in enumerate(_inputs())]
     schema = T.StructType([*(df.schema[c] for c in base), *(T.StructField(n, T.DoubleType()) for n in names[:3]), T.StructField("kept", T.BooleanType())])
-    return df.select(*base, *inputs).mapInArrow(work, schema)
+    return in_batches(df.select(*base, *inputs), work, schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

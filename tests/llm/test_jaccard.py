@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from loomframe.llm import components, jaccard
 
@@ -29,7 +30,11 @@ def brute(rows, percent=90):
     return sorted(out)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize(("long", "rounds"), [(256, 4), (2, 0), (3, 2)])
+def test_against_brute_force(spark, monkeypatch, long, rounds):
+    """With scanned lists only, and with most sets in block lists, answered in rounds or all at last."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     r = random.Random(4)
     rows = []
     for _ in range(14):
