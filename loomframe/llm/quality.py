@@ -276,10 +276,17 @@ def _inputs() -> list:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, label_col: str = "quality") -> Classifier:
-    """Rows of ``labels`` without an id or a label don't count; one label for each id. All other documents are the pool."""
+    """Rows of ``labels`` without an id or a label don't count; one label for each id. All other documents are the pool.
+
+    Where rows of ``docs`` share a labelled id, one of them counts, that with
+    the least hash of its text, so that ``max_labelled`` rows come to the driver.
+    """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label_col).cast("int")).alias("y"))
     wanted = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    got = _features(docs.join(F.broadcast(wanted), "doc_id"), "y", "int").collect()  # wanted has max_labelled rows at most
+    own = docs.join(F.broadcast(wanted), "doc_id")  # wanted has max_labelled rows at most
+    least = own.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("_lf_least"))
+    own = own.join(F.broadcast(least), "doc_id").filter(F.xxhash64("text") == F.col("_lf_least")).dropDuplicates(["doc_id"])
+    got = _features(own, "y", "int").collect()
     got = sorted((tuple(r) for r in got), key=lambda r: (zlib.crc32(bytes(r[1]) + bytes(r[2])), bytes(r[1])))
     y = np.array([min(1, max(0, r[0])) for r in got], float)
     if not len(y) or y.min() == y.max():
@@ -303,7 +310,10 @@ def score(df: DataFrame, model: Classifier, threshold: float = 0.5, rejected: bo
 
     ``df`` needs text, source, lang and n_chars, any of them null; a null text
     is an empty one. Columns of these four new names are replaced. With
-    ``rejected`` false, only rows that are kept come out.
+    ``rejected`` false, only rows that are kept come out. A row whose unrounded
+    probability is the threshold is kept; repeated rows come out alike, as often
+    as they came; an empty table gives an empty result; texts of any length are
+    scored whole.
     """
     names = ["p_text", "p_meta", "p_good", "kept"]
     base = [c for c in df.columns if c not in names]
