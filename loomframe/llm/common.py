@@ -157,13 +157,13 @@ def _store() -> dict:
     return sys.modules.setdefault("_loomframe_worker_cache", types.ModuleType("_loomframe_worker_cache")).__dict__.setdefault("held", {})
 
 
-def release_memory() -> None:
-    """Empties the worker's cache, if it holds anything, and gives free memory back to the system."""
+def release_memory(always: bool = False) -> None:
+    """Empties the worker's cache, if it holds anything (or ``always``), and gives free memory back to the system."""
     import ctypes
     import gc
 
     store = _store()
-    if not store:
+    if not store and not always:
         return
     store.clear()
     gc.collect()
@@ -194,13 +194,22 @@ class Memo(dict):
 BATCH_ROWS, BATCH_BYTES = 2_000, 2_000_000
 
 
-def in_batches(df: DataFrame, work: Callable, schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow``, in batches small enough for long texts; sets the session's limits where they are Spark's own."""
+def in_batches(df: DataFrame, work: Callable, schema: T.StructType | str, keep: bool = False) -> DataFrame:
+    """``df.mapInArrow``, in batches small enough for long texts; sets the session's limits where they are Spark's own.
+
+    Unless it is to ``keep`` its cache for the next task, a worker gives its
+    memory back at the end of each: it waits beside others for what may come.
+    """
     conf = df.sparkSession.conf
     for key, most, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, "67108864b")):
         if conf.get(f"spark.sql.execution.arrow.{key}", None) == usual:
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))
-    return df.mapInArrow(work, schema)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        release_memory(always=True)
+
+    return df.mapInArrow(work if keep else tidy, schema)
 
 
 def slices(batch: object, rows: int = 500, most: int = 2_000_000) -> Iterator:

@@ -4,23 +4,27 @@ Index lists. A set's shingles are put in one order for the whole corpus, the
 rarest first (by the counts of all shingles in a table of buckets), then by
 hash. Linked sets share a shingle among the first n - ceil(t * n) + 1 of each:
 a shingle's index list holds the sets that have it there, by size and position.
-A scan of a list compares each set with the ones after it, block by block, and
-leaves out the rest as soon as they are too large; pairs whose positions leave
-too little to share are skipped.
-
-Long lists (more than ``LONG`` sets, as of copies of one text or of a passage)
-aren't scanned. Their sets are filed under position blocks instead: the
-shingles, ordered by hash, are cut in as many blocks as a link's symmetric
-difference can have elements, plus one, plus some spare ones, so that linked
-sets agree in more blocks than are spare. A block list's least set answers
-first, for all others; the sets linked to it take over its component. Only
-where a list then holds several components, sets of different ones are
-compared further, and there the first set's answers are used again: what two
-sets x and y share can't exceed min(|x & first|, |y & first|) +
+A scan of a short list (of ``SHORT`` sets) compares each set with the ones after
+it, block by block, and leaves out the rest as soon as they are too large; pairs
+whose positions leave too little to share are skipped.
+
+Of a longer list's sets (as of copies of one text or of a passage), the one that
+stands in the most lists answers first, for all others; the sets linked to it
+take over its component. While a list still holds several components, another
+set outside the largest one answers for all others, for some rounds; at last
+all sets that are left outside do. There the first set's answers are used again:
+what two sets x and y share can't exceed min(|x & first|, |y & first|) +
 min(|x - first|, |y - first|), so whoever differs little from the first one
 skips all that the first one has nothing to do with. So no link between
 different components is lost, and no list's pairs are enumerated.
 
+Lists of more than ``LONG`` sets that are still open after the rounds aren't
+compared at last. Their sets are filed under position blocks instead: the
+shingles, ordered by hash, are cut in as many blocks as a link's symmetric
+difference can have elements, plus one, plus some spare ones, so that linked
+sets agree in more blocks than are spare. The lists of equal blocks are answered
+in the same way.
+
 Equal sets are one set. 64-bit hashes stand for shingles and sets.
 """
 
@@ -45,8 +49,8 @@ SHINGLE = 3
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 90
 SKETCH = 16
-#: Sets up to which an index list is scanned.
-LONG = 256
+#: Sets up to which an index list is scanned pair by pair; and up to which the sets of a longer one are all compared at last.
+SHORT, LONG = 8, 256
 #: Times that each open block list has one more set answer, before all that are left do.
 ROUNDS = 4
 #: Buckets of shingle counts: 2 ** BITS; a strip of them is sent at a time.
@@ -289,25 +293,50 @@ def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
     return both.filter(_close(F.col("_a.n"), F.col("_a.sketch"), F.col("_b.n"), F.col("_b.sketch"), percent)).select("a", "b")
 
 
-def _late_pairs(opened: DataFrame, parts: DataFrame, tried: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of different components in the block lists ``opened``; and the sets (node) that were asked.
+def weighed(lists: DataFrame) -> DataFrame:
+    """(list, node, weight, a) of ``lists`` (list, node): the lists that a set stands in, and the set of each list that stands in the most."""
+    weights = materialise(lists.groupBy("node").agg(F.count("*").alias("weight")), "weights")
+    # written before they are joined, so that Spark can split the sets of a long list
+    known = materialise(lists.join(broadcast_if_small(weights), "node"), "weighed")
+    firsts = materialise(known.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select("list", F.col("x.node").alias("a")), "firsts")
+    members = materialise(known.join(broadcast_if_small(firsts), "list"), "members")
+    discard(weights, known, firsts)
+    return members
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    return members.filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+
+
+def _open(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and the lists (list, top, m) that hold several."""
+    placed = members.join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("m"))
+    return placed, materialise(sizes.filter("parts > 1").select("list", F.col("top.component").alias("top"), "m"), "open-lists")
+
+
+def _late_pairs(members: DataFrame, sketches: DataFrame, answers: DataFrame, parts: DataFrame, tried: DataFrame, percent: int, last: bool, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of different components in the lists; and the sets (node) that were asked.
 
     Of each list that holds several components, the set outside the largest one
-    that stands in the most lists is asked, in all its lists; ``last``: all sets
-    outside the largest components that haven't been asked before.
+    that stands in the most lists is asked, in all its lists; ``last``: in lists
+    of ``most`` sets at most, all sets outside the largest components that haven't
+    been asked before.
     """
-    placed = opened.join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
-    open_lists = materialise(sizes.filter("parts > 1").select("list", F.col("top.component").alias("top")), "open-lists")
-    rest = materialise(placed.join(broadcast_if_small(open_lists), "list"), "open")
+    placed, open_lists = _open(members, parts)
+    wanted = open_lists.filter(F.col("m") <= most) if last and most is not None else open_lists
+    first = answers.select(F.explode(F.array(F.struct("a", F.col("b").alias("node")), F.struct(F.col("b").alias("a"), F.col("a").alias("node")))).alias("p"), "shared").select("p.*", "shared")
+    rest = placed.join(broadcast_if_small(wanted.select("list", "top")), "list").join(broadcast_if_small(first), ["a", "node"], "left").join(broadcast_if_small(sketches), "node")
+    # the first set shares all of itself
+    rest = materialise(rest.select("list", "node", "weight", "n", "sketch", "component", "top", F.when(F.col("a") == F.col("node"), F.col("n")).otherwise(F.col("shared")).alias("shared")), "open")
     fresh = rest.filter("component <> top").join(broadcast_if_small(tried), "node", "left_anti")
     if not last:
         fresh = fresh.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select(F.col("x.node").alias("node"))
     asked = materialise(fresh.select("node").distinct(), "asked")
     left = rest.join(broadcast_if_small(asked), "node", "left_semi").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch", "shared")])
     # an answer that the first set's answers rule out is skipped
-    most = F.least("shared", "l_shared") + F.least(F.col("n") - F.col("shared"), F.col("l_n") - F.col("l_shared"))
-    near = (F.col("component") != F.col("l_component")) & F.coalesce(_linked(F.col("n"), F.col("l_n"), most, percent), F.lit(True)) & _close(F.col("n"), F.col("sketch"), F.col("l_n"), F.col("l_sketch"), percent)
+    bound = F.least("shared", "l_shared") + F.least(F.col("n") - F.col("shared"), F.col("l_n") - F.col("l_shared"))
+    near = (F.col("component") != F.col("l_component")) & F.coalesce(_linked(F.col("n"), F.col("l_n"), bound, percent), F.lit(True)) & _close(F.col("n"), F.col("sketch"), F.col("l_n"), F.col("l_sketch"), percent)
     found = left.join(rest, (left["list"] == rest["list"]) & near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
     found = materialise(found.distinct(), "late-pairs")
     discard(open_lists, rest)
@@ -354,28 +383,12 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
         return texts.join(broadcast_if_small(picked), ["ord", "key"], "left_semi")
 
     entries = materialise(entries_of(texts, percent, size, spark.sparkContext.broadcast(rarity(counted))), "entries")
-    heavy = materialise(entries.groupBy("token").count().filter(F.col("count") > LONG).select("token"), "heavy")
-    pairs = scanned(entries.join(broadcast_if_small(heavy), "token", "left_anti"), percent)
-    members = lists = filed = None
-    if not heavy.isEmpty():
-        hot = materialise(entries.join(broadcast_if_small(heavy), "token", "left_semi").select("node").distinct(), "hot")
-        filed = materialise(blocks_of(texts_of(hot), percent, size), "blocks")
-        # written before they are joined, so that Spark can split the sets of a long list
-        lists = materialise(filed.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list"), "lists")
-        shared = materialise(filed.join(broadcast_if_small(lists), "list"), "shared")
-        # first comes the set that stands in the most lists, as the text that others are copies of does
-        weights = materialise(shared.groupBy("node").agg(F.count("*").alias("weight")), "weights")
-        weighed = shared.join(broadcast_if_small(weights), "node")
-        firsts = materialise(weighed.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select("list", F.col("x.node").alias("a")), "firsts")
-        members = materialise(weighed.join(broadcast_if_small(firsts), "list"), "members")
-        discard(shared, weights, firsts)
-        pairs = pairs.unionByName(members.filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")))
-        discard(hot, filed, lists)
-    pairs = materialise(pairs.distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    ends = materialise((ends if members is None else ends.unionByName(members.select("node"))).distinct(), "ends")
-    sketches = materialise(single.select("node", "n", "sketch").join(broadcast_if_small(ends), "node", "left_semi"), "sketches")
-    close = materialise(close_pairs(pairs, sketches, percent), "close-pairs")
+    counts = materialise(entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
+    short = entries.join(broadcast_if_small(counts.filter(F.col("m") <= SHORT).select("token")), "token", "left_semi")
+    long = entries.join(broadcast_if_small(counts.filter(F.col("m") > SHORT).select("token")), "token", "left_semi")
+    members = weighed(long.select(F.col("token").alias("list"), "node"))
+    pairs = materialise(scanned(short, percent).unionByName(first_pairs(members)).distinct(), "pairs")
+    discard(entries, counts)
 
     def answered_of(some: DataFrame) -> DataFrame:
         """Answers for pairs, from the whole sets."""
@@ -385,29 +398,52 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
         discard(nodes, held)
         return out
 
-    answers = answered_of(close)
-    links = materialise(answers.filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
-    parts = materialise(connected(links), "parts")
-    if members is not None:
-        first = answers.select(F.explode(F.array(F.struct("a", F.col("b").alias("node")), F.struct(F.col("b").alias("a"), F.col("a").alias("node")))).alias("p"), "shared").select("p.*", "shared")
-        opened = members.join(broadcast_if_small(first), ["a", "node"], "left").join(broadcast_if_small(sketches), "node")
-        # the first set shares all of itself
-        opened = materialise(opened.select("list", "node", "weight", "n", "sketch", F.when(F.col("a") == F.col("node"), F.col("n")).otherwise(F.col("shared")).alias("shared")), "opened")
-        tried = materialise(spark.createDataFrame([], "node long"), "tried")
+    def answer(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Sketches of all sets that come up, answers for the pairs that these leave open, and the links."""
+        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "ends")
+        sketches = materialise(single.select("node", "n", "sketch").join(broadcast_if_small(ends), "node", "left_semi"), "sketches")
+        close = materialise(close_pairs(pairs, sketches, percent), "close-pairs")
+        answers = answered_of(close)
+        links = materialise(answers.filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
+        discard(ends, close)
+        return sketches, answers, links
+
+    def settled(members: DataFrame, sketches: DataFrame, answers: DataFrame, parts: DataFrame, most: int | None) -> DataFrame:
+        """``parts`` after the lists' further answers; lists of more than ``most`` sets get a round's only."""
+        tried = spark.createDataFrame([], "node long")
         for k in range(ROUNDS + 1):
-            late, asked = _late_pairs(opened, parts, tried, percent, k == ROUNDS)
+            late, asked = _late_pairs(members, sketches, answers, parts, tried, percent, k == ROUNDS, most)
             if asked.isEmpty():
                 break
-            tried = materialise(tried.unionByName(asked).distinct(), "tried")
+            before, tried = tried, materialise(tried.unionByName(asked).distinct(), "tried")
             if not late.isEmpty():
-                more = materialise(answered_of(late).filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
-                parts = _joined(parts, more)
+                more = answered_of(late)
+                more = materialise(more.filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
+                if not more.isEmpty():
+                    parts = _joined(parts, more)
                 discard(more)
-            discard(late, asked)
-        discard(opened, tried)
+            discard(late, asked, before)
+        discard(tried)
+        return parts
+
+    sketches, answers, links = answer(pairs, members)
+    parts = materialise(connected(links), "parts")
+    parts = settled(members, sketches, answers, parts, LONG)
+    placed, open_lists = _open(members, parts)
+    hot = materialise(placed.join(broadcast_if_small(open_lists.filter(F.col("m") > LONG).select("list")), "list", "left_semi").select("node").distinct(), "hot")
+    discard(pairs, sketches, answers, links, open_lists)
+    if not hot.isEmpty():
+        filed = materialise(blocks_of(texts_of(hot), percent, size), "blocks")
+        several = materialise(filed.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list"), "lists")
+        blocked = weighed(filed.join(broadcast_if_small(several), "list"))
+        discard(filed, several)
+        first = materialise(first_pairs(blocked).distinct(), "pairs")
+        sketches, answers, links = answer(first, blocked)
+        parts = settled(blocked, sketches, answers, _joined(parts, links), None)
+        discard(first, blocked, sketches, answers, links)
     labelled = sets.select("doc_id", "key", "n", "node").join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialise(labelled, "labelled")
-    discard(counted, twins, lost, entries, heavy, pairs, ends, sketches, close, answers, links, members, parts)
+    discard(counted, twins, lost, members, hot, parts)
     # of the components with one row, the row tells the id
     least = materialise(labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")).filter("m > 1").drop("m"), "least")
     joined = labelled.join(broadcast_if_small(least), "component", "left")

@@ -233,7 +233,7 @@ def _per_text(df: DataFrame, source: str, kind: str, keep: list[str], new: dict[
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *run(tool, batch.column(len(keep)))], [*keep, *new])
 
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, t) for c, t in new.items())])
-    return in_batches(taken, work, schema)
+    return in_batches(taken, work, schema, keep=True)  # an encoder takes long to build and to warm
 
 
 def _ids(encoder: Encoder, texts: pa.Array) -> tuple[list[np.ndarray], pa.Array]:

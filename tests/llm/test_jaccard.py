@@ -30,9 +30,10 @@ def brute(rows, percent=90):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("long", "rounds"), [(256, 4), (2, 0), (3, 2)])
-def test_against_brute_force(spark, monkeypatch, long, rounds):
-    """With scanned lists only, and with most sets in block lists, answered in rounds or all at last."""
+@pytest.mark.parametrize(("short", "long", "rounds"), [(8, 256, 4), (2, 3, 0), (2, 256, 2), (3, 4, 1)])
+def test_against_brute_force(spark, monkeypatch, short, long, rounds):
+    """With scanned lists mostly, and with long and block lists, answered in rounds or all at last."""
+    monkeypatch.setattr(jaccard, "SHORT", short)
     monkeypatch.setattr(jaccard, "LONG", long)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     r = random.Random(4)
