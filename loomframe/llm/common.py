@@ -129,7 +129,7 @@ def _least(kind: T.DataType) -> int:
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, to be broadcast if its rows take ``most`` bytes at most, as counted; reads no more than it must.
 
-    Hashed relations take some two to four times that.
+    A hashed relation takes up to some six times that.
     """
     rows = most // max(8, sum(_least(f.dataType) for f in df.schema))
     size = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(0)).cast("long")

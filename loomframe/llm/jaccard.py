@@ -1,31 +1,22 @@
 """Exact Jaccard join on word shingles, by set relations, down to components.
 
-Index lists. A set's shingles are put in one order for the whole corpus, the
-rarest first (by the counts of all shingles in a table of buckets), then by
-hash. Linked sets share a shingle among the first n - ceil(t * n) + 1 of each:
-a shingle's index list holds the sets that have it there, by size and position.
-A scan of a short list (of ``SHORT`` sets) compares each set with the ones after
-it, block by block, and leaves out the rest as soon as they are too large; pairs
-whose positions leave too little to share are skipped.
-
-Of a longer list's sets (as of copies of one text or of a passage), the one that
-stands in the most lists answers first, for all others; the sets linked to it
-take over its component. While a list still holds several components, another
-set outside the largest one answers for all others, for some rounds; at last
-all sets that are left outside do. There the first set's answers are used again:
-what two sets x and y share can't exceed min(|x & first|, |y & first|) +
-min(|x - first|, |y - first|), so whoever differs little from the first one
-skips all that the first one has nothing to do with. So no link between
-different components is lost, and no list's pairs are enumerated.
-
-Lists of more than ``LONG`` sets that are still open after the rounds aren't
-compared at last. Their sets are filed under position blocks instead: the
-shingles, ordered by hash, are cut in as many blocks as a link's symmetric
-difference can have elements, plus one, plus some spare ones, so that linked
-sets agree in more blocks than are spare. The lists of equal blocks are answered
-in the same way.
-
-Equal sets are one set. 64-bit hashes stand for shingles and sets.
+A set's shingles are ordered by hash and cut into position blocks: as many, for
+its size class, as a link's symmetric difference can have elements, plus one, plus
+some spare ones. Linked sets agree in more blocks than are spare. Each index list
+holds the sets with one content of one block, so whole blocks that differ are
+skipped. Empty blocks give no list, but for the few sets that have more empty
+blocks than there are spare ones: only two of those can agree in nothing else.
+
+A list isn't joined with itself. Its least set answers first; sets that are
+verified to be linked to it take over its component, and need no answer of their
+own within that component. Only where a list still holds several components are
+the sets outside the largest of them compared with the others: by size, by odd
+sketches (whose Hamming distance never exceeds the symmetric difference), then on
+the shingles. So no link between different components is lost, and no list's
+pairs are enumerated.
+
+Sets stand for equal texts, once each: repeated and equal documents are one set.
+64-bit hashes stand for shingles and sets.
 """
 
 from __future__ import annotations
@@ -35,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomframe.llm.anchored import _BASES, _Hashes, _mix
-from loomframe.llm.common import SPACES, broadcast_if_small, discard, in_batches, materialise, partitions, ships, slices, summed, table, worker_cache
+from loomframe.llm.anchored import _BASES, _Hashes, _mix, text_keys, with_copies
+from loomframe.llm.common import SPACES, broadcast_if_small, discard, in_batches, materialise, partitions, ships, slices, table, worker_cache
 from loomframe.llm.components import connected
 
 ships(__name__)
@@ -49,12 +39,8 @@ SHINGLE = 3
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 90
 SKETCH = 16
-#: Sets up to which an index list is scanned pair by pair; and up to which the sets of a longer one are all compared at last.
-SHORT, LONG = 8, 256
-#: Times that each open block list has one more set answer, before all that are left do.
-ROUNDS = 4
-#: Buckets of shingle counts: 2 ** BITS; a strip of them is sent at a time.
-BITS, _STRIP = 18, 1 << 14
+#: Partitions of index entries for each shuffle partition: a text has hundreds of entries.
+SPREAD = 4
 
 
 def most_different(a: int, b: int, percent: int) -> int:
@@ -72,13 +58,10 @@ def size_class(n: int, percent: int) -> tuple[int, int, int]:
         k, low = k + 1, high + 1
 
 
-def blocks(low: int, high: int, percent: int) -> tuple[int, int]:
-    """Position blocks of the class of sizes ``low`` to ``high``, for pairs in it or with the next class; and the spare ones.
-
-    Sets that can only be linked if they are equal need one block.
-    """
+def blocks(k: int, low: int, high: int, percent: int) -> tuple[int, int]:
+    """Position blocks of class ``k`` (sizes ``low`` to ``high``), for pairs in it or with the next class; and the spare ones."""
     least = most_different(high, high * 100 // percent, percent) + 1
-    if least == 1:
+    if least == 1:  # linked sets are equal
         return 1, 0
     spare = math.ceil(2 * least * math.exp(-0.9 * low / least)) + (least > 2)
     return least + spare, spare
@@ -102,12 +85,12 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def lists_of(s: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The block lists of a set: for its class, and as the larger set for the class below."""
+    """The index lists of a set: for its class, and as the larger set for the class below."""
     k, low, high = size_class(len(s), percent)
     mixed, out = _mix(s * _BASES[1]), []
     below = size_class(low - 1, percent) if k else None
     for number, least, most in filter(None, ((k, low, high), below)):
-        m, spare = blocks(least, most, percent)
+        m, spare = blocks(number, least, most, percent)
         at = ((s >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
         sums, held = np.zeros(m, np.uint64), np.bincount(at, minlength=m) > 0
         np.add.at(sums, at, mixed)
@@ -123,7 +106,7 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
 
 def _ragged(rows: list[np.ndarray]) -> pa.Array:
     ends = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64), pa.int64()))
 
 
 def _node(s: np.ndarray) -> int | None:
@@ -132,225 +115,68 @@ def _node(s: np.ndarray) -> int | None:
 
 
 def describe(rows: DataFrame, size: int) -> DataFrame:
-    """(doc_id, key, n, node, sketch) of ``rows`` (doc_id, key, text); node is a hash of the set.
-
-    Besides, a row (strip, v) for each task and strip of the table of buckets:
-    how many of the task's shingles are in each bucket.
-    """
+    """(doc_id, key, n, node, sketch) of ``rows`` (doc_id, key, text); node is a hash of the set."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, counts = worker_cache("shingle-words", _Hashes), np.zeros(1 << BITS, np.int64)
-        names = ["doc_id", "key", "n", "node", "sketch", "strip", "v"]
+        memo = worker_cache("shingle-words", _Hashes)
         for whole in batches:
-            for batch in slices(whole):
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
                 sets = [shingles(memo, t.as_py() or "", size) for t in batch.column(2)]
-                counts += np.bincount(_bucket(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=1 << BITS)
                 sketches = [odd_sketch(s) if len(s) else np.zeros(0, np.int64) for s in sets]
-                m = len(sets)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.int64()), _ragged(sketches), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.int64()), _ragged(sketches)], ["doc_id", "key", "n", "node", "sketch"])
             pa.default_memory_pool().release_unused()
-        strips = range(0, 1 << BITS, _STRIP)
-        m = len(strips)
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(m, pa.int64()) for _ in range(4)), pa.nulls(m, pa.list_(pa.int64())), pa.array(strips, pa.int32()), pa.array([counts[k : k + _STRIP].tobytes() for k in strips], pa.binary())], names)
-
-    return in_batches(rows.select("doc_id", "key", "text"), work, "doc_id long, key long, n long, node long, sketch array<long>, strip int, v binary")
 
+    return in_batches(rows.select("doc_id", "key", "text"), work, "doc_id long, key long, n long, node long, sketch array<long>")
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
-
-def rarity(counted: DataFrame) -> bytes:
-    """For each bucket of hashes, the bits of the number of its shingles in all sets, as a byte; from what ``describe`` counted."""
-    counts = np.frombuffer(summed(counted.filter("strip IS NOT NULL").select("strip", "v"), "i8"), np.int64)
-    return np.ceil(np.log2((counts if len(counts) else np.zeros(1 << BITS)) + 1)).astype(np.uint8).tobytes()
-
-
-def items_of(rows: DataFrame, size: int) -> DataFrame:
-    """(node, items) of the sets of ``rows`` (text): their shingles' hashes, sorted."""
+def entries_of(rows: DataFrame, percent: int, size: int) -> DataFrame:
+    """(list, node): a row for each index list of each text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_cache("shingle-words", _Hashes)
-        for whole in batches:
-            for batch in slices(whole):
-                sets = [shingles(memo, t.as_py() or "", size) for t in batch.column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), _ragged(sets)], ["node", "items"])
+        for batch in batches:
+            lists, nodes, held = [], [], 0
+            for t in batch.column(0):
+                s = shingles(memo, t.as_py() or "", size)
+                if len(s):
+                    own = np.concatenate(lists_of(s, percent))
+                    lists.append(own)
+                    nodes.append(np.full(len(own), _node(s), np.int64))
+                    held += len(own)
+                if held >= 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(nodes))], ["list", "node"])
+                    lists, nodes, held = [], [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.concatenate(nodes))], ["list", "node"])
             pa.default_memory_pool().release_unused()
 
-    return in_batches(rows.select("text"), work, "node long, items array<long>")
-
-
-def entries_of(rows: DataFrame, percent: int, size: int, rare: Broadcast) -> DataFrame:
-    """(token, node, n, pos): the index entries of the sets of ``rows`` (text)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, level = worker_cache("shingle-words", _Hashes), np.frombuffer(rare.value, np.uint8).astype(np.int64)
-        for whole in batches:
-            for batch in slices(whole):
-                sets = [x for x in (shingles(memo, t.as_py() or "", size) for t in batch.column(0)) if len(x)]
-                if not sets:
-                    continue
-                flat, count = np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
-                owner = np.repeat(np.arange(len(count)), count)
-                # hashes ascend within a set, so a stable sort leaves them so within a level
-                order = np.argsort(owner << 8 | level[_bucket(flat)], kind="stable")
-                pos = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
-                keep = pos < (count - (percent * count + 99) // 100 + 1)[owner]
-                own = owner[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[order[keep]].view(np.int64)), pa.array(np.array(list(map(_node, sets)), np.int64)[own]), pa.array(count[own].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["token", "node", "n", "pos"])
-            pa.default_memory_pool().release_unused()
-
-    return in_batches(rows.select("text"), work, _ENTRY)
-
-
-_ENTRY = "token long, node long, n int, pos int"
-
-
-def near_pairs(token: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidates in index lists, which stand one after another, each by size and position."""
-    left, right, step, at = [], [], 1, np.arange(len(token))
-    while True:
-        at = at[at + step < len(token)]
-        # a list is ordered by size: once a set is too large, so are those after it
-        at = at[(token[at] == token[at + step]) & (percent * n[at + step] <= 100 * n[at])]
-        if not len(at):
-            break
-        b = at + step
-        # at the first shingle that two sets share, this many at most are shared
-        room = np.minimum(n[at] - pos[at], n[b] - pos[b])
-        ok = ((100 + percent) * room >= percent * (n[at] + n[b])) & (node[at] != node[b])
-        left.append(node[at[ok]])
-        right.append(node[b[ok]])
-        step += 1
-    none = np.zeros(0, np.int64)
-    a, b = np.concatenate([none, *left]), np.concatenate([none, *right])
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def scanned(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of nodes in the lists of ``entries``, of ``LONG`` sets at most."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
-        for batch in _and_end(batches):
-            if batch is not None:
-                held = [np.concatenate((h, c.to_numpy().astype(np.int64))) for h, c in zip(held, batch.columns, strict=True)]
-            # a list that the next batch may go on with waits
-            upto = len(held[0]) if batch is None or not len(held[0]) else int(np.searchsorted(held[0], held[0][-1]))
-            a, b = near_pairs(*(h[:upto] for h in held), percent)
-            if len(a):
-                both = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-            held = [h[upto:] for h in held]
-
-    dealt = entries.repartition(partitions(entries.sparkSession), "token").sortWithinPartitions("token", "n", "pos")
-    return in_batches(dealt.select("token", "node", "n", "pos"), work, "a long, b long")
-
-
-def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+    return in_batches(rows.select("text"), work, "list long, node long")
 
 
-def blocks_of(rows: DataFrame, percent: int, size: int) -> DataFrame:
-    """(list, node): a row for each block list of the sets of ``rows`` (text)."""
+def contents(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, items) of the sets ``nodes`` (ord, node), from ``rows`` (ord, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = worker_cache("shingle-words", _Hashes)
         for whole in batches:
-            for batch in slices(whole, 100):
-                sets = [x for x in (shingles(memo, t.as_py() or "", size) for t in batch.column(0)) if len(x)]
-                if sets:
-                    own = [np.concatenate(lists_of(x, percent)) for x in sets]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(np.repeat(np.array(list(map(_node, sets)), np.int64), [len(x) for x in own]))], ["list", "node"])
+            for k in range(0, whole.num_rows, 1000):
+                batch = whole.slice(k, 1000)
+                sets = [shingles(memo, t or "", size).view(np.int64) for t in batch.column(1).to_pylist()]
+                nodes = [_node(x.view(np.uint64)) for x in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), _ragged(sets)], ["node", "items"])
 
-    return in_batches(rows.select("text"), work, "list long, node long")
+    ids = nodes.select("ord").distinct()
+    got = in_batches(rows.join(broadcast_if_small(ids), "ord", "left_semi").select("ord", "text"), work, "node long, items array<long>")
+    return got.join(broadcast_if_small(nodes.select("node").distinct()), "node", "left_semi").dropDuplicates(["node"])
 
 
-def answered(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """(a, b, na, nb, shared) of pairs (a, b) of nodes."""
+def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are linked."""
     with_a = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     both = with_a.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("shared"))
-
-
-def _linked(na: Column, nb: Column, shared: Column, percent: int) -> Column:
-    return (100 + percent) * shared >= percent * (na + nb)
-
-
-def _close(n: Column, sketch: Column, m: Column, other: Column, percent: int) -> Column:
-    """Whether sizes and odd sketches leave it open that two sets are linked: a sketch's distance never exceeds the symmetric difference."""
-    far = F.lit(0)
-    for k in range(SKETCH):
-        far = far + F.bit_count(F.get(sketch, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k))))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
-
-
-def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) that their sketches (node, n, sketch) don't tell apart."""
-    of = lambda c: broadcast_if_small(sketches.select(F.col("node").alias(c), F.struct("n", "sketch").alias(f"_{c}")))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.filter(_close(F.col("_a.n"), F.col("_a.sketch"), F.col("_b.n"), F.col("_b.sketch"), percent)).select("a", "b")
-
-
-def weighed(lists: DataFrame) -> DataFrame:
-    """(list, node, weight, a) of ``lists`` (list, node): the lists that a set stands in, and the set of each list that stands in the most."""
-    weights = materialise(lists.groupBy("node").agg(F.count("*").alias("weight")), "weights")
-    # written before they are joined, so that Spark can split the sets of a long list
-    known = materialise(lists.join(broadcast_if_small(weights), "node"), "weighed")
-    firsts = materialise(known.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select("list", F.col("x.node").alias("a")), "firsts")
-    members = materialise(known.join(broadcast_if_small(firsts), "list"), "members")
-    discard(weights, known, firsts)
-    return members
-
-
-def first_pairs(members: DataFrame) -> DataFrame:
-    return members.filter("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-
-
-def _open(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members with their components, and the lists (list, top, m) that hold several."""
-    placed = members.join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"), F.sum("m").alias("m"))
-    return placed, materialise(sizes.filter("parts > 1").select("list", F.col("top.component").alias("top"), "m"), "open-lists")
-
-
-def _late_pairs(members: DataFrame, sketches: DataFrame, answers: DataFrame, parts: DataFrame, tried: DataFrame, percent: int, last: bool, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs of different components in the lists; and the sets (node) that were asked.
-
-    Of each list that holds several components, the set outside the largest one
-    that stands in the most lists is asked, in all its lists; ``last``: in lists
-    of ``most`` sets at most, all sets outside the largest components that haven't
-    been asked before.
-    """
-    placed, open_lists = _open(members, parts)
-    wanted = open_lists.filter(F.col("m") <= most) if last and most is not None else open_lists
-    first = answers.select(F.explode(F.array(F.struct("a", F.col("b").alias("node")), F.struct(F.col("b").alias("a"), F.col("a").alias("node")))).alias("p"), "shared").select("p.*", "shared")
-    rest = placed.join(broadcast_if_small(wanted.select("list", "top")), "list").join(broadcast_if_small(first), ["a", "node"], "left").join(broadcast_if_small(sketches), "node")
-    # the first set shares all of itself
-    rest = materialise(rest.select("list", "node", "weight", "n", "sketch", "component", "top", F.when(F.col("a") == F.col("node"), F.col("n")).otherwise(F.col("shared")).alias("shared")), "open")
-    fresh = rest.filter("component <> top").join(broadcast_if_small(tried), "node", "left_anti")
-    if not last:
-        fresh = fresh.groupBy("list").agg(F.max(F.struct("weight", "node")).alias("x")).select(F.col("x.node").alias("node"))
-    asked = materialise(fresh.select("node").distinct(), "asked")
-    left = rest.join(broadcast_if_small(asked), "node", "left_semi").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch", "shared")])
-    # an answer that the first set's answers rule out is skipped
-    bound = F.least("shared", "l_shared") + F.least(F.col("n") - F.col("shared"), F.col("l_n") - F.col("l_shared"))
-    near = (F.col("component") != F.col("l_component")) & F.coalesce(_linked(F.col("n"), F.col("l_n"), bound, percent), F.lit(True)) & _close(F.col("n"), F.col("sketch"), F.col("l_n"), F.col("l_sketch"), percent)
-    found = left.join(rest, (left["list"] == rest["list"]) & near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b"))
-    found = materialise(found.distinct(), "late-pairs")
-    discard(open_lists, rest)
-    return found, asked
-
-
-def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
-    """``parts`` (node, component) after more ``links`` (a, b), by components of their components."""
-    known = parts.select(F.col("node").alias("x"), "component")
-    of = lambda c: links.select(F.col(c).alias("x")).join(broadcast_if_small(known), "x", "left").select(F.col("x").alias(c), F.coalesce("component", "x").alias(f"c_{c}"))
-    ends = links.join(of("a").distinct(), "a").join(of("b").distinct(), "b")
-    merged = materialise(connected(ends.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))), "merged").select(F.col("node").alias("component"), F.col("component").alias("to"))
-    every = parts.unionByName(of("a").unionByName(of("b").withColumnsRenamed({"b": "a", "c_b": "c_a"})).select(F.col("a").alias("node"), F.col("c_a").alias("component"))).distinct()
-    return materialise(every.join(broadcast_if_small(merged), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "parts")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -358,114 +184,54 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
 
     A null text is an empty one; an empty set is a component of its own. A null
     id is never a component's id, unless nothing else is in it. One row for each
-    row of ``df``; rows with equal texts are linked, whatever their ids. Texts of
-    any length are taken whole; other columns of ``df`` don't matter; an empty
-    table gives an empty result.
+    row of ``df``; rows with equal texts are linked, whatever their ids.
     """
-    spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    order = F.coalesce("doc_id", F.lit(2**63 - 1).cast("long")).alias("ord")
-    counted = materialise(describe(rows, size), "sets")
-    sets = counted.filter("strip IS NULL").select("doc_id", order, "key", "n", "node", "sketch")
-    full = sets.filter("n > 0")
-    # equal sets are one: that of the row with the least id
-    twins = materialise(full.groupBy("node").agg(F.count("*").alias("m"), F.min(F.struct("ord", "key")).alias("first")).filter("m > 1").select("node", "first"), "twins")
-    marked = full.join(broadcast_if_small(twins), "node", "left").withColumn("lost", F.col("first").isNotNull() & (F.struct("ord", "key") != F.col("first")))
-    lost = materialise(marked.filter("lost").select("ord", "key").distinct(), "lost-twins")
-    single = marked.filter("NOT lost").select("node", "ord", "key", "n", "sketch")
-    texts = rows.select(order, "key", "text").join(broadcast_if_small(lost), ["ord", "key"], "left_anti")
-    if not single.filter(F.col("node").isNotNull()).join(broadcast_if_small(twins.select("node")), "node", "left_semi").groupBy("node").count().filter("count > 1").isEmpty():
-        # rows that are repeated as they are
-        texts, single = texts.dropDuplicates(["ord", "key"]), single.dropDuplicates(["node"])
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        picked = materialise(single.select("node", "ord", "key").join(broadcast_if_small(nodes), "node", "left_semi").select("ord", "key"), "picked")
-        return texts.join(broadcast_if_small(picked), ["ord", "key"], "left_semi")
-
-    entries = materialise(entries_of(texts, percent, size, spark.sparkContext.broadcast(rarity(counted))), "entries")
-    counts = materialise(entries.groupBy("token").agg(F.count("*").alias("m")).filter("m > 1"), "counts")
-    short = entries.join(broadcast_if_small(counts.filter(F.col("m") <= SHORT).select("token")), "token", "left_semi")
-    long = entries.join(broadcast_if_small(counts.filter(F.col("m") > SHORT).select("token")), "token", "left_semi")
-    members = weighed(long.select(F.col("token").alias("list"), "node"))
-    pairs = materialise(scanned(short, percent).unionByName(first_pairs(members)).distinct(), "pairs")
-    discard(entries, counts)
-
-    def answered_of(some: DataFrame) -> DataFrame:
-        """Answers for pairs, from the whole sets."""
-        nodes = materialise(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-        held = materialise(items_of(texts_of(nodes), size), "candidates")
-        out = materialise(answered(some, held), "answers")
-        discard(nodes, held)
-        return out
-
-    def answer(pairs: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Sketches of all sets that come up, answers for the pairs that these leave open, and the links."""
-        ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct(), "ends")
-        sketches = materialise(single.select("node", "n", "sketch").join(broadcast_if_small(ends), "node", "left_semi"), "sketches")
-        close = materialise(close_pairs(pairs, sketches, percent), "close-pairs")
-        answers = answered_of(close)
-        links = materialise(answers.filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
-        discard(ends, close)
-        return sketches, answers, links
-
-    def settled(members: DataFrame, sketches: DataFrame, answers: DataFrame, parts: DataFrame, most: int | None) -> DataFrame:
-        """``parts`` after the lists' further answers; lists of more than ``most`` sets get a round's only."""
-        tried = spark.createDataFrame([], "node long")
-        for k in range(ROUNDS + 1):
-            late, asked = _late_pairs(members, sketches, answers, parts, tried, percent, k == ROUNDS, most)
-            if asked.isEmpty():
-                break
-            before, tried = tried, materialise(tried.unionByName(asked).distinct(), "tried")
-            if not late.isEmpty():
-                more = answered_of(late)
-                more = materialise(more.filter(_linked(F.col("na"), F.col("nb"), F.col("shared"), percent)).select("a", "b"), "links")
-                if not more.isEmpty():
-                    parts = _joined(parts, more)
-                discard(more)
-            discard(late, asked, before)
-        discard(tried)
-        return parts
-
-    sketches, answers, links = answer(pairs, members)
+    order = F.coalesce("doc_id", F.lit(2**63 - 1).cast("long"))
+    sets = materialise(describe(rows, size), "sets").withColumn("ord", order)
+    keyed = with_copies(text_keys(df, text_col, id_col))
+    lone = keyed.filter(F.col("first").isNull() | (F.col("ord") == F.col("first")))
+    # one exchange deals the entries for both: which lists hold two sets, and who is in them
+    entries = entries_of(lone, percent, size).repartition(SPREAD * partitions(df.sparkSession), "list")
+    lists = entries.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list", "a")
+    members = materialise(entries.join(lists, "list").distinct(), "members")
+    pairs = materialise(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    places = materialise(sets.filter("n > 0").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(members.select("node").distinct(), "node", "left_semi"), "places")
+    items = materialise(contents(rows.withColumn("ord", order), places.select("node", "ord"), size), "items")
+    links = materialise(verified(pairs, items, percent), "links")
     parts = materialise(connected(links), "parts")
-    parts = settled(members, sketches, answers, parts, LONG)
-    placed, open_lists = _open(members, parts)
-    hot = materialise(placed.join(broadcast_if_small(open_lists.filter(F.col("m") > LONG).select("list")), "list", "left_semi").select("node").distinct(), "hot")
-    discard(pairs, sketches, answers, links, open_lists)
-    if not hot.isEmpty():
-        filed = materialise(blocks_of(texts_of(hot), percent, size), "blocks")
-        several = materialise(filed.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list"), "lists")
-        blocked = weighed(filed.join(broadcast_if_small(several), "list"))
-        discard(filed, several)
-        first = materialise(first_pairs(blocked).distinct(), "pairs")
-        sketches, answers, links = answer(first, blocked)
-        parts = settled(blocked, sketches, answers, _joined(parts, links), None)
-        discard(first, blocked, sketches, answers, links)
+    # lists that hold several components: their sets outside the largest one against all others
+    placed = members.select("list", "node").join(places.select("node", "n"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
+    open_lists = sizes.filter("parts > 1").select("list", F.col("top.component").alias("top"))
+    rest = materialise(placed.join(open_lists, "list").join(places.select("node", "sketch"), "node"), "open")
+    left = rest.filter("component <> top").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch")])
+    right = rest.select("list", "node", "n", "component", "sketch", "top")
+    far = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("l_sketch", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("l_sketch", F.lit(0)))))
+    near = (left["list"] == right["list"]) & (F.col("component") != F.col("l_component")) & ((F.col("component") == F.col("top")) | (F.col("l_node") < F.col("node"))) & (F.col("n") * 100 >= F.col("l_n") * percent) & (F.col("l_n") * 100 >= F.col("n") * percent) & (far * (100 + percent) <= (F.col("n") + F.col("l_n")) * (100 - percent))
+    more = left.join(right, near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    late = materialise(verified(materialise(more, "pairs"), items, percent), "links")
+    if not late.isEmpty():
+        parts = connected(links.unionByName(late))
     labelled = sets.select("doc_id", "key", "n", "node").join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = materialise(labelled, "labelled")
-    discard(counted, twins, lost, members, hot, parts)
-    # of the components with one row, the row tells the id
-    least = materialise(labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m")).filter("m > 1").drop("m"), "least")
-    joined = labelled.join(broadcast_if_small(least), "component", "left")
-    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id")).alias("component_id"), "component")
+    least = labelled.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = labelled.join(least, "component", "left")
+    return joined.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "component")
 
 
 def one_of_each(df: DataFrame, percent: int = 80, size: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``df`` with one document of each component: its smallest id (null last), then text hash.
 
-    Empty texts stay, and repeated rows of a document stay once. Columns come
-    out as they are.
+    Empty texts stay, and repeated rows of a document stay once.
     """
     found = materialise(jaccard_components(df, percent, size, text_col, id_col).filter(F.col("component").isNotNull()), "components")
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1).cast("long")).alias("ord"), "key")
-    best = materialise(found.groupBy(F.col("component").alias("c")).agg(F.min(place).alias("best"), F.count("*").alias("m")).filter("m > 1").drop("m"), "best")
-    lost = found.join(broadcast_if_small(best), F.col("component") == F.col("c")).filter(place != F.col("best")).select(place["ord"].alias("_lf_ord"), place["key"].alias("_lf_key")).distinct()
-    lost = materialise(lost, "lost")
+    best = found.groupBy(F.col("component").alias("c")).agg(F.min(place).alias("best"))
+    lost = found.join(best, F.col("component") == F.col("c")).filter(place != F.col("best")).select(place["ord"].alias("_lf_ord"), place["key"].alias("_lf_key")).distinct()
     keyed = df.withColumns({"_lf_ord": F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1).cast("long")), "_lf_key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    kept = keyed.join(broadcast_if_small(lost), ["_lf_ord", "_lf_key"], "left_anti")
-    again = not found.groupBy("doc_id", "key").count().filter("count > 1").isEmpty()
-    discard(found, best)
-    if again:
+    kept = keyed.join(broadcast_if_small(materialise(lost, "lost")), ["_lf_ord", "_lf_key"], "left_anti")
+    if not found.groupBy("doc_id", "key").count().filter("count > 1").isEmpty():
         empty = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACES, "") == ""
         kept = kept.filter(empty).unionByName(kept.filter(~empty).dropDuplicates(["_lf_ord", "_lf_key"]))
     return kept.select(*df.columns)
