@@ -80,5 +80,5 @@ _NEEDS = {"soft": ("counts", "genes"), "qc": ("counts", "genes"), "lognorm": ("c
 def sql(body: str, *names: str, more: str = "") -> str:
     """``body`` with the named tables (and what they need) as common table expressions."""
     wanted = [n for n in CTES if n in names or any(n in _NEEDS.get(x, ()) for x in names)]
-    parts = [f"{n} AS ({CTES[n]})" for n in wanted] + ([more] if more else [])
+    parts = [f"{n} AS MATERIALIZED ({CTES[n]})" for n in wanted] + ([more] if more else [])
     return f"WITH {', '.join(parts)} {body}" if parts else body

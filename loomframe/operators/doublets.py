@@ -115,3 +115,96 @@ def simulated_scores(df: DataFrame, k: int = 10, ratio: float = 1.0, rate: float
     return q.select(key, (share * rate / ratio / (1 - rate - share * (1 - rate - rate / ratio))).alias("score"))
 
 
+
+
+def _simulated(df: DataFrame, share: float, seed: int, vec: str, key: str) -> DataFrame:
+    """Means of pairs of vectors, with negative keys, so many that they are ``share`` of all."""
+    from pyspark.sql import Window
+
+    from loomframe.functions.shared import unit
+
+    ratio = share / (1 - share)
+    rounds = -(-int(1000 * ratio) // 1000) or 1
+    out = None
+    for k in range(rounds):
+        h = F.xxhash64(key, F.lit(seed + k))
+        mixed = df.select(key, vec, h.alias("h")).withColumn("_m", F.lead(vec).over(Window.partitionBy(F.pmod("h", F.lit(64))).orderBy("h", key)))
+        made = mixed.filter(F.col("_m").isNotNull() & (unit(key, F.lit(seed + k)) < ratio / rounds))
+        made = made.select((-(F.col(key) * rounds + k) - 1).alias(key), F.zip_with(vec, "_m", lambda a, b: (a + b) / 2).alias(vec))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def neighbour_shares(df: DataFrame, share: float = 0.25, pks: tuple[float, ...] = (0.005, 0.01, 0.03, 0.09), seed: int = 0, vec: str = "vec", key: str = "vec_id") -> DataFrame:
+    """(pk, key, pann): the share of simulated doublets among a vector's pk * (real and simulated) nearest neighbours.
+
+    The neighbours are found once, for the largest pk.
+    """
+    from loomframe.operators.vectors import nearest
+
+    both = df.select(key, vec).unionByName(_simulated(df, share, seed, vec, key))
+    n = both.count()
+    sizes = [(pk, max(1, round(pk * n))) for pk in pks]
+    near = nearest(both, max(k for _, k in sizes), df.select(key, vec), vec, key)
+    pk = F.explode(F.array(*[F.struct(F.lit(p).alias("pk"), F.lit(k).alias("k")) for p, k in sizes])).alias("s")
+    return near.select("src", "dst", "rank", pk).filter("rank <= s.k").groupBy(F.col("s.pk").alias("pk"), F.col("src").alias(key)).agg(F.avg((F.col("dst") < 0).cast("int")).alias("pann"))
+
+
+def bimodality(shares: DataFrame, value: str = "pann") -> DataFrame:
+    """(pk, bc): the bimodality coefficient of each pk's shares, (skewness^2 + 1) / (excess kurtosis + 3 (n - 1)^2 / ((n - 2) (n - 3)))."""
+    n = F.col("n").cast("double")
+    m = shares.groupBy("pk").agg(F.count("*").alias("n"), F.skewness(value).alias("g"), F.kurtosis(value).alias("h"))
+    skew = F.col("g") * F.sqrt(n * (n - 1)) / (n - 2)
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("h") + 6)
+    return m.select("pk", ((skew * skew + 1) / (kurt + 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3)))).alias("bc"))
+
+
+def sweep(df: DataFrame, pns: tuple[float, ...] = (0.1, 0.2, 0.3), pks: tuple[float, ...] = (0.005, 0.01, 0.03, 0.09), vec: str = "vec", key: str = "vec_id") -> DataFrame:
+    """(pk, mean, variance, metric, best): over the shares of simulated doublets, mean over variance of each pk's bimodality; the largest is best."""
+    from pyspark.sql import Window
+
+    every = None
+    for k, pn in enumerate(pns):
+        one = bimodality(neighbour_shares(df, pn, pks, 100 * k, vec, key))
+        every = one if every is None else every.unionByName(one)
+    m = every.groupBy("pk").agg(F.avg("bc").alias("mean"), F.var_samp("bc").alias("variance")).withColumn("metric", F.col("mean") / F.nullif(F.col("variance"), F.lit(0.0)))
+    top = F.row_number().over(Window.orderBy(F.col("metric").desc_nulls_last(), "pk"))  # a row for each pk
+    return m.withColumn("best", top == 1)
+
+
+def valley(df: DataFrame, score: str, bins: int = 50, rounds: int = 200) -> float | None:
+    """The least point between the two modes of the scores' histogram, which is smoothed until it has two; None if it never has.
+
+    ``bins`` counts reach the driver.
+    """
+    lo, hi = df.agg(F.min(score), F.max(score)).first()
+    if lo is None or hi <= lo:
+        return None
+    at = F.least(F.floor((F.col(score) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+    h = [0.0] * bins
+    for r in df.filter(F.col(score).isNotNull()).groupBy(at.alias("b")).count().collect():
+        h[r["b"]] = float(r["count"])
+    for _ in range(rounds):
+        peaks = [i for i in range(bins) if (i == 0 or h[i] > h[i - 1]) and (i == bins - 1 or h[i] >= h[i + 1])]
+        if len(peaks) == 2:
+            low = min(range(peaks[0], peaks[1] + 1), key=lambda i: (h[i], i))
+            return lo + (hi - lo) * (low + 0.5) / bins
+        if len(peaks) < 2:
+            return None
+        h = [(h[max(0, i - 1)] + h[i] + h[min(bins - 1, i + 1)]) / 3 for i in range(bins)]
+    return None
+
+
+def simulated_threshold(df: DataFrame, k: int = 10, rate: float = 0.06, vec: str = "vec", key: str = "vec_id", seed: int = 0) -> tuple[DataFrame, float | None]:
+    """((key, score, call), threshold): scores against simulated doublets, cut in the valley of the scores of the simulated ones."""
+    from loomframe.operators.vectors import nearest
+
+    made = _simulated(df, 0.5, seed, vec, key)
+    both = df.select(key, vec).unionByName(made)
+    near = nearest(both, k, both, vec, key)
+    q = near.groupBy(F.col("src").alias(key)).agg((F.count_if(F.col("dst") < 0) + 1).alias("s"), (F.count("*") + 2).alias("n"))
+    share = F.col("s") / F.col("n")
+    scored = q.select(key, (share * rate / (1 - rate - share * (1 - 2 * rate))).alias("score"))
+    limit = valley(scored.filter(F.col(key) < 0), "score")
+    own = scored.filter(F.col(key) >= 0)
+    return own.withColumn("call", F.when(F.lit(limit).isNotNull() & (F.col("score") > F.lit(limit)), "doublet").otherwise("singlet")), limit

@@ -150,6 +150,19 @@ def rank_sum(long: DataFrame, groups: DataFrame, group: str, value: str = "x", b
     return full.select(*by, group, "gene_id", (r1 - n1 * (n1 + 1) / 2).alias("u"), z.alias("z"))
 
 
+def rank_sum_pairs(long: DataFrame, groups: DataFrame, group: str, value: str = "x") -> DataFrame:
+    """(a, b, gene_id, u, z): the rank-sum test of group ``a`` against ``b`` for each pair of groups, a < b.
+
+    A cell is ranked once with each other group, so the entries are repeated as
+    often as there are other groups.
+    """
+    names = groups.select(F.col(group).alias("other")).distinct()
+    pairs = groups.join(F.broadcast(names), F.col(group) != F.col("other"))  # groups are few
+    sided = pairs.select("cell_id", F.least(group, "other").alias("a"), F.greatest(group, "other").alias("b"), F.col(group).alias("_g"))
+    out = rank_sum(long, sided, "_g", value, by=["a", "b"])
+    return out.filter(F.col("_g") == F.col("a")).drop("_g")
+
+
 def bh_adjust(df: DataFrame, p: str, by: Sequence[str] = (), ties: Sequence[str] = (), out: str = "p_adj") -> DataFrame:
     """Benjamini-Hochberg: the least p * n / rank of this and all larger p, at most 1."""
     up = Window.partitionBy(*by).orderBy(F.col(p).asc(), *ties)

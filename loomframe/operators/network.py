@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.shared import unit
+from loomframe.functions.shipping import ships
+
+ships(__name__)
+
 
 def interaction_probability(average: DataFrame, pairs: DataFrame, group: str, kh: float = 0.5, value: str = "trimean") -> DataFrame:
     """(source, target, ligand, receptor, pathway, prob): LR / (kh + LR) of the groups' averages, where positive."""
@@ -42,3 +47,183 @@ def edge_jaccard(edges: DataFrame, by: str = "pathway") -> DataFrame:
     both = e.withColumnRenamed(by, "a").join(e.withColumnRenamed(by, "b"), ["source", "target"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("s"))
     out = both.join(size.select(F.col(by).alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col(by).alias("b"), F.col("n").alias("nb")), "b")
     return out.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("jaccard"))
+
+
+def over_expressed_pairs(pairs: DataFrame, markers: DataFrame) -> DataFrame:
+    """The pairs of which the ligand or the receptor is over-expressed in some group (``markers``: gene_id)."""
+    genes = markers.select("gene_id").distinct()
+    either = pairs.select("ligand", "receptor", F.explode(F.array("ligand", "receptor")).alias("gene_id")).join(genes, "gene_id", "left_semi")
+    return pairs.join(either.select("ligand", "receptor").distinct(), ["ligand", "receptor"], "left_semi")
+
+
+def drawn_groups(cells: DataFrame, group: str, rounds: int, key: str = "cell_id") -> DataFrame:
+    """(round, key, group): ``rounds`` times, groups drawn for all cells by the groups' shares; every draw is told by cell and round alone."""
+    shares = sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # groups are few
+    total, upto, name = sum(n for _, n in shares), 0, F.lit(shares[-1][0] if shares else None)
+    cuts = []
+    for g, n in shares[:-1]:
+        upto += n
+        cuts.append((g, upto / total))
+    drawn = unit(key, "round")
+    for g, c in reversed(cuts):
+        name = F.when(drawn < c, F.lit(g)).otherwise(name)
+    return cells.select(key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", key, name.alias(group))
+
+
+def significance(long: DataFrame, cells: DataFrame, pairs: DataFrame, group: str, rounds: int = 100, kh: float = 0.5, value: str = "x") -> DataFrame:
+    """The interactions of ``interaction_probability`` on triMeans, with ``p``: the share of draws of groups that reach as much.
+
+    Only the genes of the pairs are drawn for.
+    """
+    from loomframe.operators.matrix import trimean
+
+    genes = pairs.select(F.explode(F.array("ligand", "receptor")).alias("gene_id")).distinct()
+    long = long.join(F.broadcast(genes), "gene_id")  # genes of pairs that were asked for
+    seen = interaction_probability(trimean(long, cells.select("cell_id", group), group, value), pairs, group, kh)
+    drawn = drawn_groups(cells, group, rounds).select("cell_id", F.concat_ws("|", "round", group).alias("_g"))
+    means = trimean(long, drawn, "_g", value).select(F.substring_index("_g", "|", 1).cast("int").alias("round"), F.expr("substring(_g, instr(_g, '|') + 1)").alias(group), "gene_id", "trimean")
+    l = means.select("round", F.col(group).alias("source"), F.col("gene_id").alias("ligand"), F.col("trimean").alias("l"))
+    r = means.select("round", F.col(group).alias("target"), F.col("gene_id").alias("receptor"), F.col("trimean").alias("r"))
+    lr = F.col("l") * F.col("r")
+    edge = ["source", "target", "ligand", "receptor", "pathway"]
+    null = pairs.join(l, "ligand").join(r, ["round", "receptor"]).withColumn("_p", lr / (kh + lr))
+    reached = seen.join(null.select("round", *edge, "_p"), edge).filter(F.round("_p", 12) >= F.round("prob", 12)).groupBy(*edge).agg((F.count("*") / rounds).alias("p"))
+    return seen.join(reached, edge, "left").na.fill(0.0, ["p"])
+
+
+def centralities(edges: DataFrame, by: str = "pathway") -> DataFrame:
+    """(by, node, hub, authority, eigen, pagerank, betweenness) of each network of groups (source, target, prob).
+
+    Hubs and authorities add up to 1, as do page ranks (damping 0.85); eigenvector
+    centrality is of the symmetrised weights, its largest 1; betweenness counts
+    shortest paths by 1 / prob. A network has as many nodes as there are groups
+    of cells and goes to one task.
+    """
+    import pandas as pd
+
+    def measure(f: pd.DataFrame) -> pd.DataFrame:
+        import heapq
+
+        import numpy as np
+
+        names = sorted(set(f["source"]) | set(f["target"]))
+        at, n = {x: i for i, x in enumerate(names)}, len(names)
+        w = np.zeros((n, n))
+        for s, t, p in zip(f["source"], f["target"], f["prob"], strict=True):
+            w[at[s], at[t]] += p
+
+        def settled(m: np.ndarray) -> np.ndarray:
+            v = np.full(n, 1 / n)
+            for _ in range(500):
+                new = m @ v
+                new = new / (new.sum() or 1.0)
+                if np.abs(new - v).max() < 1e-12:
+                    break
+                v = new
+            return new
+
+        authority = settled(w.T @ w)
+        hub = w @ authority
+        both = w + w.T
+        eigen = settled(both + np.eye(n) * both.max(initial=0))  # shifted, so that bipartite networks settle
+        out = w.sum(1, keepdims=True)
+        walk = np.where(out > 0, w / np.where(out > 0, out, 1), 1 / n)
+        rank = settled(0.85 * walk.T + 0.15 / n)
+        between = np.zeros(n)
+        for s in range(n):
+            dist, paths, order, before = {s: 0.0}, np.zeros(n), [], [[] for _ in range(n)]
+            paths[s], heap, done = 1.0, [(0.0, s)], set()
+            while heap:
+                d, v = heapq.heappop(heap)
+                if v in done:
+                    continue
+                done.add(v)
+                order.append(v)
+                for t in np.flatnonzero((w[v] > 0) & (np.arange(n) != v)):
+                    far = d + 1 / w[v, t]
+                    if t not in dist or far < dist[t] - 1e-12:
+                        dist[t], paths[t], before[t] = far, paths[v], [v]
+                        heapq.heappush(heap, (far, int(t)))
+                    elif abs(far - dist[t]) <= 1e-12 and t not in done:
+                        paths[t] += paths[v]
+                        before[t].append(v)
+            share = np.zeros(n)
+            for v in reversed(order):
+                for u in before[v]:
+                    share[u] += paths[u] / paths[v] * (1 + share[v])
+                if v != s:
+                    between[v] += share[v]
+        return pd.DataFrame({by: f[by].iloc[0], "node": names, "hub": hub / (hub.sum() or 1.0), "authority": authority, "eigen": eigen / (eigen.max() or 1.0), "pagerank": rank, "betweenness": between})
+
+    kind, node = edges.schema[by].dataType.simpleString(), edges.schema["source"].dataType.simpleString()
+    sums = edges.groupBy(by, "source", "target").agg(F.sum("prob").alias("prob"))
+    return sums.groupBy(by).applyInPandas(measure, f"{by} {kind}, node {node}, hub double, authority double, eigen double, pagerank double, betweenness double")
+
+
+def _factors(m, k: int, seed: int, rounds: int = 500):
+    """Non-negative factors of a matrix by multiplicative updates; rows of the second add up to 1."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    w, h = r.random((m.shape[0], k)) + 0.1, r.random((k, m.shape[1])) + 0.1
+    for _ in range(rounds):
+        h *= (w.T @ m) / (w.T @ w @ h + 1e-12)
+        w *= (m @ h.T) / (w @ h @ h.T + 1e-12)
+    size = h.sum(1)
+    order = np.argsort(-(w.sum(0) * size), kind="stable")
+    return (w * size)[:, order], (h / np.where(size > 0, size, 1)[:, None])[order]
+
+
+def patterns(edges: DataFrame, k: int, side: str = "source", by: str = "pathway", seed: int = 1) -> DataFrame:
+    """(axis, name, pattern, weight): the groups' and pathways' weights in ``k`` non-negative patterns of the strengths.
+
+    The matrix has a row for each group and a column for each pathway, scaled by
+    its largest, and goes to one task.
+    """
+    import pandas as pd
+
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        m = f.pivot_table(index="side", columns="by", values="prob", aggfunc="sum", fill_value=0.0).sort_index().sort_index(axis=1)
+        w, h = _factors((m / m.max()).fillna(0.0).to_numpy(), k, seed)
+        rows = [(side, str(n), j + 1, float(w[i, j])) for i, n in enumerate(m.index) for j in range(k)]
+        return pd.DataFrame(rows + [(by, str(n), j + 1, float(h[j, i])) for i, n in enumerate(m.columns) for j in range(k)], columns=["axis", "name", "pattern", "weight"])
+
+    sums = edges.groupBy(F.col(side).cast("string").alias("side"), F.col(by).cast("string").alias("by")).agg(F.sum("prob").alias("prob"))
+    return sums.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda f: fit(f[["side", "by", "prob"]]), "axis string, name string, pattern int, weight double")
+
+
+def pattern_numbers(edges: DataFrame, most: int = 8, side: str = "source", by: str = "pathway", runs: int = 10) -> DataFrame:
+    """(k, cophenetic): how stable the groups' strongest patterns are over ``runs`` starts; the number to choose is the one before it falls."""
+    import pandas as pd
+
+    def rate(f: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        m = f.pivot_table(index="side", columns="by", values="prob", aggfunc="sum", fill_value=0.0).sort_index().sort_index(axis=1)
+        m, out = (m / m.max()).fillna(0.0).to_numpy(), []
+        for k in range(2, min(most, *m.shape) + 1):
+            agree = np.zeros((len(m), len(m)))
+            for s in range(runs):
+                top = _factors(m, k, s, 200)[0].argmax(1)
+                agree += top[:, None] == top
+            d = 1 - agree / runs
+            joined, groups, gap = np.zeros_like(d), {i: [i] for i in range(len(d))}, d.copy()
+            np.fill_diagonal(gap, np.inf)
+            while len(groups) > 1:
+                keys = list(groups)
+                sub = gap[np.ix_(keys, keys)]
+                x, y = np.unravel_index(np.argmin(sub), sub.shape)
+                i, j = sorted((keys[x], keys[y]))
+                for u in groups[i]:
+                    joined[u, groups[j]] = joined[groups[j], u] = gap[i, j]
+                a, b = len(groups[i]), len(groups[j])
+                gap[i] = gap[:, i] = (gap[i] * a + gap[j] * b) / (a + b)
+                gap[i, i] = np.inf
+                groups[i] = groups[i] + groups.pop(j)
+            upper = np.triu_indices(len(d), 1)
+            x, y = d[upper], joined[upper]
+            out.append((k, 1.0 if x.std() == 0 or y.std() == 0 else float(np.corrcoef(x, y)[0, 1])))
+        return pd.DataFrame(out, columns=["k", "cophenetic"])
+
+    sums = edges.groupBy(F.col(side).cast("string").alias("side"), F.col(by).cast("string").alias("by")).agg(F.sum("prob").alias("prob"))
+    return sums.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda f: rate(f[["side", "by", "prob"]]), "k int, cophenetic double")

@@ -63,14 +63,6 @@ def set_score(s, d):
     return matrix.set_score(_ln(s, d), genes(s, d).filter("is_mt").select("gene_id")).select("cell_id", r6("score").alias("score"))
 
 
-@query()
-def cell_cycle_phase(s, d):
-    g = genes(s, d)
-    a = matrix.set_score(_ln(s, d), g.filter("is_mt").select("gene_id")).withColumnRenamed("score", "s_score")
-    b = matrix.set_score(_ln(s, d), g.filter("is_ribo").select("gene_id")).withColumnRenamed("score", "g2m_score")
-    return a.join(b, "cell_id").select("cell_id", "s_score", "g2m_score", matrix.phase(F.col("s_score"), F.col("g2m_score")).alias("phase"))
-
-
 _MOM = "m AS (SELECT gene_id, sum(x) / any_value(n) AS mu, (sum(x * x) - any_value(n) * (sum(x) / any_value(n)) * (sum(x) / any_value(n))) / (any_value(n) - 1) AS v FROM lognorm, ncells GROUP BY 1)"
 
 

@@ -145,11 +145,6 @@ def composition_clr(s, d):
     return posterior.centred_log_ratio(n, "sample", "cluster").withColumn("clr", r6("clr"))
 
 
-@query()
-def random_trials(s, d):
-    return posterior.random_trials(s, 75, {"n_latent": [10, 20, 30, 50], "n_layers": [1, 2, 3]}, {"lr": (1e-4, 1e-2)})
-
-
 # networks
 
 _NET = "e AS (SELECT c.platform AS source, c.cluster AS target, g.grp AS pathway, sum(count) / 1000 AS prob FROM counts JOIN cells c USING (cell_id) JOIN genes g USING (gene_id) WHERE c.diagnosis = 'case' GROUP BY 1, 2, 3)"
@@ -191,12 +186,6 @@ def edge_compare(s, d):
     return network.compare(_net(s, d), _net(s, d, "normal")).withColumns({c: r6(c) for c in ("strength_a", "strength_b", "difference")})
 
 
-@query(sql("SELECT source, target, pathway, p FROM (SELECT source, target, pathway, round(1 / (1 + prob), 6) AS p FROM e) WHERE p <= 0.3", "counts", "cells", "genes", more=_NET))
-def enriched_pairs(s, d):
-    out = _net(s, d).select("source", "target", "pathway", r6(1 / (1 + F.col("prob"))).alias("p"))
-    return out.filter("p <= 0.3")
-
-
 @query(sql("SELECT a, b, round(s / (na + nb - s), 6) AS jaccard FROM (SELECT x.pathway AS a, y.pathway AS b, count(*) AS s FROM f x JOIN f y ON x.source = y.source AND x.target = y.target AND x.pathway < y.pathway GROUP BY 1, 2) JOIN (SELECT pathway AS a, count(*) AS na FROM f GROUP BY 1) USING (a) JOIN (SELECT pathway AS b, count(*) AS nb FROM f GROUP BY 1) USING (b)", "counts", "cells", "genes", more=_NET + ", f AS (SELECT * FROM e WHERE prob > 1)"))
 def network_jaccard(s, d):
     return network.edge_jaccard(_net(s, d).filter("prob > 1")).withColumn("jaccard", r6("jaccard"))
@@ -211,24 +200,3 @@ def integration_scores(s, d):
     width = vec_ops.silhouette(v).agg(((F.avg("width") + 1) / 2).alias("silhouette"))
     found = v.join(communities(s, d), "vec_id")
     return mixed.crossJoin(width).crossJoin(vec_ops.agreement(found, "label", "community"))  # one row each
-
-
-@query()
-def nhood_sample(s, d):
-    """A tenth of the vectors as centres of neighbourhoods, chosen by hash, with the size of each."""
-    v = vectors(s, d)
-    centres = v.filter(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(10)) == 0)
-    return vec_ops.nearest(v, 20, centres).groupBy(F.col("src").alias("centre")).agg(F.count("*").alias("size"), F.max("dist").alias("radius"))
-
-
-@query()
-def count_sample(s, d):
-    return cells(s, d).sample(fraction=0.1, seed=1)
-
-
-@query()
-def best_run_curves(s, d):
-    """Curves of the 20 runs with the least value, in the order of their rank."""
-    best = runs(s, d).groupBy("params").agg(F.min("value").alias("least")).orderBy("least", "params").limit(20)
-    ranked = best.withColumn("rank", F.row_number().over(Window.orderBy("least", "params")))
-    return runs(s, d).join(F.broadcast(ranked.select("params", "rank")), "params")

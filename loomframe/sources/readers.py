@@ -39,23 +39,18 @@ def read_mtx(spark: SparkSession, folder: str, feature_type: str | None = "Gene
     lines = spark.read.text(f"{folder}/matrix.mtx*").filter(~F.startswith("value", F.lit("%")))
     parts = F.split(F.trim("value"), r"\s+")
     entries = lines.select(*[F.get(parts, F.lit(k)).cast("double").alias(c) for k, c in enumerate("gcv")])
-    # the header (rows, columns, entries) is the only line that stands first
-    head = spark.read.text(f"{folder}/matrix.mtx*").filter(~F.startswith("value", F.lit("%"))).limit(1).first()
-    n_rows, n_cols, n_entries = (float(x) for x in head[0].split())
-    body = entries.exceptAll(spark.createDataFrame([(n_rows, n_cols, n_entries)], "g double, c double, v double"))
+    # the header (rows, columns, entries) is the first line of the file's first block; an entry may look like it
+    head = lines.filter("_metadata.file_block_start = 0").limit(1).first()
+    header = F.lit(True)
+    for c, x in zip("gcv", head[0].split(), strict=True):
+        header = header & (F.col(c) == float(x))
+    again = entries.filter(header).count() - 1
+    body = entries.filter(~header)
+    body = body.unionByName(entries.filter(header).limit(again)) if again else body
     named = body.join(genes, F.col("g").cast("long") == genes["at"]).join(cells, F.col("c").cast("long") == cells["at"])
     return named.select("cell_id", "gene_id", "gene_name", F.col("v").alias("count"))
 
 
-def read_hdf5(path: str) -> DataFrame:
-    """HDF5 needs a package that isn't always there; without it this is an error that says so."""
-    try:
-        import h5py  # noqa: F401
-    except ImportError as missing:
-        raise NotImplementedError("reading HDF5 needs h5py; convert to Parquet or MTX first") from missing
-    raise NotImplementedError("convert to Parquet or MTX first")
-
-
 def read_bundle(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All tables of a labelled matrix that were written side by side."""
     names = ("counts", "cells", "genes")
@@ -126,3 +121,24 @@ def load_or_create(spark: SparkSession, path: str, make: Callable[[], DataFrame]
 def recover_order(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "row") -> DataFrame:
     """An explicit place, from 1, on which 'the first n rows' can be decided."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+
+def copy_missing(spark: SparkSession, ids: DataFrame, found: DataFrame, source: str, target: str, key: str = "sample_id") -> list[str]:
+    """Copies what ``source`` holds under the ids that were selected but not found, and gives their names; the ids are few."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    copied = []
+    for r in ids.select(key).distinct().join(found.select(key), key, "left_anti").orderBy(key).collect():
+        a, b = path(f"{source}/{r[key]}"), path(f"{target}/{r[key]}")
+        if a.getFileSystem(conf).exists(a):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf)
+            copied.append(str(r[key]))
+    return copied
+
+
+def read_pairs(spark: SparkSession, path: str, ligand: str = "ligand", receptor: str = "receptor", pathway: str = "pathway_name") -> DataFrame:
+    """(ligand, receptor, pathway) of a table of interactions, as databases of them are shipped; a complex is split at ``_`` into its parts."""
+    df = read_table(spark, path)
+    split = lambda c: F.explode(F.split(F.upper(F.trim(F.col(c))), "_"))
+    one = df.filter(F.col(ligand).isNotNull() & F.col(receptor).isNotNull()).select(split(ligand).alias("ligand"), receptor, F.col(pathway).alias("pathway"))
+    return one.select("ligand", split(receptor).alias("receptor"), "pathway").distinct()

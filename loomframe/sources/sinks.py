@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomframe.functions.shared import cut
+
 
 def write_bundle(folder: str, counts: DataFrame, cells: DataFrame, genes: DataFrame, by: str | None = None, mode: str = "errorifexists") -> None:
     """A labelled matrix as Parquet tables side by side; counts in one folder for each value of ``by``."""
@@ -46,6 +48,20 @@ def append_report(report: DataFrame, path: str) -> None:
     report.write.mode("append").option("header", "true").option("sep", "\t").csv(path)
 
 
+def numbered(df: DataFrame, key: str, out: str = "_at") -> DataFrame:
+    """``df`` with places from 1 in the order of ``key``: sorted by ranges, whose sizes (a number each) reach the driver."""
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key)
+    ranged = cut(ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    upto, offsets = 0, {}
+    for r in sorted(ranged.groupBy("_p").count().collect()):
+        offsets[r["_p"]] = upto
+        upto += r["count"]
+    if not offsets:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    base = F.element_at(F.array(*[F.lit(offsets.get(p, 0)).cast("long") for p in range(max(offsets) + 1)]), F.col("_p") + 1)
+    return ranged.withColumn(out, base + F.col("_i") + 1).drop("_p", "_i")
+
+
 def write_mtx(counts: DataFrame, cells: DataFrame, genes: DataFrame, folder: str, fraction: float | None = None, seed: int = 0, feature_type: str = "Gene Expression") -> None:
     """A 10x-like bundle: matrix (genes x cells, 1-based), features, barcodes and an annotation table.
 
@@ -53,8 +69,7 @@ def write_mtx(counts: DataFrame, cells: DataFrame, genes: DataFrame, folder: str
     are numbered by their sorted keys. ``fraction`` samples cells.
     """
     cells = cells.sample(fraction=fraction, seed=seed) if fraction is not None else cells
-    axis = lambda df, key: df.withColumn("_at", F.row_number().over(Window.orderBy(key)))
-    cells, genes = axis(cells, "cell_id"), axis(genes, "gene_id")
+    cells, genes = numbered(cells, "cell_id"), numbered(genes, "gene_id")
     entries = counts.join(cells.select("cell_id", F.col("_at").alias("_c")), "cell_id").join(genes.select("gene_id", F.col("_at").alias("_g")), "gene_id").filter("count <> 0")
     n_cells, n_genes, n = cells.count(), genes.count(), entries.count()
     spark = counts.sparkSession

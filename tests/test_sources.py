@@ -79,8 +79,6 @@ def test_guard_and_errors(spark, tmp_path):
     path = f"{tmp_path}/x"
     assert readers.load_or_create(spark, path, make).count() == readers.load_or_create(spark, path, make).count() == 3
     assert len(made) == 1
-    with pytest.raises(NotImplementedError):
-        readers.read_hdf5("x.h5")
     df = spark.createDataFrame([("a.h5",), ("b.h5ad",)], "p string").select(readers.platform_of(F.col("p")))
     assert [r[0] for r in df.collect()] == ["10X_Chromium", "Parse"]
     with pytest.raises(Exception, match="unknown suffix"):
@@ -96,3 +94,30 @@ def test_reports_and_json(spark, tmp_path):
     assert [r.observed for r in report.filter("q = 0.25").collect()] == [25.0]
     j = spark.createDataFrame([("a", float("nan")), ("b", None), ("c", 1.5)], "id string, score double").select(sinks.summary_json(["id", "score"]).alias("j"))
     assert [r.j for r in j.collect()] == ['{"id":"a","score":null}', '{"id":"b","score":null}', '{"id":"c","score":1.5}']
+
+
+def test_mtx_numbers_and_copies(spark, tmp_path):
+    """Places of the axes over several partitions, an entry that looks like the header, and copies of what is missing."""
+    cells = spark.range(300).selectExpr("format_string('c%03d', id) AS cell_id").repartition(5)
+    got = sinks.numbered(cells, "cell_id").collect()
+    assert sorted((r._at, r.cell_id) for r in got) == [(i + 1, f"c{i:03d}") for i in range(300)]
+    assert sinks.numbered(cells.limit(0), "cell_id").count() == 0
+    folder = tmp_path / "m"
+    folder.mkdir()
+    (folder / "matrix.mtx").write_text("%%MatrixMarket\n2 3 4\n1 1 5\n2 3 4\n2 2 1\n1 3 2\n")
+    (folder / "features.tsv").write_text("g1\tA\tGene Expression\ng2\tB\tGene Expression\n")
+    (folder / "barcodes.tsv").write_text("x\ny\nz\n")
+    got = readers.read_mtx(spark, str(folder)).collect()
+    assert sorted((r.cell_id, r.gene_id, r["count"]) for r in got) == [("x", "g1", 5.0), ("y", "g2", 1.0), ("z", "g1", 2.0), ("z", "g2", 4.0)]
+    for name in ("s1", "s2", "s3"):
+        (tmp_path / "src" / name).mkdir(parents=True)
+        (tmp_path / "src" / name / "f.txt").write_text(name)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "sample_id string")
+    assert readers.copy_missing(spark, ids("s1", "s2", "s9"), ids("s2"), f"file://{tmp_path}/src", f"file://{tmp_path}/dst") == ["s1"]
+    assert (tmp_path / "dst" / "s1" / "f.txt").read_text() == "s1"
+
+
+def test_pairs(spark, tmp_path):
+    (tmp_path / "db.csv").write_text("ligand,receptor,pathway_name\nTgfb1,Tgfbr1_Tgfbr2,TGF\nwnt1,FZD1,WNT\n,X,Y\n")
+    got = readers.read_pairs(spark, f"{tmp_path}/db.csv").collect()
+    assert sorted(map(tuple, got)) == [("TGFB1", "TGFBR1", "TGF"), ("TGFB1", "TGFBR2", "TGF"), ("WNT1", "FZD1", "WNT")]
