@@ -195,14 +195,18 @@ BATCH_ROWS, BATCH_BYTES = 2_000, 2_000_000
 
 
 def in_batches(df: DataFrame, work: Callable, schema: T.StructType | str, keep: bool = False) -> DataFrame:
-    """``df.mapInArrow``, in batches small enough for long texts; sets the session's limits where they are Spark's own.
+    """``df.mapInArrow``, in batches small enough for long texts.
+
+    Spark takes the limits of Arrow batches from the session alone, when the plan
+    is run. Where the session has Spark's own defaults, they are set to
+    ``BATCH_ROWS`` and ``BATCH_BYTES`` and stay so; other values are left alone.
 
     Unless it is to ``keep`` its cache for the next task, a worker gives its
     memory back at the end of each: it waits beside others for what may come.
     """
     conf = df.sparkSession.conf
-    for key, most, usual in (("maxRecordsPerBatch", BATCH_ROWS, "10000"), ("maxBytesPerBatch", BATCH_BYTES, "67108864b")):
-        if conf.get(f"spark.sql.execution.arrow.{key}", None) == usual:
+    for key, most, usual in (("maxRecordsPerBatch", BATCH_ROWS, ("10000",)), ("maxBytesPerBatch", BATCH_BYTES, ("67108864b", "67108864", "64MB", "64m"))):
+        if conf.get(f"spark.sql.execution.arrow.{key}") in usual:
             conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
