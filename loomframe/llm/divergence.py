@@ -13,8 +13,8 @@ so that no table of groups by terms is ever made:
 * a term that both hold is corrected once more, from a join of the postings
   (language, term) -> (source, count), the only place where terms meet.
 
-Counts are aggregated in each partition before they are shuffled, so that a hot
-source or a hot word is one row there. A term that stands in more than ``SPLIT``
+Terms are counted in each task before anything is shuffled, in tables of bounded
+size, so that a hot source or a hot word is one row there. A term that stands in more than ``SPLIT``
 sources is dealt out in blocks of sources. Shares are quotients of decimals, the
 rest is in longs; nothing is rounded but by the floors of the definition.
 
@@ -26,10 +26,16 @@ rows; a language with one source has no pairs; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm.common import broadcast_if_small, discard, let, materialise, table
+from loomframe.llm.common import broadcast_if_small, discard, in_batches, materialise, ships, table
+
+ships(__name__)
 
 #: Documents of a language in which a kept term stands at least.
 LEAST = 10
@@ -40,15 +46,25 @@ UNIT = 1_000_000_000
 #: Sources of a term above which its postings are joined block by block.
 SPLIT = 256
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: What parts terms: every ASCII character but the letters.
-_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalpha())
+#: Terms of a worker's tables at which they are handed on.
+HELD = 300_000
+#: Bytes of a text that are cut into terms at once.
+PIECE = 1 << 22
+
+#: ASCII letters become lower case, all other ASCII bytes part terms, and the bytes of other characters stay.
+_FLAT = bytes(c if c > 127 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256))
 
 
-def terms_of(text: Column) -> Column:
-    """The terms of a text: runs of ASCII letters and of all characters beyond ASCII, only A-Z lower-cased."""
-    flat = F.translate(text, _BETWEEN + _UPPER, " " * len(_BETWEEN) + _UPPER.lower())
-    return F.filter(F.split(flat, " "), lambda t: t != "")
+def terms_of(text: str) -> Iterator[list[bytes]]:
+    """The terms of a text, piece by piece: runs of ASCII letters and of all characters beyond ASCII, only A-Z lower-cased."""
+    raw = text.encode().translate(_FLAT)
+    at = 0
+    while at < len(raw):
+        end = at + PIECE
+        if end < len(raw):
+            end = raw.rfind(b" ", at, end) + 1 or raw.find(b" ", end) + 1 or len(raw)
+        yield raw[at:end].split()
+        at = end
 
 
 def div(a: Column, b: Column) -> Column:
@@ -68,11 +84,39 @@ def far(p: Column, q: Column) -> Column:
 
 def counted_terms(df: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that hold the term."""
+
+    def rows(tables: dict) -> pa.RecordBatch:
+        langs, sources, terms, n, docs = [], [], [], [], []
+        for (lang, source), (times, within) in tables.items():
+            langs.append(pa.repeat(pa.scalar(lang, pa.string()), len(times)))
+            sources.append(pa.repeat(pa.scalar(source, pa.string()), len(times)))
+            terms.append(pa.array(times.keys(), pa.binary()).cast(pa.string()))
+            n.append(pa.array(times.values(), pa.int64()))
+            docs.append(pa.array([within[t] for t in times], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (langs, sources, terms, n, docs)], ["lang", "source", "term", "n", "docs"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict = {}
+        held = 0
+        for batch in batches:
+            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                times, within = tables.setdefault((lang, source), (Counter(), Counter()))
+                held -= len(times)
+                own: set = set()
+                for words in terms_of(text.as_py()):
+                    times.update(words)
+                    own.update(words)
+                within.update(own)
+                held += len(times)
+                if held >= HELD:
+                    yield rows(tables)
+                    tables, held = {}, 0
+        if held:
+            yield rows(tables)
+
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(d).alias("docs"))
-    both = let(terms_of(empty(text_col)), lambda t: F.concat(F.transform(t, one(1, 0)), F.transform(F.array_distinct(t), one(0, 1))))
-    rows = df.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), F.inline(both))
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    told = in_batches(df.select(empty(lang_col), empty(source_col), empty(text_col)), work, "lang string, source string, term string, n long, docs long")
+    return told.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def audit(df: DataFrame, least: int = LEAST, top: int = TOP, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
