@@ -16,7 +16,8 @@ bucket; with a similarity s they miss each other with a chance of
 * each set is compared with the least set of one of its buckets;
 * then with the least sets of its other buckets, where these are in another group;
 * in buckets that still hold several groups, the sets outside the largest one are
-  compared with those of other groups.
+  compared with the set that is central in it, as long as that links some;
+* what is outside then is compared with the sets of the bucket's other groups.
 
 Sizes and odd sketches (whose distance never exceeds the symmetric difference)
 drop what can't be linked, and what is left is confirmed on the full sets of
@@ -159,19 +160,39 @@ def linked(pairs: DataFrame, places: DataFrame, items: DataFrame, percent: int)
     return out
 
 
-def open_pairs(members: DataFrame, places: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): sets of different groups that share a bucket, without those within the bucket's largest group."""
+def open_lists(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((list, node, component), (list, component, m)) of the buckets that hold several groups."""
     each = members.select("list", "node").distinct().join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = each.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"), F.ceil(F.sum("m") / HUB).cast("int").alias("deals"))
-    still = materialise(sizes.filter("parts > 1").select("list", F.col("top.component").alias("top"), "deals"), "open-lists")
-    rest = materialise(each.join(broadcast_if_small(still), "list").join(places.select("node", "n", "sketch"), "node"), "open")
+    sizes = materialise(each.groupBy("list", "component").agg(F.count("*").alias("m")), "list-groups")
+    still = materialise(sizes.groupBy("list").count().filter("count > 1").select("list"), "open-lists")
+    small = broadcast_if_small(still)
+    return materialise(each.join(small, "list"), "open"), materialise(sizes.join(small, "list"), "open-groups")
+
+
+def central_pairs(each: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): the sets outside a bucket's largest group, with the set that is central in that group.
+
+    A group's central set is the one whose buckets hold the most of the group,
+    wherever they are: what few words tell from all others.
+    """
+    tops = sizes.groupBy("list").agg(F.max(F.struct("m", "component"))["component"].alias("top"))
+    near = each.join(sizes, ["list", "component"]).groupBy("component", "node").agg(F.sum("m").alias("near"))
+    central = near.groupBy("component").agg(F.max(F.struct("near", "node"))["node"].alias("a")).withColumnRenamed("component", "top")
+    outside = each.join(tops, "list").filter("component <> top").select("top", F.col("node").alias("b")).distinct()
+    return materialise(outside.join(broadcast_if_small(materialise(central, "central")), "top").select("a", "b").distinct(), "pairs")
+
+
+def open_pairs(each: DataFrame, sizes: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """(a, b): sets of different groups that share a bucket, without those within the bucket's largest group."""
+    still = sizes.groupBy("list").agg(F.max(F.struct("m", "component"))["component"].alias("top"), F.ceil(F.sum("m") / HUB).cast("int").alias("deals"))
+    rest = materialise(each.join(broadcast_if_small(materialise(still, "open-lists")), "list").join(places.select("node", "n", "sketch"), "node"), "open")
     left = rest.filter("component <> top").select("list", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch")])
     right = rest.withColumn("deal", F.pmod(F.xxhash64("node"), F.col("deals").cast("long")).cast("int"))
     once = (F.col("component") != F.col("l_component")) & ((F.col("component") == F.col("top")) | (F.col("l_node") < F.col("node")))
     near = may_link(F.col("n"), F.col("l_n"), F.col("sketch"), F.col("l_sketch"), percent)
     met = left.join(right, (left["list"] == right["list"]) & (left["deal"] == right["deal"]) & once & near)
     out = materialise(met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct(), "pairs")
-    discard(rest, still)
+    discard(rest)
     return out
 
 
@@ -214,12 +235,23 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = materialise(connected(links), "parts")
-    # buckets that hold several groups
-    late = open_pairs(members, places, parts, percent)
+    # buckets that hold several groups: the sets outside the largest one with its central set, as long as that links some
+    while True:
+        each, sizes = open_lists(members, parts)
+        central = central_pairs(each, sizes)
+        more = linked(central, places, items, percent)
+        discard(central)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        parts = materialise(connected(links), "parts")
+        discard(each, sizes)
+    # then with all of the other groups' sets
+    late = open_pairs(each, sizes, places, percent)
     last = linked(late, places, items, percent)
     if not last.isEmpty():
         parts = materialise(connected(links.unionByName(last)), "parts")
-    discard(members, items, first, others, late)
+    discard(members, items, first, others, late, each, sizes)
     # nodes that stand for several rows or are linked
     grouped = nodes.join(broadcast_if_small(parts), "node", "left").filter("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped.select("node", "component", "least"), "grouped")
