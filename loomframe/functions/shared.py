@@ -26,7 +26,18 @@ def cut(df: DataFrame) -> DataFrame:
         folder = sc.getCheckpointDir()
     path = f"{folder}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lf_path = path
+    return out
+
+
+def uncut(*tables: DataFrame | None) -> None:
+    """Delete what ``cut`` wrote for ``tables``; nothing that is read later may need them."""
+    for df in tables:
+        path = getattr(df, "_lf_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def unit(*parts: Column | str) -> Column:

@@ -15,50 +15,63 @@ ships(__name__)
 _FIT = "mean_1 double, sd_1 double, weight_1 double, mean_2 double, sd_2 double, weight_2 double, lo double, hi double, n long"
 
 
-def _fit(values, rounds: int = 200):
-    """Expectation-maximisation, started at the 20 % quantile and the median of the top twentieth."""
-    import numpy as np
-
-    x = np.sort(values)
-    top = x[x >= np.quantile(x, 0.95)]
-    mean, weight = np.array([np.quantile(x, 0.2), np.median(top)]), np.array([0.5, 0.5])
-    var = np.full(2, x.var() + 1e-6)
-    before = -math.inf
-    for _ in range(rounds):
-        dens = weight * np.exp(-((x[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var)
-        total = dens.sum(1, keepdims=True) + 1e-300
-        share = dens / total
-        n = share.sum(0) + 1e-12
-        mean = (share * x[:, None]).sum(0) / n
-        var = (share * (x[:, None] - mean) ** 2).sum(0) / n + 1e-6
-        weight = n / len(x)
-        now = float(np.log(total).mean())
-        if now - before < 1e-3 * 1e-3:
-            break
-        before = now
-    order = np.argsort(mean)
-    return mean[order], np.sqrt(var[order]), weight[order], float(x[0]), float(x[-1]), len(x)
-
-
-def fit_mixtures(df: DataFrame, by: str, score: str, how: str = "logit") -> DataFrame:
+def fit_mixtures(df: DataFrame, by: str, score: str, how: str = "logit", rounds: int = 200) -> DataFrame:
     """(by, parameters of both components by rising mean, range and number of the transformed scores) for each group.
 
-    A group's scores go to one task: eight bytes a cell, for samples of one
-    experiment each. Groups of fewer than ten cells give no row.
+    Expectation-maximisation of all groups together, started at the 20 % quantile
+    and the median of the top twentieth. Each round is one pass: every row's
+    responsibilities are columns, their sums (and those with the scores and their
+    squares, about the group's mean) are added up in Spark, and only a row for
+    each group reaches the driver. A group rests once its mean log-likelihood
+    gains less than 1e-6. Groups of fewer than ten scores give no row; null
+    scores don't count.
     """
-    import pandas as pd
-
-    t = df.filter(F.col(score).isNotNull()).select(by, transform_score(F.col(score), how).alias("y"))
-    kind = df.schema[by].dataType.simpleString()
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        columns = ["mean_1", "sd_1", "weight_1", "mean_2", "sd_2", "weight_2", "lo", "hi", "n"]
-        if len(frame) < 10:
-            return pd.DataFrame({by: frame[by][:0], **{c: [] for c in columns}})
-        m, s, w, lo, hi, n = _fit(frame["y"].to_numpy())
-        return pd.DataFrame([[frame[by].iloc[0], m[0], s[0], w[0], m[1], s[1], w[1], lo, hi, n]], columns=[by, *columns])
-
-    return t.groupBy(by).applyInPandas(fit, f"{by} {kind}, {_FIT}")
+    from loomframe.functions.shared import cut
+    from loomframe.operators.orderstats import quantiles
+
+    spark, kind = df.sparkSession, df.schema[by].dataType.simpleString()
+    t = cut(df.filter(F.col(score).isNotNull()).select(F.col(by).alias("g"), transform_score(F.col(score), how).alias("y")))
+    ends = quantiles(t, ["g"], "y", [0.0, 0.2, 0.95, 1.0]).filter("n >= 10")
+    same = lambda a, b: F.col(f"{a}.g").eqNullSafe(F.col(f"{b}.g"))
+    top = t.alias("t").join(ends.alias("e"), same("t", "e")).filter("y >= q[2]").select("t.g", "y")
+    moments = t.groupBy("g").agg(F.avg("y").alias("mean"), F.var_pop("y").alias("var"))
+    first = ends.alias("e").join(quantiles(top, ["g"], "y", [0.5]).select("g", F.element_at("q", 1).alias("high")).alias("h"), same("e", "h")).join(moments.alias("m"), same("e", "m"))
+    state = {}
+    for r in first.select("e.g", "n", "q", "high", "mean", "var").collect():  # a row for each group
+        state[r["g"]] = {"n": r["n"], "lo": r["q"][0], "hi": r["q"][3], "about": r["mean"], "mean": [r["q"][1], r["high"]], "var": [r["var"] + 1e-6] * 2, "weight": [0.5, 0.5], "before": -math.inf}
+    going = set(state)
+    for _ in range(rounds):
+        if not going:
+            break
+        for r in _sums(t, spark.createDataFrame([(g, state[g]["about"], *state[g]["mean"], *state[g]["var"], *state[g]["weight"]) for g in going], f"g {kind}, c double, m1 double, m2 double, v1 double, v2 double, w1 double, w2 double")).collect():
+            s = state[r["g"]]
+            for k in (0, 1):
+                n = r[f"r{k + 1}"] + 1e-12
+                away = r[f"a{k + 1}"] / n
+                # about the new mean, which is (almost) c + away
+                s["mean"][k] = (r[f"a{k + 1}"] + s["about"] * r[f"r{k + 1}"]) / n
+                step = s["mean"][k] - s["about"]
+                s["var"][k] = (r[f"q{k + 1}"] - 2 * step * r[f"a{k + 1}"] + step * step * r[f"r{k + 1}"]) / n + 1e-6
+                s["weight"][k] = n / s["n"]
+            now = r["ll"] / s["n"]
+            if now - s["before"] < 1e-6:
+                going.discard(r["g"])
+            s["before"] = now
+    rows = []
+    for g, s in state.items():
+        parts = sorted(zip(s["mean"], s["var"], s["weight"], strict=True))
+        rows.append((g, *[float(x) for m, v, w in parts for x in (m, math.sqrt(v), w)], s["lo"], s["hi"], s["n"]))
+    return spark.createDataFrame(rows, f"{by} {kind}, {_FIT}")
+
+
+def _sums(t: DataFrame, now: DataFrame) -> DataFrame:
+    """For each group: responsibilities (r), with the distance to ``c`` (a) and its square (q), and the log-likelihood."""
+    density = lambda k: F.col(f"w{k}") * F.exp(-((F.col("y") - F.col(f"m{k}")) ** 2) / (2 * F.col(f"v{k}"))) / F.sqrt(2 * math.pi * F.col(f"v{k}"))
+    rows = t.alias("t").join(now.alias("p"), F.col("t.g").eqNullSafe(F.col("p.g"))).select("t.g", (F.col("y") - F.col("c")).alias("u"), density(1).alias("d1"), density(2).alias("d2"))
+    rows = rows.withColumn("all", F.col("d1") + F.col("d2") + 1e-300)
+    share = {k: F.col(f"d{k}") / F.col("all") for k in (1, 2)}
+    sums = [F.sum(share[k] * x).alias(f"{name}{k}") for k in (1, 2) for name, x in (("r", F.lit(1.0)), ("a", F.col("u")), ("q", F.col("u") * F.col("u")))]
+    return rows.groupBy("g").agg(*sums, F.sum(F.log("all")).alias("ll"))
 
 
 def thresholds(fits: DataFrame, by: str, how: str = "logit", points: int = 500) -> DataFrame:

@@ -106,19 +106,18 @@ def in_and_rest(per_group: DataFrame, group: str) -> DataFrame:
     return out.select(*per_group.columns, (F.col("_p") - F.col("n_pos")).alias("n_pos_rest"), (F.col("_s") - F.col("sum_raw")).alias("sum_rest"), (F.col("_n") - F.col("n")).alias("n_rest"))
 
 
-def trimean(long: DataFrame, groups: DataFrame, group: str, value: str = "x") -> DataFrame:
-    """(group, gene_id, trimean): (Q1 + 2 median + Q3) / 4 over all cells of the group, zeros included."""
-    size = groups.groupBy(group).agg(F.count("*").alias("n"))
-    sorted_ = long.filter(F.col(value) > 0).join(groups, "cell_id").groupBy(group, "gene_id").agg(F.array_sort(F.collect_list(value)).alias("v")).join(F.broadcast(size), group)
-    zeros = F.col("n") - F.size("v")
-    at = lambda p: F.when(p < zeros, 0.0).otherwise(F.element_at("v", (p - zeros + 1).cast("int")))
+def trimean(long: DataFrame, groups: DataFrame, group: str, value: str = "x", by: Sequence[str] = ()) -> DataFrame:
+    """(*by, group, gene_id, trimean): (Q1 + 2 median + Q3) / 4 over all cells of the group, zeros included.
 
-    def quantile(q: float) -> Column:
-        h = (F.col("n") - 1) * F.lit(q)
-        low = F.floor(h)
-        return at(low) + (h - low) * (at(F.least(low + 1, F.col("n") - 1)) - at(low))
+    ``groups``: cell_id, *by, group; a cell may be in one group of each ``by`` part.
+    Only groups with a positive entry of the gene give a row.
+    """
+    from loomframe.operators.orderstats import quantiles
 
-    return sorted_.select(group, "gene_id", ((quantile(0.25) + 2 * quantile(0.5) + quantile(0.75)) / 4).alias("trimean"))
+    size = groups.groupBy(*by, group).agg(F.count("*").alias("size"))
+    entries = long.filter(F.col(value) > 0).join(groups, "cell_id")
+    q = quantiles(entries, [*by, group, "gene_id"], value, [0.25, 0.5, 0.75], size)
+    return q.select(*by, group, "gene_id", ((F.get("q", F.lit(0)) + 2 * F.get("q", F.lit(1)) + F.get("q", F.lit(2))) / 4).alias("trimean"))
 
 
 def rank_sum(long: DataFrame, groups: DataFrame, group: str, value: str = "x", by: Sequence[str] = (), tie_correct: bool = False) -> DataFrame:

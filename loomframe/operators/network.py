@@ -49,6 +49,15 @@ def edge_jaccard(edges: DataFrame, by: str = "pathway") -> DataFrame:
     return out.select("a", "b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("jaccard"))
 
 
+def over_expressed_genes(long: DataFrame, cells: DataFrame, group: str, value: str = "x", p: float = 0.05) -> DataFrame:
+    """(group, gene_id) of genes that are higher in a group than in all other cells, by the rank-sum test at ``p``."""
+    from loomframe.functions.distribution import two_sided_p
+    from loomframe.operators.matrix import rank_sum
+
+    tested = rank_sum(long, cells, group, value)
+    return tested.filter("z > 0").withColumn("p", two_sided_p("z")).filter(F.col("p") < p).select(group, "gene_id")
+
+
 def over_expressed_pairs(pairs: DataFrame, markers: DataFrame) -> DataFrame:
     """The pairs of which the ligand or the receptor is over-expressed in some group (``markers``: gene_id)."""
     genes = markers.select("gene_id").distinct()
@@ -56,32 +65,46 @@ def over_expressed_pairs(pairs: DataFrame, markers: DataFrame) -> DataFrame:
     return pairs.join(either.select("ligand", "receptor").distinct(), ["ligand", "receptor"], "left_semi")
 
 
-def drawn_groups(cells: DataFrame, group: str, rounds: int, key: str = "cell_id") -> DataFrame:
-    """(round, key, group): ``rounds`` times, groups drawn for all cells by the groups' shares; every draw is told by cell and round alone."""
-    shares = sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # groups are few
-    total, upto, name = sum(n for _, n in shares), 0, F.lit(shares[-1][0] if shares else None)
-    cuts = []
-    for g, n in shares[:-1]:
+def permuted_groups(cells: DataFrame, group: str, rounds: int, key: str = "cell_id") -> DataFrame:
+    """(round, key, group): in each of ``rounds`` rounds, the cells' groups exchanged among all cells, so that every group keeps its size.
+
+    In a round, cells are in the order of a digest of cell and round, and the
+    first go to the first group, and so on. The order is never made: a group ends
+    at an exact order statistic of the round's digests, all of which are found
+    together, and a cell's digest tells its group. (Two digests of 48 bits that are
+    equal just there would go to one group.)
+    """
+    from loomframe.operators.orderstats import kth
+
+    spark = cells.sparkSession
+    sizes = sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # a row for each group
+    ends, upto = [], 0
+    for _, n in sizes[:-1]:
         upto += n
-        cuts.append((g, upto / total))
-    drawn = unit(key, "round")
-    for g, c in reversed(cuts):
-        name = F.when(drawn < c, F.lit(g)).otherwise(name)
-    return cells.select(key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).select("round", key, name.alias(group))
+        ends.append(upto - 1)
+    drawn = cells.select(key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", unit(key, "round"))
+    if not sizes:
+        return drawn.join(cells, key).select("round", key, group)
+    names = F.array(*[F.lit(g) for g, _ in sizes])
+    if not ends:
+        return drawn.select("round", key, F.element_at(names, 1).alias(group))
+    wanted = spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("round"), F.explode(F.array(*map(F.lit, ends))).alias("rank"))
+    limits = kth(drawn, ["round"], "u", wanted).groupBy("round").agg(F.array_sort(F.collect_list("x")).alias("limits"))  # one for each group
+    placed = drawn.join(limits, "round")
+    return placed.select("round", key, F.element_at(names, F.size(F.filter("limits", lambda x: x < F.col("u"))) + 1).alias(group))
 
 
 def significance(long: DataFrame, cells: DataFrame, pairs: DataFrame, group: str, rounds: int = 100, kh: float = 0.5, value: str = "x") -> DataFrame:
-    """The interactions of ``interaction_probability`` on triMeans, with ``p``: the share of draws of groups that reach as much.
+    """The interactions of ``interaction_probability`` on triMeans, with ``p``: the share of permutations of the cells' groups that reach as much.
 
-    Only the genes of the pairs are drawn for.
+    All rounds are made in one pass over the entries of the pairs' genes.
     """
     from loomframe.operators.matrix import trimean
 
     genes = pairs.select(F.explode(F.array("ligand", "receptor")).alias("gene_id")).distinct()
-    long = long.join(F.broadcast(genes), "gene_id")  # genes of pairs that were asked for
+    long = long.join(genes, "gene_id")
     seen = interaction_probability(trimean(long, cells.select("cell_id", group), group, value), pairs, group, kh)
-    drawn = drawn_groups(cells, group, rounds).select("cell_id", F.concat_ws("|", "round", group).alias("_g"))
-    means = trimean(long, drawn, "_g", value).select(F.substring_index("_g", "|", 1).cast("int").alias("round"), F.expr("substring(_g, instr(_g, '|') + 1)").alias(group), "gene_id", "trimean")
+    means = trimean(long, permuted_groups(cells.select("cell_id", group), group, rounds), group, value, by=["round"])
     l = means.select("round", F.col(group).alias("source"), F.col("gene_id").alias("ligand"), F.col("trimean").alias("l"))
     r = means.select("round", F.col(group).alias("target"), F.col("gene_id").alias("receptor"), F.col("trimean").alias("r"))
     lr = F.col("l") * F.col("r")

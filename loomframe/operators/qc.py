@@ -58,10 +58,15 @@ def two_axis(counts: DataFrame, sample_col: str, min_cells: int, min_genes: int)
 
 
 def robust_stats(long: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
-    """(*by, med, mad): exact medians; the deviation is scaled."""
-    med = long.groupBy(*by).agg(F.median(value).alias("med"))
-    away = long.join(med, list(by)).groupBy(*by).agg(F.first("med").alias("med"), (F.median(F.abs(F.col(value) - F.col("med"))) / MAD_SCALE).alias("mad"))
-    return away
+    """(*by, med, mad): exact medians, by counting; the deviation is scaled."""
+    from loomframe.operators.orderstats import quantiles
+
+    median = lambda df, out: quantiles(df, by, value, [0.5]).select(*by, F.element_at("q", 1).alias(out))
+    med = median(long, "med")
+    on = [F.col(f"l.{b}").eqNullSafe(F.col(f"m.{b}")) for b in by]
+    away = long.alias("l").join(med.alias("m"), on).select(*[F.col(f"l.{b}").alias(b) for b in by], F.abs(F.col(f"l.{value}") - F.col("m.med")).alias(value))
+    mad = median(away, "mad")
+    return med.alias("l").join(mad.alias("m"), on).select(*[F.col(f"l.{b}").alias(b) for b in by], "med", (F.col("mad") / MAD_SCALE).alias("mad"))
 
 
 def mad_keep(value: Column, med: Column, mad: Column, nmads: float = 3) -> Column:

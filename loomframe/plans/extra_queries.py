@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomframe.functions.shared import UNIT_SQL, unit
+from loomframe.functions.shared import UNIT_SQL, cut, unit
 from loomframe.model import cells, counts, genes, r6, runs, sql, vectors
 from loomframe.operators import doublets, graphs, layout, matrix, metrics, neighbourhoods, network, posterior, reduction, search
 from loomframe.operators import vectors as vec_ops
@@ -88,21 +90,31 @@ def knn_probed(s, d):
 
 @query()
 def clustering_sweep(s, d):
-    """A row (dim, k, resolution, n_clusters, silhouette) for each setting."""
-    v, out = vectors(s, d), None
+    """A row (dim, k, resolution, n_clusters, silhouette) for each setting; all communities are found together."""
+    v, graph, some = vectors(s, d), None, {}
     for dim in (32, 64):
-        some = vec_ops.first_dims(v, dim)
-        near = vec_ops.nearest(some, 20)
+        some[dim] = vec_ops.first_dims(v, dim)
+        near = cut(vec_ops.nearest(some[dim], 20))
         for k in (10, 20):
-            edges = vec_ops.shared_neighbours(near.filter(F.col("rank") <= k))
-            for resolution in (0.5, 1.0):
-                found = graphs.communities(edges, resolution).select(F.col("node").alias("vec_id"), F.col("community").alias("c"))
-                width = vec_ops.silhouette(some.join(found, "vec_id"), "c")
-                row = width.agg(F.lit(dim).alias("dim"), F.lit(k).alias("k"), F.lit(resolution).alias("resolution"), F.count_distinct("c").alias("n_clusters"), r6(F.avg("width")).alias("silhouette"))
-                out = row if out is None else out.unionByName(row)
+            edges = vec_ops.shared_neighbours(near.filter(F.col("rank") <= k)).select(F.lit(dim).alias("dim"), F.lit(k).alias("k"), "a", "b", "weight")
+            graph = edges if graph is None else graph.unionByName(edges)
+    found, out = graphs.leiden(graph, (0.5, 1.0), ["dim", "k"]), None
+    for dim, k, resolution in product((32, 64), (10, 20), (0.5, 1.0)):
+        own = found.filter((F.col("dim") == dim) & (F.col("k") == k) & (F.col("resolution") == resolution)).select(F.col("node").alias("vec_id"), F.col("community").alias("c"))
+        width = vec_ops.silhouette(some[dim].join(own, "vec_id"), "c")
+        row = width.agg(F.lit(dim).alias("dim"), F.lit(k).alias("k"), F.lit(resolution).alias("resolution"), F.count_distinct("c").alias("n_clusters"), r6(F.avg("width")).alias("silhouette"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+@query()
+def communities_by_resolution(s, d):
+    """Communities of the graph of 20 shared neighbours at eight resolutions."""
+    edges = vec_ops.shared_neighbours(vec_ops.nearest(vectors(s, d), 20))
+    found = graphs.leiden(edges, (0.1, 0.3, 0.5, 0.8, 1.0, 1.2, 1.5, 2.0))
+    return found.select("resolution", F.col("node").alias("vec_id"), "community")
+
+
 @query()
 def doublet_sweep(s, d):
     """The share of neighbours to look at, by the bimodality of the simulated doublets' shares."""
@@ -131,25 +143,31 @@ def successive_halving(s, d):
 
 # significance of interactions
 
-_ROUNDS = 10
-_PERM = _LR + f""", sh AS (SELECT cluster, sum(count(*)) OVER (ORDER BY cluster) / sum(count(*)) OVER () AS upto, row_number() OVER (ORDER BY cluster DESC) AS last FROM cells WHERE cell_id IN (SELECT cell_id FROM counts) GROUP BY 1),
-dr AS (SELECT cell_id, b, {UNIT_SQL.format("cell_id || ':' || b")} AS u FROM (SELECT DISTINCT cell_id FROM counts), range(1, {_ROUNDS + 1}) t(b)),
-cb AS (SELECT cell_id, b, cluster FROM (SELECT cell_id, b, cluster, row_number() OVER (PARTITION BY cell_id, b ORDER BY upto) AS r FROM dr JOIN sh ON u < upto OR last = 1) WHERE r = 1),
-cn AS (SELECT b, cluster, count(*) AS n FROM cb GROUP BY 1, 2),
-bs AS (SELECT b, cluster, gene_id, list_sort(list(x)) AS v FROM lx JOIN cb USING (cell_id) WHERE x > 0 AND gene_id <= 40 GROUP BY 1, 2, 3),
-bq AS (SELECT b, cluster, gene_id, v, n, n - len(v) AS z FROM bs JOIN cn USING (b, cluster)),
-bt AS (SELECT b, cluster, gene_id, (quantile_cont(x, 0.25) + 2 * quantile_cont(x, 0.5) + quantile_cont(x, 0.75)) / 4 AS t FROM (SELECT b, cluster, gene_id, unnest(list_concat(list_transform(range(z), lambda i: 0.0::DOUBLE), v)) AS x FROM bq) GROUP BY 1, 2, 3),
+_ROUNDS = 100
+_PERM = _LR + f""", ce AS (SELECT cell_id, cluster FROM cells WHERE cell_id IN (SELECT cell_id FROM counts)), cn AS (SELECT cluster, count(*) AS n, sum(count(*)) OVER (ORDER BY cluster) AS upto FROM ce GROUP BY 1),
+dr AS (SELECT cell_id, b, row_number() OVER (PARTITION BY b ORDER BY {UNIT_SQL.format("cell_id || ':' || b")}, cell_id) AS r FROM ce, range(1, {_ROUNDS + 1}) t(b)),
+cb AS (SELECT cell_id, b, cluster FROM dr JOIN cn ON r > upto - n AND r <= upto),
+bq AS (SELECT b, cluster, gene_id, list(x) AS v FROM lx JOIN cb USING (cell_id) WHERE x > 0 AND gene_id <= 40 GROUP BY 1, 2, 3),
+bt AS (SELECT b, cluster, gene_id, (quantile_cont(x, 0.25) + 2 * quantile_cont(x, 0.5) + quantile_cont(x, 0.75)) / 4 AS t FROM (SELECT b, cluster, gene_id, unnest(list_concat(list_transform(range(n - len(v)), lambda i: 0.0::DOUBLE), v)) AS x FROM bq JOIN cn USING (cluster)) GROUP BY 1, 2, 3),
 ob AS (SELECT a.cluster AS source, b.cluster AS target, ligand, receptor, pathway, a.t * b.t / (0.5::DOUBLE + a.t * b.t) AS prob FROM pr JOIN av a ON a.gene_id = ligand JOIN av b ON b.gene_id = receptor WHERE a.t * b.t > 0),
 nu AS (SELECT l.b, l.cluster AS source, r.cluster AS target, ligand, receptor, l.t * r.t / (0.5::DOUBLE + l.t * r.t) AS prob FROM pr JOIN bt l ON l.gene_id = ligand JOIN bt r ON r.gene_id = receptor AND r.b = l.b),
-ls AS (SELECT ob.*, coalesce(k, 0) / {_ROUNDS} AS p FROM ob LEFT JOIN (SELECT ob.source, ob.target, ob.ligand, ob.receptor, count(*) AS k FROM ob JOIN nu USING (source, target, ligand, receptor) WHERE round(nu.prob, 12) >= round(ob.prob, 12) GROUP BY 1, 2, 3, 4) USING (source, target, ligand, receptor))"""
+ls AS (SELECT ob.*, coalesce(k, 0) / {_ROUNDS} AS p FROM ob LEFT JOIN (SELECT ob.source, ob.target, ob.ligand, ob.receptor, count(*) AS k FROM ob JOIN nu USING (source, target, ligand, receptor) WHERE round(nu.prob, 12) >= round(ob.prob, 12) GROUP BY 1, 2, 3, 4) USING (source, target, ligand, receptor)),
+oe AS (SELECT gene_id, cluster, rank() OVER (PARTITION BY gene_id ORDER BY x) + (count(*) OVER (PARTITION BY gene_id, x) - 1) / 2 AS r FROM lx JOIN ce USING (cell_id) WHERE x > 0 AND gene_id <= 40),
+og AS (SELECT gene_id, cluster, sum(r) AS rs, count(*) AS pos FROM oe GROUP BY 1, 2), oz AS (SELECT gene_id, sum(pos) AS nnz FROM og GROUP BY 1), oa AS (SELECT sum(n) AS nn FROM cn),
+om AS (SELECT gene_id, cluster, ((n - coalesce(pos, 0)) * (nn - nnz + 1) / 2 + coalesce(rs, 0) + coalesce(pos, 0) * (nn - nnz) - n * (nn + 1) / 2) / sqrt(n * (nn - n) * (nn + 1)::DOUBLE / 12) AS z FROM oz CROSS JOIN cn CROSS JOIN oa LEFT JOIN og USING (gene_id, cluster))"""
 
 
-def _lr_significance(s, d):
+def _folded(s, d):
+    """Counts of 40 genes, the cells' clusters and the pairs of ligand and receptor."""
     folded = counts(s, d).groupBy("cell_id", (F.col("gene_id") % 40 + 1).alias("gene_id")).agg(F.sum("count").alias("x"))
     groups = cells(s, d).join(counts(s, d).select("cell_id").distinct(), "cell_id", "left_semi").select("cell_id", "cluster")
     i = F.col("id")
     pairs = s.range(1, 31).select(i.alias("ligand"), (i % 40 + 1).alias("receptor"), F.concat(F.lit("path"), (i % 4).cast("string")).alias("pathway"))
-    return network.significance(folded, groups, pairs, "cluster", _ROUNDS)
+    return folded, groups, pairs
+
+
+def _lr_significance(s, d):
+    return network.significance(*_folded(s, d), "cluster", _ROUNDS)
 
 
 @query(sql("SELECT source, target, ligand, receptor, pathway, round(prob, 6) AS prob, round(p, 6) AS p FROM ls", "counts", "cells", "genes", more=_PERM))
@@ -157,19 +175,18 @@ def lr_significance(s, d):
     return _lr_significance(s, d).withColumns({"prob": r6("prob"), "p": r6("p")})
 
 
-@query(sql("SELECT source, target, ligand, receptor, pathway, round(p, 6) AS p FROM ls WHERE p <= 0.2", "counts", "cells", "genes", more=_PERM))
+@query(sql("SELECT source, target, ligand, receptor, pathway, round(p, 6) AS p FROM ls WHERE p <= 0.05", "counts", "cells", "genes", more=_PERM))
 def enriched_pairs(s, d):
-    """Interactions that few draws of groups reach."""
-    return _lr_significance(s, d).filter("p <= 0.2").select("source", "target", "ligand", "receptor", "pathway", r6("p").alias("p"))
+    """Interactions that at most a twentieth of 100 permutations of the cells' groups reach."""
+    return _lr_significance(s, d).filter("p <= 0.05").select("source", "target", "ligand", "receptor", "pathway", r6("p").alias("p"))
 
 
-@query(sql("SELECT ligand, receptor, pathway FROM pr WHERE ligand IN (SELECT gene_id FROM mk) OR receptor IN (SELECT gene_id FROM mk)", more="pr AS (SELECT i AS ligand, i % 40 + 1 AS receptor, 'path' || (i % 4) AS pathway FROM range(1, 31) t(i)), mk AS (SELECT p_partkey AS gene_id FROM part WHERE p_size > 25)"))
+@query(sql("SELECT ligand, receptor, pathway FROM pr WHERE ligand IN (SELECT gene_id FROM om WHERE z > 1.959963984540054) OR receptor IN (SELECT gene_id FROM om WHERE z > 1.959963984540054)", "counts", "cells", "genes", more=_PERM))
 def over_expressed_pairs(s, d):
-    i = F.col("id")
-    pairs = s.range(1, 31).select(i.alias("ligand"), (i % 40 + 1).alias("receptor"), F.concat(F.lit("path"), (i % 4).cast("string")).alias("pathway"))
-    from loomframe.model import read
-
-    return network.over_expressed_pairs(pairs, read(s, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("gene_id")))
+    """The pairs with a gene that is higher in some cluster than in the rest, by the rank-sum test at 0.05."""
+    folded, groups, pairs = _folded(s, d)
+    markers = network.over_expressed_genes(folded.withColumn("x", F.col("x").cast("double")), groups, "cluster")
+    return network.over_expressed_pairs(pairs, markers)
 
 
 @query()

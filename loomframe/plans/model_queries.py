@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions import distribution
 from loomframe.model import cells, counts, genes, r6, runs, sql, vectors
-from loomframe.operators import doublets, graphs, matrix, network, posterior, reduction
+from loomframe.operators import doublets, expression_pca, graphs, matrix, network, posterior, reduction
 from loomframe.operators import vectors as vec_ops
 from loomframe.plans.registry import query
 
@@ -110,6 +110,42 @@ def pca_loading_extremes(s, d):
     return extremes(reduction.principal_components(vectors(s, d), 5)[1], "pc", "loading", "dim", 10)
 
 
+def _expression(s, d, most=2000):
+    """The most variable genes' scaled entries, and all cells."""
+    ln = matrix.log_normalize(counts(s, d)).select("cell_id", "gene_id", "x")
+    top = matrix.variable_genes(ln).orderBy(F.round("dispersion_norm", 5).desc_nulls_last(), "gene_id").limit(most).select("gene_id")
+    return matrix.scaled(ln).join(top, "gene_id", "left_semi"), ln.select("cell_id")
+
+
+@query()
+def expression_pca_variance(s, d):
+    """The explained variance of 50 components of the scaled expression matrix."""
+    return expression_pca.components(*_expression(s, d), 50).variances.select("pc", *[r6(c).alias(c) for c in ("variance", "ratio", "sd")])
+
+
+@query()
+def expression_pca_scores(s, d):
+    return expression_pca.components(*_expression(s, d), 50).scores
+
+
+@query()
+def expression_pca_extremes(s, d):
+    """The genes with the largest and smallest loadings of the first five components."""
+    from loomframe.operators.tables import extremes
+
+    loadings = expression_pca.components(*_expression(s, d), 5).loadings
+    return extremes(loadings.withColumn("loading", r6("loading")), "pc", "loading", "gene_id", 10)
+
+
+@query()
+def expression_elbow(s, d):
+    """How many components stand before the standard deviation falls below 1.5 times the mean of the last ten."""
+    from loomframe.operators.tables import leading_count
+
+    sd = expression_pca.components(*_expression(s, d), 50).variances.select(F.lit("expression").alias("reduction"), "pc", "sd")
+    return leading_count(sd, ["reduction"], "pc", "sd").withColumn("threshold", r6("threshold"))
+
+
 @query()
 def vst_top_genes(s, d):
     return reduction.top_genes(reduction.smoothed_variance(counts(s, d)), 500)

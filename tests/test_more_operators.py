@@ -166,3 +166,32 @@ def test_over_expressed_pairs(spark):
     pairs = spark.createDataFrame([(1, 2, "p"), (3, 4, "q"), (5, 1, "r")], "ligand int, receptor int, pathway string")
     got = network.over_expressed_pairs(pairs, spark.createDataFrame([(1,), (1,)], "gene_id int")).collect()
     assert sorted(r.pathway for r in got) == ["p", "r"]
+
+
+def test_permutations_keep_group_sizes_and_every_draw(spark):
+    """Against ranks of the digests, made by hand."""
+    import hashlib
+    from collections import Counter
+
+    names = ["b"] * 70 + ["a"] * 25 + ["c"] * 5
+    cells = spark.createDataFrame([(i, g) for i, g in enumerate(names)], "cell_id long, g string")
+    got = {}
+    for r in network.permuted_groups(cells, "g", 12).collect():
+        got.setdefault(r["round"], {})[r["cell_id"]] = r["g"]
+    assert sorted(got) == list(range(1, 13))
+    order = sorted(names)
+    for k, placed in got.items():
+        assert Counter(placed.values()) == Counter(names)
+        ranked = sorted(range(100), key=lambda i: hashlib.md5(f"{i}:{k}".encode()).hexdigest()[:12])  # noqa: B023
+        assert [placed[i] for i in ranked] == order
+    assert len({tuple(sorted(p.items())) for p in got.values()}) == 12
+    one = network.permuted_groups(cells.filter("g = 'a'"), "g", 3)
+    assert one.count() == 75 and one.select("g").distinct().count() == 1
+    assert network.permuted_groups(cells.limit(0), "g", 3).count() == 0
+
+
+def test_over_expressed_genes(spark):
+    rows = [(i, 1, 5.0 + i % 3) for i in range(20)] + [(i, 2, 1.0 + i % 4) for i in range(0, 40, 2)] + [(i, 3, 3.0) for i in range(20, 40)]
+    cells = spark.createDataFrame([(i, "x" if i < 20 else "y") for i in range(40)], "cell_id long, g string")
+    got = network.over_expressed_genes(spark.createDataFrame(rows, "cell_id long, gene_id long, x double"), cells, "g")
+    assert sorted(tuple(r) for r in got.select("g", "gene_id").collect()) == [("x", 1), ("y", 3)]

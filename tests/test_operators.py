@@ -159,6 +159,40 @@ def test_mixture_threshold_and_calls(spark):
         doublets.call(df, limits.withColumn("threshold", F.lit(None).cast("double")), "sample", "score").collect()
 
 
+def _em(values, rounds=200):
+    """The same mixture, of one group, on an array."""
+    x = np.sort(values)
+    top = x[x >= np.quantile(x, 0.95)]
+    mean, weight, var, before = np.array([np.quantile(x, 0.2), np.median(top)]), np.array([0.5, 0.5]), np.full(2, x.var() + 1e-6), -math.inf
+    for _ in range(rounds):
+        dens = weight * np.exp(-((x[:, None] - mean) ** 2) / (2 * var)) / np.sqrt(2 * math.pi * var)
+        total = dens.sum(1, keepdims=True) + 1e-300
+        n = (dens / total).sum(0) + 1e-12
+        mean = (dens / total * x[:, None]).sum(0) / n
+        var = (dens / total * (x[:, None] - mean) ** 2).sum(0) / n + 1e-6
+        weight, now = n / len(x), float(np.log(total).mean())
+        if now - before < 1e-6:
+            break
+        before = now
+    order = np.argsort(mean)
+    return [float(v) for k in order for v in (mean[k], math.sqrt(var[k]), weight[k])]
+
+
+def test_mixtures_of_all_groups_against_arrays(spark):
+    r = np.random.default_rng(8)
+    groups = {"a": np.concatenate((r.normal(0.2, 0.05, 600), r.normal(0.7, 0.1, 90))), "b": np.concatenate((r.normal(0.4, 0.02, 300), r.normal(0.5, 0.2, 300))), None: r.random(50), "few": r.random(9), "same": np.full(30, 0.25)}
+    rows = [(g, float(min(0.99, max(0.01, x)))) for g, v in groups.items() for x in v] + [("a", None)]
+    df = spark.createDataFrame(rows, "sample string, score double").repartition(5)
+    got = {x["sample"]: x for x in doublets.fit_mixtures(df, "sample", "score", "logit").collect()}
+    assert set(got) == {"a", "b", None, "same"}
+    for g, f in got.items():
+        x = np.array([v for k, v in rows if k == g and v is not None])
+        y = np.log(x / (1 - x))
+        assert np.allclose([f.mean_1, f.sd_1, f.weight_1, f.mean_2, f.sd_2, f.weight_2], _em(y), rtol=1e-7, atol=1e-8)
+        assert np.allclose([f.lo, f.hi, f.n], [y.min(), y.max(), len(y)])
+    assert doublets.fit_mixtures(df.limit(0), "sample", "score").count() == 0
+
+
 def test_transforms_return(spark):
     df = spark.createDataFrame([(0.0,), (0.3,), (1.0,)], "s double")
     for how in ("raw", "log", "logit", "probit"):
@@ -207,7 +241,7 @@ def test_communities_and_spreading(spark):
     assert out[3].label == "x" and out[12].label == "y" and 0.5 <= out[3].confidence <= 1
 
 
-def test_silhouettes_and_communities_beyond_the_limits(spark, monkeypatch):
+def test_silhouettes_and_communities_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x, lab = rng.normal(size=(60, 5)) + 100, rng.integers(0, 3, 60)
     x[7] = x[8]
@@ -226,10 +260,8 @@ def test_silhouettes_and_communities_beyond_the_limits(spark, monkeypatch):
     edges = [(i, j, 1.0) for g in range(0, 60, 10) for i in range(g, g + 6) for j in range(i + 1, g + 6)] + [(g, g + 10, 0.1) for g in range(0, 50, 10)]
     df = spark.createDataFrame(edges, "a int, b int, weight double")
     small = {r.node: r.community for r in graphs.communities(df).collect()}
-    for most in (30, 1):
-        monkeypatch.setattr(graphs, "MOST_EDGES", most)
-        assert {r.node: r.community for r in graphs.communities(df).collect()} == small
     assert len(set(small.values())) == 6
+    assert {r.node: r.community for r in graphs.communities(df.repartition(7)).collect()} == small
 
 
 def test_leaf_order(spark):
