@@ -16,7 +16,7 @@ bucket; with a similarity s they miss each other with a chance of
 * each set is compared with the least set of one of its buckets;
 * then with the least sets of its other buckets, where these are in another group;
 * in buckets that still hold several groups, the sets outside the largest one are
-  compared with the set that is central in it, as long as that links some;
+  compared with the set that is central in it;
 * what is outside then is compared with the sets of the bucket's other groups.
 
 Sizes and odd sketches (whose distance never exceeds the symmetric difference)
@@ -24,8 +24,9 @@ drop what can't be linked, and what is left is confirmed on the full sets of
 shingles. Groups are grown by unions of linked ends, as distributed star rounds.
 
 Skew: equal texts are one set; buckets are aggregated to their least and largest
-set before they are shuffled; a set that many are compared with, and a bucket with
-many sets, are dealt out to several tasks.
+set before they are shuffled; the pairs of a set that many are compared with are
+split by Spark in the joins, and a bucket with many sets is dealt out to several
+tasks.
 
 64-bit hashes stand for shingles and sets.
 """
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from loomframe.llm.anchored import _BASES, _Hashes, _mix, text_keys, with_copies
 from loomframe.llm.common import broadcast_if_small, discard, in_batches, materialise, ships, table, worker_cache
 from loomframe.llm.components import connected
-from loomframe.llm.jaccard import SKETCH, _node, _ragged, contents, odd_sketch, shingles
+from loomframe.llm.jaccard import SKETCH, _node, _ragged, contents, odd_sketch, shingles, verified
 
 ships(__name__)
 
@@ -50,7 +51,7 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 48, 5
 #: Shingles whose permutations are held at once.
 AT_ONCE = 8192
-#: Pairs of one set, or sets of one bucket, that one task gets.
+#: Sets of one bucket that one task gets to compare others with.
 HUB = 2000
 
 _FRACTION, _PICK = np.uint64(40), np.uint64(24)
@@ -138,24 +139,16 @@ def may_link(n: Column, other_n: Column, sketch: Column, other_sketch: Column, p
     return (n * 100 >= other_n * percent) & (other_n * 100 >= n * percent) & (far * (100 + percent) <= (n + other_n) * (100 - percent))
 
 
-def dealt(pairs: DataFrame, key: str, other: str, places: DataFrame) -> DataFrame:
-    """``pairs`` joined with ``places`` on ``key``; a key with more than ``HUB`` pairs is dealt to several tasks by ``other``."""
-    hubs = broadcast_if_small(pairs.groupBy(key).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_deals")).filter("_deals > 1"))
-    deals = F.coalesce("_deals", F.lit(1))
-    left = pairs.join(hubs, key, "left").withColumn("_deal", F.pmod(F.xxhash64(other), deals.cast("long")).cast("int")).drop("_deals")
-    right = places.join(hubs, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
-    return left.join(right, [key, "_deal"]).drop("_deal")
-
-
 def linked(pairs: DataFrame, places: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked, written; ``places`` (node, n, sketch), ``items`` (node, items)."""
+    """The pairs (a, b) of nodes that are linked, written; ``places`` (node, n, sketch), ``items`` (node, items).
+
+    ``pairs`` and what is left of them are written tables, so that Spark splits
+    the pairs of a node that many are compared with in the joins.
+    """
     side = lambda end, x: places.select(F.col("node").alias(end), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"))
-    near = dealt(dealt(pairs, "a", "b", side("a", "l")), "b", "a", side("b", "r")).filter(may_link(F.col("l_n"), F.col("r_n"), F.col("l_s"), F.col("r_s"), percent))
+    near = pairs.join(side("a", "l"), "a").join(side("b", "r"), "b").filter(may_link(F.col("l_n"), F.col("r_n"), F.col("l_s"), F.col("r_s"), percent))
     near = materialise(near.select("a", "b"), "near")
-    full = lambda end, x: items.select(F.col("node").alias(end), F.col("items").alias(x))
-    both = dealt(dealt(near, "a", "b", full("a", "x")), "b", "a", full("b", "y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    out = materialise(both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+    out = materialise(verified(near, items, percent), "links")
     discard(near)
     return out
 
@@ -225,33 +218,29 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
     # the least set of one bucket
     first = materialise(members.filter("node <> a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = linked(first, places, items, percent)
-    parts = materialise(connected(links), "parts")
-    # the least sets of the other buckets
-    part = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part"))
+    # the least sets of the other buckets, unless it is clear already that they are in one group
+    above = broadcast_if_small(links.select(F.col("b").alias("node"), F.col("a").alias("above")))
     others = members.filter("node <> a").select("a", F.col("node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    apart = F.coalesce("a_part", "a") != F.coalesce("b_part", "b")
-    others = materialise(others.join(broadcast_if_small(part("a")), "a", "left").join(broadcast_if_small(part("b")), "b", "left").filter(apart).select("a", "b"), "pairs")
-    more = linked(others, places, items, percent)
+    for end in ("a", "b"):
+        others = others.join(above.withColumnsRenamed({"node": end, "above": f"{end}_above"}), end, "left")
+    others = materialise(others.filter(F.coalesce("a_above", "a") != F.coalesce("b_above", "b")).select("a", "b"), "pairs")
+    links = links.unionByName(linked(others, places, items, percent))
+    parts = materialise(connected(links), "parts")
+    # buckets that hold several groups: the sets outside the largest one with its central set
+    each, sizes = open_lists(members, parts)
+    central = central_pairs(each, sizes)
+    more = linked(central, places, items, percent)
     if not more.isEmpty():
         links = links.unionByName(more)
+        discard(each, sizes, parts)
         parts = materialise(connected(links), "parts")
-    # buckets that hold several groups: the sets outside the largest one with its central set, as long as that links some
-    while True:
         each, sizes = open_lists(members, parts)
-        central = central_pairs(each, sizes)
-        more = linked(central, places, items, percent)
-        discard(central)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        parts = materialise(connected(links), "parts")
-        discard(each, sizes)
     # then with all of the other groups' sets
     late = open_pairs(each, sizes, places, percent)
     last = linked(late, places, items, percent)
     if not last.isEmpty():
         parts = materialise(connected(links.unionByName(last)), "parts")
-    discard(members, items, first, others, late, each, sizes)
+    discard(members, items, first, others, central, late, each, sizes)
     # nodes that stand for several rows or are linked
     grouped = nodes.join(broadcast_if_small(parts), "node", "left").filter("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     grouped = materialise(grouped.select("node", "component", "least"), "grouped")
