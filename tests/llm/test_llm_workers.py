@@ -35,5 +35,5 @@ def run(names, tmp_path):
 
 
 def test_training_data_queries(tmp_path):
-    names = ["op2_pieces", "op3_substrings", "op4_suffixes", "op5_jaccard", "op6_quality", "op9_secrets", "pipeline"]
+    names = ["op2_pieces", "op3_substrings", "op4_suffixes", "op5_jaccard", "op6_quality", "op9_secrets", "op11_vectorcodes", "op12_divergence", "op13_superminhash", "pipeline"]
     assert list(run(names, tmp_path)) == names
