@@ -63,7 +63,7 @@ def set_score(s, d):
     return matrix.set_score(_ln(s, d), genes(s, d).filter("is_mt").select("gene_id")).select("cell_id", r6("score").alias("score"))
 
 
-_MOM = "m AS (SELECT gene_id, sum(x) / any_value(n) AS mu, (sum(x * x) - any_value(n) * (sum(x) / any_value(n)) * (sum(x) / any_value(n))) / (any_value(n) - 1) AS v FROM lognorm, ncells GROUP BY 1)"
+_MOM = "m AS MATERIALIZED (SELECT gene_id, sum(x) / any_value(n) AS mu, (sum(x * x) - any_value(n) * (sum(x) / any_value(n)) * (sum(x) / any_value(n))) / (any_value(n) - 1) AS v FROM lognorm, ncells GROUP BY 1)"
 
 
 @query(sql("SELECT cell_id, gene_id, round(least(10, (x - mu) / sqrt(v)), 5) AS z, round(least(10, -mu / sqrt(v)), 5) AS zero FROM lognorm JOIN m USING (gene_id)", "lognorm", "ncells", more=_MOM))
