@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.shared import UNIT_SQL, cut, unit
 from loomframe.model import cells, counts, genes, r6, runs, sql, vectors
-from loomframe.operators import doublets, graphs, layout, matrix, metrics, neighbourhoods, network, posterior, reduction, search
+from loomframe.operators import abundance, doublets, graphs, layout, matrix, metrics, neighbourhoods, network, posterior, reduction, search
 from loomframe.operators import vectors as vec_ops
 from loomframe.plans.matrix_queries import _D
 from loomframe.plans.model_queries import _LR, _net
@@ -266,6 +266,36 @@ def nhood_sample(s, d):
     return _nhoods(s, d)[1].groupBy(F.col("nhood").alias("centre")).agg(F.count("*").alias("size"))
 
 
+def _weighted_nhoods(s, d):
+    """Members with their distances, and both kinds of weights."""
+    v = vectors(s, d)
+    members = cut(vec_ops.nearest(v, 20, v.filter(unit("vec_id", F.lit(7)) < 0.1)).select(F.col("src").alias("nhood"), F.col("dst").alias("vec_id"), F.round("dist", 9).alias("dist")))
+    by_overlap = abundance.overlap_weights(members).withColumnRenamed("weight", "by_overlap")
+    return v, members, by_overlap.join(abundance.distance_weights(members).withColumnRenamed("weight", "by_distance"), "nhood")
+
+
+_NW = """, mr AS (SELECT src AS nhood, dst AS vec_id, dist FROM (SELECT src, dst, round(dist, 9) AS dist, row_number() OVER (PARTITION BY src ORDER BY round(dist, 9), dst) AS r FROM dd WHERE src IN (SELECT vec_id FROM ce)) WHERE r <= 20)"""
+
+
+@query(sql("""SELECT a.nhood, round(count(*) / sum(often), 9) AS by_overlap, round(CASE WHEN max(dist) > 0 THEN 1 / max(dist) ELSE 0 END, 6) AS by_distance
+FROM mr a JOIN (SELECT vec_id, count(*) AS often FROM mr GROUP BY 1) USING (vec_id) GROUP BY 1""", "vectors", more=_D + ", " + _NH + _NW))
+def nhood_weights(s, d):
+    """What a neighbourhood's test counts for among others, by shared members and by distance."""
+    return _weighted_nhoods(s, d)[2].select("nhood", r6("by_overlap", 9).alias("by_overlap"), r6("by_distance").alias("by_distance"))
+
+
+@query()
+def nhood_differential(s, d):
+    """Regressions of the neighbourhoods' counts on the condition, with rates by both kinds of weights."""
+    v, members, weights = _weighted_nhoods(s, d)
+    named = v.withColumn("sample", F.col("vec_id") % 6)
+    samples = named.groupBy("sample").agg(F.count("*").alias("size")).withColumn("condition", (F.col("sample") < 3).cast("int"))
+    n = members.join(named.select("vec_id", "sample"), "vec_id").groupBy("nhood", "sample").agg(F.count("*").alias("n"))
+    fitted = abundance.abundance_regression(n, samples, "condition").join(weights, "nhood")
+    rated = abundance.weighted_fdr(abundance.weighted_fdr(fitted, weight="by_distance", out="distance_fdr"), weight="by_overlap", out="overlap_fdr")
+    return rated.select("nhood", *[r6(c).alias(c) for c in ("log_fc", "z", "dispersion", "p", "distance_fdr", "overlap_fdr")])
+
+
 # draws and curves
 
 @query(sql("SELECT * FROM cells WHERE " + UNIT_SQL.format("cell_id || ':' || 1") + " < 0.1", "cells"))
