@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomframe.functions.shared import UNIT_SQL, cut, unit
 from loomframe.model import cells, counts, genes, r6, runs, sql, vectors
-from loomframe.operators import abundance, doublets, graphs, layout, matrix, metrics, neighbourhoods, network, posterior, reduction, search
+from loomframe.operators import abundance, descent, doublets, graphs, layout, matrix, metrics, neighbourhoods, network, posterior, reduction, search
 from loomframe.operators import vectors as vec_ops
 from loomframe.plans.matrix_queries import _D
 from loomframe.plans.model_queries import _LR, _net
@@ -88,6 +88,12 @@ def knn_probed(s, d):
     return vec_ops.nearest_probed(v, 10, v.filter("vec_id % 50 = 0"), probes=12).select("src", "dst", r6("dist").alias("dist"), "rank")
 
 
+@query()
+def knn_descent(s, d):
+    """Neighbours by descent over all vectors, given for those whose id is divisible by 50."""
+    return descent.nearest_by_descent(vectors(s, d), 10).filter("src % 50 = 0").select("src", "dst", r6("dist").alias("dist"), "rank")
+
+
 @query()
 def clustering_sweep(s, d):
     """A row (dim, k, resolution, n_clusters, silhouette) for each setting; all communities are found together."""

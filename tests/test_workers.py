@@ -8,7 +8,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-NAMES = ["knn_graph", "silhouette", "pca_scores", "gmm_threshold", "label_spreading", "kernel_spreading", "network_centrality", "network_patterns", "pattern_numbers", "composition_effects", "count_replicates", "score_probit", "vst_top_genes", "leaf_order", "doublet_calls", "knn_probed", "fuzzy_weights", "expression_pca_scores", "nhood_differential"]
+NAMES = ["knn_graph", "silhouette", "pca_scores", "gmm_threshold", "label_spreading", "kernel_spreading", "network_centrality", "network_patterns", "pattern_numbers", "composition_effects", "count_replicates", "score_probit", "vst_top_genes", "leaf_order", "doublet_calls", "knn_probed", "fuzzy_weights", "expression_pca_scores", "nhood_differential", "knn_descent"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
