@@ -58,8 +58,13 @@ def soft_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r6(c: Column | str, places: int = 6) -> Column:
-    """Rounded for comparison; no negative zero."""
-    return F.round(F.col(c) if isinstance(c, str) else c, places) + F.lit(0.0)
+    """Rounded for comparison, as SQL's round does a double: the nearest whole number of ``places``-th parts; no negative zero.
+
+    Spark's own round of a double rounds its shortest decimal form, which is another
+    number where the product with ``10 ** places`` is rounded to or from a half.
+    """
+    scale = F.lit(float(10**places))
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale, 0) / scale + F.lit(0.0)
 
 
 #: The same tables as SQL.
