@@ -200,7 +200,9 @@ _RUNS = "r AS (SELECT params, min(value) AS elbo, max(value) AS rec, avg(value)
 
 @query(sql("SELECT params, rank_elbo, rank_rec, rank_cyc, rank_kl, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 9), params) AS position FROM (SELECT *, 0.5::DOUBLE * rank_elbo + 0.2::DOUBLE * rank_rec + 0.2::DOUBLE * rank_cyc + 0.1::DOUBLE * rank_kl AS score FROM (SELECT params, rank() OVER (ORDER BY elbo) AS rank_elbo, rank() OVER (ORDER BY rec) AS rank_rec, rank() OVER (ORDER BY cyc DESC) AS rank_cyc, rank() OVER (ORDER BY kl) AS rank_kl FROM (SELECT params, elbo, rec, round(cyc, 6) AS cyc, kl FROM r)))", "runs", more=_RUNS))
 def run_ranking(s, d):
-    r = runs(s, d).groupBy("params").agg(F.min("value").alias("elbo"), F.max("value").alias("rec"), r6(F.avg("value")).alias("cyc"), F.count("*").cast("double").alias("kl"))
+    # a sum of doubles depends on their order, and the mean's last places decide its rounding: values are added by epoch, as in the SQL
+    so_far = F.avg("value").over(Window.partitionBy("params").orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0))
+    r = runs(s, d).withColumn("so_far", so_far).groupBy("params").agg(F.min("value").alias("elbo"), F.max("value").alias("rec"), r6(F.max_by("so_far", "epoch")).alias("cyc"), F.count("*").cast("double").alias("kl"))
     out = tables.rank_runs(r, {"elbo": (0.5, False), "rec": (0.2, False), "cyc": (0.2, True), "kl": (0.1, False)})
     return out.select("params", *[F.col(f"rank_{c}").cast("long").alias(f"rank_{c}") for c in ("elbo", "rec", "cyc", "kl")], r6("score").alias("score"), F.col("position").cast("long").alias("position"))
 
