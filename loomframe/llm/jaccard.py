@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm.anchored import _BASES, _Hashes, _mix, text_keys, with_copies
-from loomframe.llm.common import SPACES, broadcast_if_small, discard, in_batches, materialise, partitions, ships, slices, table, worker_cache
+from loomframe.llm.common import BROADCAST_BYTES, SPACES, broadcast_if_small, discard, fits, in_batches, materialise, partitions, ships, slices, table, worker_cache
 from loomframe.llm.components import connected
 
 ships(__name__)
@@ -172,13 +172,42 @@ def contents(rows: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are linked."""
-    with_a = pairs.join(items.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-    both = with_a.join(items.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+    """The pairs (a, b) of nodes that are linked.
+
+    Contents move once where the pairs are few, and those of nodes in no pair don't.
+    """
+
+    def side(name: str, held: str) -> DataFrame:
+        ids = pairs.select(F.col(name).alias("node")).distinct()
+        some = items.join(F.broadcast(ids), "node", "left_semi") if fits(ids, BROADCAST_BYTES // 8) else items
+        return some.select(F.col("node").alias(name), F.col("items").alias(held))
+
+    both = side("b", "y").join(broadcast_if_small(pairs), "b").join(side("a", "x"), "a")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def parted(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components; a node without one is its own."""
+    known = broadcast_if_small(parts)
+    end = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    both = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
+def _close(percent: int) -> Column:
+    """What linked sets (n, sketch) and (l_n, l_sketch) fulfil: sizes, and a Hamming distance that their difference bounds."""
+    far = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("l_sketch", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("l_sketch", F.lit(0)))))
+    return (F.col("n") * 100 >= F.col("l_n") * percent) & (F.col("l_n") * 100 >= F.col("n") * percent) & (far * (100 + percent) <= (F.col("n") + F.col("l_n")) * (100 - percent))
+
+
+def alike(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sizes and sketches; all linked ones are among them."""
+    left = places.select(F.col("node").alias("a"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"))
+    right = places.select(F.col("node").alias("b"), "n", "sketch")
+    return broadcast_if_small(pairs).join(left, "a").join(right, "b").filter(_close(percent)).select("a", "b")
+
+
 def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGLE, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id``, ``key`` (hash of the text), ``n_shingles``, ``component_id``, ``component`` (null for empty sets).
 
@@ -192,14 +221,26 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
     keyed = with_copies(text_keys(df, text_col, id_col))
     lone = keyed.filter(F.col("first").isNull() | (F.col("ord") == F.col("first")))
     # one exchange deals the entries for both: which lists hold two sets, and who is in them
-    entries = entries_of(lone, percent, size).repartition(SPREAD * partitions(df.sparkSession), "list")
-    lists = entries.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("list", "a")
+    entries = entries_of(lone, percent, size).filter("list IS NOT NULL").repartition(SPREAD * partitions(df.sparkSession), "list")
+    # lists with the same sets in them, as near copies have by the dozen, are one: their sums of hashes agree
+    mark = lambda seed: F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(seed)), 32)).alias(f"mark{seed}")
+    lists = entries.groupBy("list").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("held"), mark(1), mark(2)).filter("a < z")
+    lists = lists.groupBy("a", "z", "held", "mark1", "mark2").agg(F.min("list").alias("list")).select("list", "a")
     members = materialise(entries.join(lists, "list").distinct(), "members")
     pairs = materialise(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     places = materialise(sets.filter("n > 0").groupBy("node").agg(F.min("ord").alias("ord"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).join(members.select("node").distinct(), "node", "left_semi"), "places")
     items = materialise(contents(rows.withColumn("ord", order), places.select("node", "ord"), size), "items")
-    links = materialise(verified(pairs, items, percent), "links")
+    # each set against one of its lists' first sets; then, where the ends are still apart, against the others
+    first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = materialise(verified(first, items, percent), "links")
     parts = materialise(connected(links), "parts")
+    apart = materialise(alike(parted(pairs.join(first, ["a", "b"], "left_anti"), parts), places, percent), "pairs")
+    more = materialise(verified(apart, items, percent), "links")
+    discard(first, apart)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        discard(parts)
+        parts = materialise(connected(links), "parts")
     # lists that hold several components: their sets outside the largest one against all others
     placed = members.select("list", "node").join(places.select("node", "n"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("list", "component").agg(F.count("*").alias("m")).groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
@@ -207,10 +248,10 @@ def jaccard_components(df: DataFrame, percent: int = PERCENT, size: int = SHINGL
     rest = materialise(placed.join(open_lists, "list").join(places.select("node", "sketch"), "node"), "open")
     left = rest.filter("component <> top").select("list", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "component", "sketch")])
     right = rest.select("list", "node", "n", "component", "sketch", "top")
-    far = sum((F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("l_sketch", F.lit(k)))) for k in range(1, SKETCH)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("l_sketch", F.lit(0)))))
-    near = (left["list"] == right["list"]) & (F.col("component") != F.col("l_component")) & ((F.col("component") == F.col("top")) | (F.col("l_node") < F.col("node"))) & (F.col("n") * 100 >= F.col("l_n") * percent) & (F.col("l_n") * 100 >= F.col("n") * percent) & (far * (100 + percent) <= (F.col("n") + F.col("l_n")) * (100 - percent))
+    near = (left["list"] == right["list"]) & (F.col("component") != F.col("l_component")) & ((F.col("component") == F.col("top")) | (F.col("l_node") < F.col("node"))) & _close(percent)
     more = left.join(right, near).select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     late = materialise(verified(materialise(more, "pairs"), items, percent), "links")
+    discard(items, rest, members)
     if not late.isEmpty():
         parts = connected(links.unionByName(late))
     labelled = sets.select("doc_id", "key", "n", "node").join(broadcast_if_small(parts), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -83,3 +83,35 @@ def test_one_of_each(spark):
     got = sorted((str(x.doc_id), x.text) for x in jaccard.one_of_each(df).collect())
     assert [g[0] for g in got] == ["2", "3", "3", "4", "6", "7"]
     assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_pairs_in_one_component_are_not_compared_and_equal_lists_are_one(spark, monkeypatch):
+    """A crowd of near copies of one text: each is compared with one first set, not with that of every list it shares."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join([*words[: 7 * i], f"x{i}", *words[7 * i + 1 :]])) for i in range(40)]
+    seen = []
+    whole = jaccard.verified
+
+    def counted(pairs, items, percent):
+        seen.append(pairs.count())
+        return whole(pairs, items, percent)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    got = {x.component_id for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
+    assert sum(seen) < 2 * len(rows)
+
+
+def test_linked_pairs_are_alike(spark):
+    r = random.Random(6)
+    sets = [np.array(sorted({r.randrange(2**62) for _ in range(n)}), np.uint64) for n in (1, 9, 50, 200)]
+    sets += [np.unique(np.append(x[: len(x) - len(x) // 20], np.uint64(5))) for x in sets]
+    places = spark.createDataFrame([(i, len(x), jaccard.odd_sketch(x).tolist()) for i, x in enumerate(sets)], "node long, n long, sketch array<long>")
+    pairs = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if a < b]
+    got = {tuple(x) for x in jaccard.alike(spark.createDataFrame(pairs, "a long, b long"), places, 80).collect()}
+    for a, b in pairs:
+        shared = len(np.intersect1d(sets[a], sets[b]))
+        linked = 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared)
+        assert not linked or (a, b) in got
+    assert 0 < len(got) < len(pairs)
