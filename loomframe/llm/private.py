@@ -223,9 +223,12 @@ def redacted(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     found = find_private(df, text_col, id_col).filter((F.size("base") > 0) | (F.size("added") > 0))
     found = materialise(found.select(F.col("doc_id").alias("_lf_id"), F.col("key").alias("_lf_key"), F.array_sort(F.concat("base", "added")).alias("_lf_spans")).dropDuplicates(["_lf_id", "_lf_key"]), "private")
     same = F.col(id_col).eqNullSafe(F.col("_lf_id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_lf_key"))
-    joined = df.join(broadcast_if_small(found), same, "left")
-    text = F.when(F.col("_lf_spans").isNotNull(), redact(F.col(text_col).cast("string"), F.col("_lf_spans"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).select(*df.columns)
+    # spans are in texts with a base span only: where the join shuffles, the others don't move
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = df.withColumn("_lf_private", F.size(base_spans(text)) > 0)
+    joined = marked.filter("_lf_private").join(broadcast_if_small(found), same, "left")
+    new = F.when(F.col("_lf_spans").isNotNull(), redact(F.col(text_col).cast("string"), F.col("_lf_spans"))).otherwise(F.col(text_col))
+    return joined.withColumn(text_col, new).select(*df.columns).unionByName(marked.filter("NOT _lf_private").select(*df.columns))
 
 
 def op10_private(spark: SparkSession, sf_dir: str) -> DataFrame:
