@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomframe.functions.shared import cut
 from loomframe.model import cells, counts, genes, r6, read, runs, soft_labels, sql
 from loomframe.operators import filters, labels, qc
 from loomframe.plans.registry import query
@@ -16,6 +17,11 @@ def _qc(s, d):
     return qc.cell_metrics(counts(s, d), genes(s, d)).join(cells(s, d), "cell_id")
 
 
+def _measured(s, d):
+    """The cells' metrics, written once: medians by counting read them many times."""
+    return cut(_qc(s, d).select("cell_id", "platform", "sample", *METRICS))
+
+
 @query(sql("SELECT cell_id, n_genes, total, round(log1p_n_genes, 6) AS log1p_n_genes, round(log1p_total, 6) AS log1p_total, round(pct_mt, 6) AS pct_mt, round(pct_ribo, 6) AS pct_ribo FROM qc", "qc"))
 def qc_cell_metrics(s, d):
     return qc.cell_metrics(counts(s, d), genes(s, d)).select("cell_id", "n_genes", "total", *[r6(c).alias(c) for c in ("log1p_n_genes", "log1p_total", "pct_mt", "pct_ribo")])
@@ -46,12 +52,12 @@ mask AS (SELECT cell_id, sample, metric, value, (mad < 1e-8 OR (value > med - 3
 
 @query(sql("SELECT cell_id, bool_and(keep) AS keep FROM mask GROUP BY 1", "qc", "cells", more=_MAD_SQL))
 def mad_mask_filter(s, d):
-    return qc.mad_mask(_qc(s, d), METRICS)
+    return qc.mad_mask(_measured(s, d), METRICS)
 
 
 @query(sql("SELECT sample, CASE WHEN contains(sample, '1') THEN 'case' ELSE 'normal' END AS diagnosis, metric, n_before, n_after, round(n_after / n_before, 6) AS retained, round(med, 6) AS med, round(mad, 6) AS mad, passed, round(passed / n_before, 6) AS passed_fraction FROM (SELECT m.sample, m.metric, count(*) AS n_before, sum(m.keep::INT)::BIGINT AS passed, any_value(sm.med) AS med, median(abs(m.value - sm.med)) / 0.6745::DOUBLE AS mad FROM mask m JOIN sm USING (sample, metric) GROUP BY 1, 2) JOIN after USING (sample)", "qc", "cells", more=_MAD_SQL + ", sm AS (SELECT sample, metric, median(value) AS med FROM mask GROUP BY 1, 2), after AS (SELECT sample, sum(k::INT)::BIGINT AS n_after FROM (SELECT sample, cell_id, bool_and(keep) AS k FROM mask GROUP BY 1, 2) GROUP BY 1)"))
 def qc_sample_stats(s, d):
-    data = _qc(s, d)
+    data = _measured(s, d)
     long = qc.unpivot(data, ["cell_id", "platform", "sample"], METRICS)
     pooled = qc.robust_stats(long, ["platform", "metric"])
     masked = long.join(pooled, ["platform", "metric"]).withColumn("keep", qc.mad_keep(F.col("value"), F.col("med"), F.col("mad"))).drop("med", "mad")
