@@ -58,34 +58,153 @@ def principal_components(df: DataFrame, k: int = 50, vec: str = "vec", key: str
     return scores, loadings, variances
 
 
-def smoothed_variance(counts: DataFrame, span: float = 0.3, value: str = "count") -> DataFrame:
-    """(gene_id, mean, var, score): the variance of counts that are standardised by a curve of variance on mean and clipped.
+#: Genes of a block of the smoothed curve: windows see whole blocks by their moments and the blocks at their ends gene by gene.
+CURVE_BLOCK = 512
+#: Nodes of which a node of the next level holds the moments.
+CURVE_FAN = 8
+#: A weight of the curve's fit, by powers of the distance as a share of the window's largest.
+_TRICUBE = ((0, 1.0), (3, -3.0), (6, 3.0), (9, -1.0))
 
-    The curve is a local quadratic fit of log10 variance on log10 mean over the
-    table of genes, in one task. Scores are over all cells, zeros included.
+
+def _shifted(m, by):
+    """Moments sum(x^j) about one centre, as sum((x + by)^j): ``m`` (..., powers) and ``by`` (...)."""
+    import math
+
+    import numpy as np
+
+    powers = m.shape[-1]
+    steps = np.stack([np.asarray(by, m.dtype) ** j for j in range(powers)], -1)
+    return np.stack([sum(math.comb(k, j) * m[..., j] * steps[..., k - j] for j in range(k + 1)) for k in range(powers)], -1)
+
+
+def _merged(f) -> tuple:
+    """(centre, moments of x, moments with y) of all nodes of ``f`` (lo, hi, mx, my) as one, about their middle."""
+    import numpy as np
+
+    centre = (f["lo"].min() + f["hi"].max()) / 2
+    by = ((f["lo"] + f["hi"]) / 2 - centre).to_numpy()
+    return centre, *(_shifted(np.stack(f[c].to_numpy()).astype(np.longdouble), by).sum(0) for c in ("mx", "my"))
+
+
+def _fit_block(own: int, n: int, k: int, x, y, at, sides):
+    """Fitted values at the genes of block ``own``; ``x``, ``y``, ``at``: values and places of the blocks at hand; ``sides``: moments of all whole blocks left and right."""
+    import numpy as np
+
+    mine = np.flatnonzero(at // CURVE_BLOCK == own)
+    place, here = at[mine], x[mine]
+    low = np.minimum(np.maximum(0, place - k // 2), n - k)
+    far = np.maximum(1e-9, np.maximum(here - x[np.searchsorted(at, low)], x[np.searchsorted(at, low + k - 1)] - here))
+    inside = (at >= low[:, None]) & (at < low[:, None] + k)
+    u = (x - here[:, None]) / far[:, None]
+    near = np.minimum(np.abs(u), 1)
+    w = 1 - near * near * near
+    w = np.where(inside, w * w * w + 1e-9, 0.0)
+    a, b = [], []
+    for p in range(5):
+        a.append(w.sum(1))
+        if p < 3:
+            b.append(w @ y)
+        w *= u
+    for sign, (centre, mx, my) in sides:  # the whole blocks of a side, as one, about their middle
+        mx, my = (_shifted(np.broadcast_to(m / far[:, None].astype(np.longdouble) ** np.arange(len(m)), (len(here), len(m))), (centre - here) / far) for m in (mx, my))
+        for p in range(5):
+            a[p] = a[p] + sum(c * sign**q * mx[:, p + q] for q, c in _TRICUBE) + 1e-9 * mx[:, p]
+        for p in range(3):
+            b[p] = b[p] + sum(c * sign**q * my[:, p + q] for q, c in _TRICUBE) + 1e-9 * my[:, p]
+    normal = np.stack([np.stack([a[p + q] for q in range(3)], -1) for p in range(3)], -2).astype(float)
+    right = np.stack(b, -1).astype(float)
+    return mine, (np.linalg.pinv(normal, rcond=1e-14, hermitian=True) @ right[:, :, None])[:, 0, 0]
+
+
+def local_curve(points: DataFrame, span: float = 0.3, key: str = "gene_id") -> DataFrame:
+    """(key, fitted): a local quadratic fit of ``y`` on ``x`` at each of ``points`` (key, x, y), over the ``span`` of them that are next in order.
+
+    Points are in the order of x, then key; weights are tricube. The order is cut
+    in blocks. A task fits a block's points: it has the blocks at its windows' ends
+    as they are, and of the whole ones between them only the moments, from which
+    the weighted sums follow exactly, as a weight is a polynomial on either side of
+    a point. Moments are merged level by level, so a block needs few rows of them,
+    and work is in proportion to the points but for a logarithm.
     """
+    import numpy as np
     import pandas as pd
 
-    from loomframe.operators.matrix import cell_count, gene_moments
+    from loomframe.functions.shared import cut
+
+    kind = points.schema[key].dataType.simpleString()
+    # places from 0: of a range partition, and of the rows before it
+    laid = cut(points.select(key, "x", "y").repartitionByRange("x", key).sortWithinPartitions("x", key).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = sorted((r["p"], r["n"]) for r in laid.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    n = sum(c for _, c in counts)
+    if n == 0:
+        return points.limit(0).select(key, F.lit(0.0).alias("fitted"))
+    k, ahead, before = max(min(n, 4), int(span * n)), [], 0
+    for p, c in counts:
+        ahead += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        before += c
+    placed = laid.select(key, "x", "y", (F.element_at(F.create_map(*ahead), part) + F.col("_id").bitwiseAND((1 << 33) - 1)).alias("at")).withColumn("block", F.floor(F.col("at") / CURVE_BLOCK))
+    blocks = (n - 1) // CURVE_BLOCK + 1
+
+    def moments(f: pd.DataFrame) -> pd.DataFrame:
+        x = f["x"].to_numpy().astype(np.longdouble)
+        centre = float(f["x"].min() + f["x"].max()) / 2
+        m = [((x - centre) ** j).sum() for j in range(14)], [((x - centre) ** j * f["y"].to_numpy()).sum() for j in range(12)]
+        return pd.DataFrame({"i": [f["block"].iloc[0]], "lo": [f["x"].min()], "hi": [f["x"].max()], "mx": [[float(v) for v in m[0]]], "my": [[float(v) for v in m[1]]]})
+
+    def merged(f: pd.DataFrame) -> pd.DataFrame:
+        centre, *m = _merged(f)
+        return pd.DataFrame({"i": [f["i"].iloc[0] // CURVE_FAN], "lo": [f["lo"].min()], "hi": [f["hi"].max()], "mx": [[float(v) for v in m[0]]], "my": [[float(v) for v in m[1]]]})
+
+    shape, level, width = "i long, lo double, hi double, mx array<double>, my array<double>", 0, blocks
+    level_up = cut(placed.groupBy("block").applyInPandas(moments, shape))
+    nodes = level_up.withColumn("level", F.lit(0))
+    while width > CURVE_FAN:
+        level, width = level + 1, -(-width // CURVE_FAN)
+        level_up = cut(level_up.groupBy(F.floor(F.col("i") / CURVE_FAN)).applyInPandas(merged, shape))
+        nodes = nodes.unionByName(level_up.withColumn("level", F.lit(level)))
+
+    def fit(key_: tuple, rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        sides = [(sign, _merged(of)) for sign, of in ((-1, sums[sums["side"] < 0]), (1, sums[sums["side"] > 0])) if len(of)]
+        mine, fitted = _fit_block(int(key_[0]), n, k, *(rows[c].to_numpy() for c in ("x", "y", "at")), sides)
+        return pd.DataFrame({key: rows[key].to_numpy()[mine], "fitted": fitted})
+
+    @F.udf("struct<raw: array<long>, nodes: array<struct<side: int, level: int, i: long>>>")
+    def needed(own):
+        """The blocks that the fit of block ``own`` needs as they are, and the nodes of which it needs the moments."""
+        first, final = (min(max(0, i - k // 2), n - k) for i in (own * CURVE_BLOCK, min(n, (own + 1) * CURVE_BLOCK) - 1))
+        a, b, c, d = first // CURVE_BLOCK, final // CURVE_BLOCK, (first + k - 1) // CURVE_BLOCK, (final + k - 1) // CURVE_BLOCK
+        raw, out = {own, *range(a, b + 1), *range(c, d + 1)}, []
+        for side, low, end in ((-1, b + 1, min(own, c)), (1, max(own, b) + 1, c)):
+            while low < end:
+                at = 0
+                while at < level and low % CURVE_FAN ** (at + 1) == 0 and low + CURVE_FAN ** (at + 1) <= end:
+                    at += 1
+                out.append((side, at, low // CURVE_FAN**at))
+                low += CURVE_FAN**at
+        return sorted(raw), out
+
+    need = cut(points.sparkSession.range(blocks).select(F.col("id").alias("own")).withColumn("w", needed("own")))
+    raw = placed.join(need.select("own", F.explode("w.raw").alias("block")), "block").select("own", key, "x", "y", "at")
+    sums = need.select(F.col("own").alias("to"), F.explode("w.nodes").alias("s")).select("to", "s.*").join(nodes, ["level", "i"]).select("to", "side", "lo", "hi", "mx", "my")
+    return raw.groupBy("own").cogroup(sums.groupBy("to")).applyInPandas(fit, f"{key} {kind}, fitted double")
 
-    m = gene_moments(counts, value).filter("var > 0 AND mean > 0")
 
-    def curve(f: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def smoothed_variance(counts: DataFrame, span: float = 0.3, value: str = "count") -> DataFrame:
+    """(gene_id, mean, var, score): the variance of counts that are standardised by a curve of variance on mean and clipped.
 
-        x, y = np.log10(f["mean"].to_numpy()), np.log10(f["var"].to_numpy())
-        order = np.argsort(x, kind="stable")
-        xs, ys, out = x[order], y[order], np.empty(len(x))
-        k = max(min(len(x), 4), int(span * len(x)))
-        for i in range(len(xs)):
-            lo = min(max(0, i - k // 2), len(xs) - k)
-            w_x, w_y = xs[lo : lo + k] - xs[i], ys[lo : lo + k]
-            far = max(1e-9, np.abs(w_x).max())
-            w = np.sqrt((1 - (np.abs(w_x) / far).clip(0, 1) ** 3) ** 3 + 1e-9)
-            out[order[i]] = np.linalg.lstsq(np.stack([np.ones(k), w_x, w_x * w_x], 1) * w[:, None], w_y * w, rcond=None)[0][0]
-        return f.assign(expected=10**out)
+    The curve is a local quadratic fit of log10 variance on log10 mean over the
+    genes, equal means in the order of their keys. Scores are over all cells,
+    zeros included.
+    """
+    from loomframe.functions.shared import cut
+    from loomframe.operators.matrix import cell_count, gene_moments
 
-    fitted = m.groupBy(F.lit(1).alias("_one")).applyInPandas(lambda f: curve(f[["gene_id", "mean", "var"]]), f"gene_id {counts.schema['gene_id'].dataType.simpleString()}, mean double, var double, expected double")
+    counts = cut(counts.select("cell_id", "gene_id", value))  # read for the moments, the cells and the scores
+    m = cut(gene_moments(counts, value).filter("var > 0 AND mean > 0"))
+    curve = local_curve(m.select("gene_id", F.log10("mean").alias("x"), F.log10("var").alias("y")), span)
+    fitted = m.join(curve, "gene_id").select("gene_id", "mean", "var", F.pow(F.lit(10.0), F.col("fitted")).alias("expected"))
     n = cell_count(counts)
     sd = F.sqrt("expected")
     z = F.least((F.col(value) - F.col("mean")) / sd, F.sqrt("n"))
