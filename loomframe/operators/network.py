@@ -94,17 +94,95 @@ def permuted_groups(cells: DataFrame, group: str, rounds: int, key: str = "cell_
     return placed.select("round", key, F.element_at(names, F.size(F.filter("limits", lambda x: x < F.col("u"))) + 1).alias(group))
 
 
+#: Different pairs of gene and value that a task counts before it tells.
+MOST_COUNTED = 20_000
+
+
+def permuted_trimeans(long: DataFrame, cells: DataFrame, group: str, rounds: int, value: str = "x") -> DataFrame:
+    """(round, group, gene_id, trimean): as ``matrix.trimean`` in the groups of each round of ``permuted_groups``.
+
+    Entries aren't repeated for each round. A cell's groups in all rounds are one
+    array, and tasks count the cells of each gene and value by round and group;
+    the triMeans are of these counts. So what is shuffled grows with the entries,
+    or with the different values, where these are fewer.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from loomframe.functions.shared import cut
+    from loomframe.operators.orderstats import between, places
+
+    sizes = sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # a row for each group
+    kind, width = cells.schema[group].dataType, max(1, len(sizes))
+    names = F.array(*[F.lit(g).cast(kind) for g, _ in sizes] or [F.lit(None).cast(kind)])
+    drawn = permuted_groups(cells, group, rounds).select("cell_id", "round", (F.array_position(names, F.col(group)) - 1).cast("int").alias("g"))
+    drawn = drawn.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("round", "g"))), lambda s: s["g"]).alias("gs"))  # ``rounds`` of them
+    entries = long.filter(F.col(value) > 0).select("cell_id", "gene_id", F.col(value).cast("double").alias("x")).join(drawn, "cell_id").select("gene_id", "x", "gs")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, shift = {}, np.arange(rounds) * width
+
+        def told() -> pa.RecordBatch:
+            keys = list(kept)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], gene), pa.array([k[1] for k in keys], pa.float64()), pa.array([kept[k] for k in keys], pa.list_(pa.int64()))], ["gene_id", "x", "n"])
+
+        gene = None
+        for batch in batches:
+            gene = batch.column(0).type
+            ids, at = np.unique(batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False), return_inverse=True)
+            names_ = batch.column(0).dictionary_encode().dictionary.to_pylist()
+            values, which = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
+            pair, row = np.unique(at * len(values) + which, return_inverse=True)
+            gs = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), rounds)
+            cells_ = width * rounds
+            sums = np.bincount((row[:, None] * cells_ + shift + gs).ravel(), minlength=len(pair) * cells_).reshape(len(pair), cells_)
+            for p, n in zip(pair, sums, strict=True):
+                k = (names_[ids[p // len(values)]], float(values[p % len(values)]))
+                if k in kept:
+                    kept[k] += n
+                else:
+                    kept[k] = n.copy()
+            if len(kept) > MOST_COUNTED:
+                yield told()
+                kept.clear()
+        if kept:
+            yield told()
+
+    part = entries.mapInArrow(count, f"gene_id {long.schema['gene_id'].dataType.simpleString()}, x double, n array<long>")
+    flat = part.select("gene_id", "x", F.posexplode("n").alias("at", "n")).filter("n > 0").groupBy("gene_id", "x", "at").agg(F.sum("n").alias("n"))
+    counted = cut(flat.select("gene_id", "at", "x", "n"))
+    keys = ["gene_id", "at"]
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("x")))
+    whole = upto.withColumn("nnz", F.sum("n").over(Window.partitionBy(*keys)))
+    size = F.element_at(F.array(*[F.lit(n).cast("long") for _, n in sizes] or [F.lit(0).cast("long")]), (F.col("at") % width + 1).cast("int"))
+    whole = whole.withColumn("size", size).withColumn("zeros", F.col("size") - F.col("nnz"))
+
+    def at(rank):  # the value at a rank from 0 of all cells, zeros first; of the one row that holds it
+        place = rank - F.col("zeros")
+        return F.coalesce(F.max(F.when((place < F.col("upto")) & (place >= F.col("upto") - F.col("n")), F.col("x"))), F.lit(0.0))
+
+    ranks = {q: places(F.col("size"), q) for q in (0.25, 0.5, 0.75)}
+    per = whole.groupBy(*keys).agg(F.first("size").alias("size"), *[at(r).alias(f"v{k}{side}") for k, q in enumerate(ranks) for side, r in enumerate(ranks[q][:2])])
+    q1, q2, q3 = (between(F.col(f"v{k}0"), F.col(f"v{k}1"), places(F.col("size"), q)[2]) for k, q in enumerate(ranks))
+    return per.select(((F.col("at") / width).cast("int") + 1).alias("round"), F.element_at(names, (F.col("at") % width + 1).cast("int")).alias(group), "gene_id", ((q1 + 2 * q2 + q3) / 4).alias("trimean"))
+
+
 def significance(long: DataFrame, cells: DataFrame, pairs: DataFrame, group: str, rounds: int = 100, kh: float = 0.5, value: str = "x") -> DataFrame:
     """The interactions of ``interaction_probability`` on triMeans, with ``p``: the share of permutations of the cells' groups that reach as much.
 
     All rounds are made in one pass over the entries of the pairs' genes.
     """
+    from loomframe.functions.shared import cut
     from loomframe.operators.matrix import trimean
 
     genes = pairs.select(F.explode(F.array("ligand", "receptor")).alias("gene_id")).distinct()
-    long = long.join(genes, "gene_id")
+    long = cut(long.join(genes, "gene_id").select("cell_id", "gene_id", value))
+    cells = cut(cells.select("cell_id", group))
     seen = interaction_probability(trimean(long, cells.select("cell_id", group), group, value), pairs, group, kh)
-    means = trimean(long, permuted_groups(cells.select("cell_id", group), group, rounds), group, value, by=["round"])
+    means = permuted_trimeans(long, cells.select("cell_id", group), group, rounds, value)
     l = means.select("round", F.col(group).alias("source"), F.col("gene_id").alias("ligand"), F.col("trimean").alias("l"))
     r = means.select("round", F.col(group).alias("target"), F.col("gene_id").alias("receptor"), F.col("trimean").alias("r"))
     lr = F.col("l") * F.col("r")
