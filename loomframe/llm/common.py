@@ -175,17 +175,25 @@ def release_memory(always: bool = False) -> None:
 
 
 class Memo(dict):
-    """Results of ``make`` by key; starts anew once they have taken about ``most`` bytes."""
+    """Results of ``make`` by key, in about ``most`` bytes.
+
+    Once a half is full, it becomes the older one, and what the older one had
+    goes, unless it has been asked for again.
+    """
 
     def __init__(self, make: Callable, most: int, cost: Callable[[object, object], int]):
         super().__init__()
-        self.make, self.most, self.cost, self.held = make, most, cost, 0
+        self.make, self.most, self.cost, self.held, self.older = make, most, cost, 0, {}
 
     def __missing__(self, key):
-        if self.held >= self.most:
+        if self.held >= self.most // 2:
+            self.older = self.copy()
             self.clear()
             self.held = 0
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         self.held += self.cost(key, value)
         return value
 

@@ -4,8 +4,8 @@ Encoding is exact and doesn't run the merge queue over the text. A sequence of
 tokens is the model's encoding if, and only if, each two neighbours merge back
 to just themselves: a merge over a boundary would have been made in the pair
 already. So the encoder takes the longest Aho-Corasick match at each position,
-accepts it if it is compatible with the token before (the pair is merged again,
-with a memo), else tries the next shorter prefix, and steps back when none is
+accepts it if it is compatible with the token before (told by the two trees of
+merges along the boundary, with a memo), else tries the next shorter prefix, and steps back when none is
 left. A bitfield of failed positions keeps that linear.
 
 Nothing merges over two characters that stand together in no piece. White space
@@ -25,6 +25,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ ships(__name__)
 
 SPACE = "▁"
 #: Bytes after which a worker's memo of words (a half), parts or pairs (a quarter each) starts anew.
-MEMO_BYTES = 32_000_000
+MEMO_BYTES = 96_000_000
 
 
 @dataclass(frozen=True)
@@ -91,6 +92,9 @@ class Encoder:
         self.find.make_automaton()
         self.together = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.size = {i: len(p) for p, i in self.ids.items()}
+        self.tree = {}
+        place = {x: k for k, x in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: place[x] for p, x in self.score.items()}  # equal scores, equal ranks
         # a dict's slot and its key take about 100 bytes, each id of a tuple about 8
         listed = lambda key, value: 200 + 2 * len(key) + 8 * len(value)
         self.shorter = Memo(self._shorter, 1 << 62, lambda key, value: 0)  # at most one entry for each piece
@@ -118,15 +122,71 @@ class Encoder:
     def _compatible(self, pair: int) -> bool:
         """Of two tokens as ``(first + 1) << 34 | second``; without a first one, whether the second is made by merges at all."""
         first, second = pair >> 34, pair & (1 << 34) - 1
-        want = [self.text[first - 1], self.text[second]] if first else [self.text[second]]
-        return self.merged("".join(want)) == want
+        b = self.text[second]
+        if not first:
+            return self.merged(b) == [b]
+        a = self.text[first - 1]
+        stays = self._apart(a, b)
+        return self.merged(a + b) == [a, b] if stays is None else stays
+
+    def _node(self, piece: str) -> tuple[int, str, str] | None:
+        """The rank of a piece and what its last merge joins; -1 for a character, None if it isn't made by merges of ever later ranks."""
+        if piece not in self.tree:
+            node = None
+            if len(piece) == 1:
+                node = (-1, piece, piece)
+            elif (last := self._last(piece)) is not None:
+                parts = [self._node(p) for p in last]
+                if None not in parts and all(p[0] < self.rank[piece] for p in parts):
+                    node = (self.rank[piece], *last)
+            self.tree[piece] = node
+        return self.tree[piece]
+
+    def _last(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge joins to ``piece``, if merges make it."""
+        parts, score = list(piece), self.score
+        while len(parts) > 2:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                s = score.get(parts[k] + parts[k + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, k
+            if at < 0:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return (parts[0], parts[1]) if piece in score else None
+
+    def _apart(self, a: str, b: str) -> bool | None:
+        """Whether no merge crosses the boundary of two pieces; None if their trees don't tell.
+
+        From the end back, the later of the two symbols at the boundary is taken
+        apart; they would have been joined if that has a better rank than what
+        took them in. Of equal ranks the left one is first.
+        """
+        tree, rank = self.tree, self.rank
+        x, y = (tree[a] if a in tree else self._node(a)), (tree[b] if b in tree else self._node(b))
+        if x is None or y is None:
+            return None
+        limit = len(rank)
+        while True:
+            r = rank.get(a + b)
+            if r is not None and r < limit:
+                return False
+            if x[0] > y[0]:
+                limit, a = x[0], x[2]
+                x = tree[a]
+            elif y[0] >= 0:
+                limit, b = y[0] + 1, y[1]
+                y = tree[b]
+            else:
+                return True
 
     def run(self, text: str) -> list[int]:
         """Encodes characters that all have pieces."""
         n, tokens, at, last = len(text), [], 0, 0
         longest: list = [None] * n
-        for end, match in self.find.iter(text):
-            longest[end - match[0]] = match[1]  # later ends are longer matches
+        for end, (back, match) in self.find.iter(text):
+            longest[end - back] = match  # later ends are longer matches
         failed, size, compatible, shorter = bytearray(n + 1), self.size, self.compatible, self.shorter
         token = longest[0]
         while at < n:
@@ -148,8 +208,12 @@ class Encoder:
         return tokens
 
     def _part(self, part: str) -> tuple[int, ...]:
-        if part not in self.ids and len(part) == 1:
-            return tuple(self._bytes(part))
+        whole = self.ids.get(part)
+        if whole is None:
+            if len(part) == 1:
+                return tuple(self._bytes(part))
+        elif whole < 2**32 and self.compatible[whole]:
+            return (whole,)  # the longest match of all
         out: list[int] = []
         for t in self.run(part):
             out += [t] if t < 2**32 else self._bytes(chr(t - 2**32))
@@ -157,11 +221,17 @@ class Encoder:
 
     def _word(self, word: str) -> tuple[int, ...]:
         word, together = SPACE + word, self.together
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in together]
+        whole = self.ids.get(word)
+        if whole is not None and whole < 2**32 and self.compatible[whole]:
+            return (whole,)
+        cuts = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in together]
         if not cuts:
             return self._part(word)
-        parts = map(word.__getitem__, map(slice, [0, *cuts], [*cuts, len(word)]))
-        return tuple(chain.from_iterable(self.parts[p] if len(p) <= 64 else self._part(p) for p in parts))
+        out, at = [], 0
+        for k in (*cuts, len(word)):
+            part, at = word[at:k], k
+            out += self.parts[part] if len(part) <= 64 else self._part(part)
+        return tuple(out)
 
     def _bytes(self, c: str) -> list[int]:
         return [self.model.bytes_at + b for b in c.encode()]
