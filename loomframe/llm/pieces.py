@@ -40,6 +40,8 @@ ships(__name__)
 SPACE = "▁"
 #: Bytes after which a worker's memo of words (a half), parts or pairs (a quarter each) starts anew.
 MEMO_BYTES = 96_000_000
+#: The same for ``op2_pieces``, whose executors hold nothing else: rare words are most of the work, and fewer are encoded again.
+QUERY_MEMO_BYTES = 400_000_000
 
 
 @dataclass(frozen=True)
@@ -76,9 +78,10 @@ def read_model(path: str) -> PieceTable:
 class Encoder:
     """Text to ids; ids of ``2 ** 32 + code point`` stand for characters without a piece."""
 
-    def __init__(self, model: PieceTable):
+    def __init__(self, model: PieceTable, memo_bytes: int | None = None):
         import ahocorasick
 
+        memo_bytes = memo_bytes or MEMO_BYTES
         self.model, lone = model, 2**32
         plain = [i for i in range(len(model.pieces)) if i not in model.special and not model.bytes_at <= i < model.bytes_at + 256]
         self.ids = {model.pieces[i]: i for i in plain}
@@ -98,9 +101,9 @@ class Encoder:
         # a dict's slot and its key take about 100 bytes, each id of a tuple about 8
         listed = lambda key, value: 200 + 2 * len(key) + 8 * len(value)
         self.shorter = Memo(self._shorter, 1 << 62, lambda key, value: 0)  # at most one entry for each piece
-        self.compatible = Memo(self._compatible, MEMO_BYTES // 4, lambda key, value: 120)
-        self.words = Memo(self._word, MEMO_BYTES // 2, listed)
-        self.parts = Memo(self._part, MEMO_BYTES // 4, listed)
+        self.compatible = Memo(self._compatible, memo_bytes // 4, lambda key, value: 120)
+        self.words = Memo(self._word, memo_bytes // 2, listed)
+        self.parts = Memo(self._part, memo_bytes // 4, listed)
 
     def _shorter(self, token: int) -> int | None:
         p = self.text[token]
@@ -331,19 +334,19 @@ def decode(df: DataFrame, model: PieceTable, ids_col: str = "ids", text_col: str
     return _per_text(df, ids_col, "array<int>", keep, {text_col: T.StringType()}, model, "decoder", Decoder, run)
 
 
-def round_trip(df: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """As ``encode`` and then ``decode`` of its ids, in one pass of one Python worker."""
+def round_trip(df: DataFrame, model: PieceTable, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", keep: list[str] | None = None, memo_bytes: int | None = None) -> DataFrame:
+    """As ``encode`` and then ``decode`` of its ids, in one pass of one Python worker, whose memos hold ``memo_bytes``."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in (ids_col, decoded_col)]
 
     def run(tool: tuple[Encoder, Decoder], texts: pa.Array) -> list[pa.Array]:
         ids, listed = _ids(tool[0], texts)
         return [listed, pa.array([tool[1].decode(x.tolist()) for x in ids], pa.string())]
 
-    return _per_text(df, text_col, "string", keep, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()}, model, "both", lambda m: (Encoder(m), Decoder(m)), run)
+    return _per_text(df, text_col, "string", keep, {ids_col: T.ArrayType(T.IntegerType()), decoded_col: T.StringType()}, model, f"both-{memo_bytes}", lambda m: (Encoder(m, memo_bytes), Decoder(m)), run)
 
 
-def encoded_digests(docs: DataFrame, model: PieceTable) -> DataFrame:
-    both = round_trip(docs.select("doc_id", "text"), model, keep=["doc_id"])
+def encoded_digests(docs: DataFrame, model: PieceTable, memo_bytes: int | None = None) -> DataFrame:
+    both = round_trip(docs.select("doc_id", "text"), model, keep=["doc_id"], memo_bytes=memo_bytes)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -351,4 +354,4 @@ def op2_pieces(spark: SparkSession, sf_dir: str, model_path: str | None = None)
     """Every document encoded and decoded with ``piece_bpe_32k.model``."""
     import public_tokenizers
 
-    return encoded_digests(table(spark, sf_dir, "documents"), read_model(model_path or public_tokenizers.path("piece_bpe_32k.model")))
+    return encoded_digests(table(spark, sf_dir, "documents"), read_model(model_path or public_tokenizers.path("piece_bpe_32k.model")), QUERY_MEMO_BYTES)
