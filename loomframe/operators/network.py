@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.functions.shared import unit
 from loomframe.functions.shipping import ships
 
 ships(__name__)
@@ -65,45 +64,131 @@ def over_expressed_pairs(pairs: DataFrame, markers: DataFrame) -> DataFrame:
     return pairs.join(either.select("ligand", "receptor").distinct(), ["ligand", "receptor"], "left_semi")
 
 
-def permuted_groups(cells: DataFrame, group: str, rounds: int, key: str = "cell_id") -> DataFrame:
-    """(round, key, group): in each of ``rounds`` rounds, the cells' groups exchanged among all cells, so that every group keeps its size.
+#: Bins that a round's draws are counted in; what shares a bin with a group's end is sorted.
+DRAW_BITS, BIN_BITS = 48, 12
+
+
+def permuted_places(cells: DataFrame, groups: list[tuple], rounds: int, key: str = "cell_id") -> DataFrame:
+    """(key, gs): the places in ``groups`` (name, size) of each cell's groups in ``rounds`` rounds, a byte (or four, if there are more than 256 groups) for each.
 
-    In a round, cells are in the order of a digest of cell and round, and the
-    first go to the first group, and so on. The order is never made: a group ends
-    at an exact order statistic of the round's digests, all of which are found
-    together, and a cell's digest tells its group. (Two digests of 48 bits that are
-    equal just there would go to one group.)
+    In a round, cells are in the order of a digest of cell and round (that of
+    ``unit``), and the first go to the first group, and so on. The order is never
+    made: a group ends at an exact order statistic of the round's digests, all of
+    which are found together, and a cell's digest tells its group. Cells aren't
+    repeated for each round: a cell's digests are one value.
+    (Two digests of 48 bits that are equal just there would go to one group.)
     """
-    from loomframe.operators.orderstats import kth
-
-    spark = cells.sparkSession
-    sizes = sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # a row for each group
-    ends, upto = [], 0
-    for _, n in sizes[:-1]:
-        upto += n
-        ends.append(upto - 1)
-    drawn = cells.select(key, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("u", unit(key, "round"))
-    if not sizes:
-        return drawn.join(cells, key).select("round", key, group)
-    names = F.array(*[F.lit(g) for g, _ in sizes])
-    if not ends:
-        return drawn.select("round", key, F.element_at(names, 1).alias(group))
-    wanted = spark.range(1, rounds + 1).select(F.col("id").cast("int").alias("round"), F.explode(F.array(*map(F.lit, ends))).alias("rank"))
-    limits = kth(drawn, ["round"], "u", wanted).groupBy("round").agg(F.array_sort(F.collect_list("x")).alias("limits"))  # one for each group
-    placed = drawn.join(limits, "round")
-    return placed.select("round", key, F.element_at(names, F.size(F.filter("limits", lambda x: x < F.col("u"))) + 1).alias(group))
-
-
-#: Different pairs of gene and value that a task counts before it tells.
-MOST_COUNTED = 20_000
+    from collections.abc import Iterator
+    from itertools import accumulate
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import Window
+
+    from loomframe.functions.shared import cut, uncut
+
+    spark, kind = cells.sparkSession, cells.schema[key].dataType.simpleString()
+    size, shift = DRAW_BITS // 8, DRAW_BITS - BIN_BITS
+    ends = [n - 1 for n in accumulate(n for _, n in groups)][:-1]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import md5
+
+        names = [b"%d" % k for k in range(1, rounds + 1)]
+        for batch in batches:
+            starts = [b"" if x is None else x.encode() + b":" for x in batch.column(1).to_pylist()]
+            drawn = [b"".join([md5(s + k).digest()[:size] for k in names]) for s in starts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(drawn, pa.binary())], ["k", "us"])
+
+    def numbers(column: pa.Array) -> np.ndarray:
+        wide = np.zeros((len(column) * rounds, 8), np.uint8)
+        wide[:, 8 - size :] = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
+        return wide.view(">u8").astype(np.int64).reshape(len(column), rounds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(rounds << BIN_BITS, np.int64)
+        for batch in batches:
+            n += np.bincount(((np.arange(rounds) << BIN_BITS) + (numbers(batch.column(0)) >> shift)).ravel(), minlength=len(n))
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array((some >> BIN_BITS).astype(np.int32)), pa.array((some & ((1 << BIN_BITS) - 1)).astype(np.int32)), pa.array(n[some])], ["round", "bin", "n"])
+
+    # the order of rows is of no use to what follows
+    draws = cut(cells.select(F.col(key).alias("k"), F.col(key).cast("string").alias("t")).mapInArrow(draw, f"k {kind}, us binary"))
+    limits = np.zeros((rounds, len(ends)), np.int64)
+    if ends:
+        per = Window.partitionBy("round")
+        bins = draws.select("us").mapInArrow(count, "round int, bin int, n long").groupBy("round", "bin").agg(F.sum("n").alias("n"))
+        bins = bins.withColumn("upto", F.sum("n").over(per.orderBy("bin")))
+        met = bins.withColumn("rank", F.explode(F.array(*map(F.lit, ends)))).filter((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        met = cut(met.select("round", "bin", F.col("rank").cast("long").alias("rank"), (F.col("rank") - F.col("upto") + F.col("n")).alias("left")))
+        wanted = np.zeros(rounds << BIN_BITS, bool)
+        wanted[[(r["round"] << BIN_BITS) + r["bin"] for r in met.select("round", "bin").collect()]] = True  # one for each end and round
+
+        def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                u = numbers(batch.column(0))
+                row, at = np.nonzero(wanted[(np.arange(rounds) << BIN_BITS) + (u >> shift)])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array((u[row, at] >> shift).astype(np.int32)), pa.array(u[row, at])], ["round", "bin", "u"])
+
+        near = draws.select("us").mapInArrow(inside, "round int, bin int, u long").groupBy("round", "bin", "u").agg(F.count("*").alias("m"))
+        near = near.withColumn("upto", F.sum("m").over(Window.partitionBy("round", "bin").orderBy("u")))
+        found = near.join(met, ["round", "bin"]).filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("m")))
+        at = {n: k for k, n in enumerate(ends)}
+        for r in found.select("round", "rank", "u").collect():  # one for each end and round
+            limits[r["round"], at[r["rank"]]] = r["u"]
+        uncut(met)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = numbers(batch.column(1))
+            gs = np.zeros(u.shape, np.uint8 if len(groups) <= 256 else np.int32)
+            for k in range(len(ends)):
+                gs += u > limits[:, k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g.tobytes() for g in gs], pa.binary())], [key, "gs"])
+
+    out = cut(draws.mapInArrow(place, f"`{key}` {kind}, gs binary"))
+    uncut(draws)
+    return out
+
+
+def _groups(cells: DataFrame, group: str) -> list[tuple]:
+    """(name, number of cells) of the groups, in order."""
+    return sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # a row for each group
+
+
+def permuted_groups(cells: DataFrame, group: str, rounds: int, key: str = "cell_id") -> DataFrame:
+    """(round, key, group): in each of ``rounds`` rounds, the cells' groups exchanged among all cells, so that every group keeps its size; by ``permuted_places``."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    groups, kinds = _groups(cells, group), {c: cells.schema[c].dataType for c in (key, group)}
+    if not groups:
+        return cells.select(F.lit(1).alias("round"), key, group).limit(0)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, len(batch), 1000):
+                part = batch.slice(low, 1000)
+                gs = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8 if len(groups) <= 256 else np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(1, rounds + 1, dtype=np.int32), len(part))), part.column(0).take(pa.array(np.repeat(np.arange(len(part)), rounds))), pa.array(gs.astype(np.int32) + 1)], ["round", key, "g"])
+
+    flat = permuted_places(cells, groups, rounds, key).mapInArrow(each, f"round int, `{key}` {kinds[key].simpleString()}, g int")
+    return flat.select("round", key, F.element_at(F.array(*[F.lit(g).cast(kinds[group]) for g, _ in groups]), F.col("g")).alias(group))
+
+
+#: Different pairs of gene and value that a task counts before it tells; tasks that count.
+MOST_COUNTED, COUNTING = 20_000, 16
 
 
 def permuted_trimeans(long: DataFrame, cells: DataFrame, group: str, rounds: int, value: str = "x") -> DataFrame:
     """(round, group, gene_id, trimean): as ``matrix.trimean`` in the groups of each round of ``permuted_groups``.
 
     Entries aren't repeated for each round. A cell's groups in all rounds are one
-    array, and tasks count the cells of each gene and value by round and group;
-    the triMeans are of these counts. So what is shuffled grows with the entries,
+    value, and tasks count the cells of each gene and value by round and group;
+    the triMeans are of these counts. There are ``COUNTING`` tasks at most, and a
+    gene's value is told once by each, so what is shuffled grows with the entries
     or with the different values, where these are fewer.
     """
     from collections.abc import Iterator
@@ -115,44 +200,50 @@ def permuted_trimeans(long: DataFrame, cells: DataFrame, group: str, rounds: int
     from loomframe.functions.shared import cut
     from loomframe.operators.orderstats import between, places
 
-    sizes = sorted((r[group], r["n"]) for r in cells.groupBy(group).agg(F.count("*").alias("n")).collect())  # a row for each group
+    sizes = _groups(cells, group)
     kind, width = cells.schema[group].dataType, max(1, len(sizes))
     names = F.array(*[F.lit(g).cast(kind) for g, _ in sizes] or [F.lit(None).cast(kind)])
-    drawn = permuted_groups(cells, group, rounds).select("cell_id", "round", (F.array_position(names, F.col(group)) - 1).cast("int").alias("g"))
-    drawn = drawn.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("round", "g"))), lambda s: s["g"]).alias("gs"))  # ``rounds`` of them
-    entries = long.filter(F.col(value) > 0).select("cell_id", "gene_id", F.col(value).cast("double").alias("x")).join(drawn, "cell_id").select("gene_id", "x", "gs")
+    drawn = permuted_places(cells, sizes, rounds)
+    # sorted by cell on both sides: a row of ``drawn`` is some hundred bytes, more than its file tells
+    entries = long.filter(F.col(value) > 0).select("cell_id", "gene_id", F.col(value).cast("double").alias("x")).join(drawn.hint("merge"), "cell_id").select("gene_id", "x", "gs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, shift = {}, np.arange(rounds) * width
-
-        def told() -> pa.RecordBatch:
-            keys = list(kept)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], gene), pa.array([k[1] for k in keys], pa.float64()), pa.array([kept[k] for k in keys], pa.list_(pa.int64()))], ["gene_id", "x", "n"])
+        every, places_ = width * rounds, {}
+        shift, held = np.arange(rounds) * width, np.zeros((256, every), np.int32)
+
+        def told() -> Iterator[pa.RecordBatch]:
+            keys = list(places_)
+            for low in range(0, len(keys), 500):
+                part = held[low : min(low + 500, len(keys))]
+                row, at = np.nonzero(part)
+                ends = pa.array(np.searchsorted(row, np.arange(len(part) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (at.astype(np.int32), part[row, at])]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys[low : low + 500]], gene), pa.array([k[1] for k in keys[low : low + 500]], pa.float64()), *lists], ["gene_id", "x", "at", "n"])
 
         gene = None
-        for batch in batches:
-            gene = batch.column(0).type
-            ids, at = np.unique(batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False), return_inverse=True)
-            names_ = batch.column(0).dictionary_encode().dictionary.to_pylist()
-            values, which = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
-            pair, row = np.unique(at * len(values) + which, return_inverse=True)
-            gs = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), rounds)
-            cells_ = width * rounds
-            sums = np.bincount((row[:, None] * cells_ + shift + gs).ravel(), minlength=len(pair) * cells_).reshape(len(pair), cells_)
-            for p, n in zip(pair, sums, strict=True):
-                k = (names_[ids[p // len(values)]], float(values[p % len(values)]))
-                if k in kept:
-                    kept[k] += n
-                else:
-                    kept[k] = n.copy()
-            if len(kept) > MOST_COUNTED:
-                yield told()
-                kept.clear()
-        if kept:
-            yield told()
-
-    part = entries.mapInArrow(count, f"gene_id {long.schema['gene_id'].dataType.simpleString()}, x double, n array<long>")
-    flat = part.select("gene_id", "x", F.posexplode("n").alias("at", "n")).filter("n > 0").groupBy("gene_id", "x", "at").agg(F.sum("n").alias("n"))
+        for whole in batches:
+            for start in range(0, len(whole), 10_000):
+                batch = whole.slice(start, 10_000)
+                gene, coded = batch.column(0).type, batch.column(0).dictionary_encode()
+                names_ = coded.dictionary.to_pylist() + [None]
+                at = coded.indices.fill_null(len(names_) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                values, which = np.unique(batch.column(1).to_numpy(zero_copy_only=False), return_inverse=True)
+                pair, row = np.unique(at * len(values) + which, return_inverse=True)
+                values, keys = values.tolist(), np.divmod(pair, len(values))
+                own = np.array([places_.setdefault((names_[g], values[v]), len(places_)) for g, v in zip(*map(np.ndarray.tolist, keys), strict=True)])
+                while len(places_) > len(held):
+                    held = np.concatenate([held, np.zeros_like(held)])
+                gs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8 if width <= 256 else np.int32).reshape(len(batch), rounds)
+                np.add.at(held.reshape(-1), (own[row][:, None] * every + shift + gs).ravel(), np.int32(1))
+                if len(places_) > MOST_COUNTED:
+                    yield from told()
+                    places_.clear()
+                    held[:] = 0
+        yield from told()
+
+    part = entries.coalesce(COUNTING).mapInArrow(count, f"gene_id {long.schema['gene_id'].dataType.simpleString()}, x double, at array<int>, n array<int>")
+    # all that is told of a gene's value meets before it is taken apart
+    flat = part.repartition("gene_id", "x").select("gene_id", "x", F.inline(F.arrays_zip("at", F.col("n").cast("array<long>").alias("n")))).groupBy("gene_id", "x", "at").agg(F.sum("n").alias("n"))
     counted = cut(flat.select("gene_id", "at", "x", "n"))
     keys = ["gene_id", "at"]
     upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("x")))

@@ -165,8 +165,8 @@ om AS (SELECT gene_id, cluster, ((n - coalesce(pos, 0)) * (nn - nnz + 1) / 2 + c
 
 def _folded(s, d):
     """Counts of 40 genes, the cells' clusters and the pairs of ligand and receptor."""
-    folded = counts(s, d).groupBy("cell_id", (F.col("gene_id") % 40 + 1).alias("gene_id")).agg(F.sum("count").alias("x"))
-    groups = cells(s, d).join(counts(s, d).select("cell_id").distinct(), "cell_id", "left_semi").select("cell_id", "cluster")
+    folded = cut(counts(s, d).groupBy("cell_id", (F.col("gene_id") % 40 + 1).alias("gene_id")).agg(F.sum("count").alias("x")))
+    groups = cells(s, d).join(folded.select("cell_id").distinct(), "cell_id", "left_semi").select("cell_id", "cluster")
     i = F.col("id")
     pairs = s.range(1, 31).select(i.alias("ligand"), (i % 40 + 1).alias("receptor"), F.concat(F.lit("path"), (i % 4).cast("string")).alias("pathway"))
     return folded, groups, pairs

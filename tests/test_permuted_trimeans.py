@@ -31,3 +31,25 @@ def test_entries_are_not_repeated_for_each_round(spark, monkeypatch):
     monkeypatch.setattr(matrix, "trimean", lambda *a, **k: asked.append(k.get("by")) or plain(*a, **k))
     assert network.significance(long, cells, pairs, "g", 5).count() >= 0
     assert asked == [None]
+
+
+def test_no_row_for_each_cell_and_round_and_no_broadcast_of_groups(spark, monkeypatch):
+    """Groups of many cells take little in their file and much in a broadcast, so entries meet them sorted by cell."""
+    from loomframe.functions import shared
+    from loomframe.operators import orderstats
+
+    plans, cut = [], shared.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    def refused(*_):
+        raise AssertionError("digests became rows")
+
+    monkeypatch.setattr(shared, "cut", seen)
+    monkeypatch.setattr(orderstats, "kth", refused)
+    long, cells = _tables(spark, True)
+    assert network.permuted_trimeans(long, cells, "g", 7).count() > 0
+    joined = [p for p in plans if "Join" in p and "gene_id" in p]
+    assert joined and all("SortMergeJoin" in p and "Broadcast" not in p for p in joined)
